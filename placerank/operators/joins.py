@@ -86,11 +86,16 @@ def complete_domain(df: DataFrame, dim: DataFrame, key: str, score: str,
 
 
 def append_missing(df: DataFrame, expected: DataFrame, key: str, value_col: str,
-                   value: Column) -> DataFrame:
-    """JN8: one constant row for each expected key that ``df`` lacks (``value`` may be
-    an aggregate-free Column over a one-row frame, e.g. half the minimum)."""
+                   value: float | None = None, half_min: bool = False) -> DataFrame:
+    """JN8: one constant row for each expected key that ``df`` lacks. The constant is
+    ``value`` or, with ``half_min``, half the minimum of ``value_col`` in ``df``."""
     missing = expected.select(key).distinct().join(df.select(key), key, "left_anti")
-    return df.unionByName(missing.withColumn(value_col, value), allowMissingColumns=True)
+    if half_min:
+        m = df.agg((F.min(F.col(value_col).cast("double")) * 0.5).alias(value_col))
+        filled = missing.crossJoin(F.broadcast(m))
+    else:
+        filled = missing.withColumn(value_col, F.lit(value))
+    return df.unionByName(filled, allowMissingColumns=True)
 
 
 def bridge_mean(bridge: DataFrame, scores: DataFrame, entity: str, region: str,
@@ -195,16 +200,16 @@ def weighted_distance(places: DataFrame, points: DataFrame, key, radii: list[flo
     pairs = radius_join(places, points, rmax, left_lat=place_lat, left_lng=place_lng,
                         right_lat=point_lat, right_lng=point_lng, max_abs_lat=max_abs_lat)
     aggs = []
-    for r in radii:
+    for i, r in enumerate(radii):
         inr = F.col("dist_m") <= r
         w = F.col(weight).cast("double")
-        aggs += [F.sum(F.when(inr, F.lit(1)).otherwise(F.lit(0))).alias(f"_n_{r}"),
-                 F.sum(F.when(inr, w)).alias(f"_w_{r}"),
-                 F.sum(F.when(inr, w * F.col("dist_m"))).alias(f"_wd_{r}")]
+        aggs += [F.sum(F.when(inr, F.lit(1)).otherwise(F.lit(0))).alias(f"_n_{i}"),
+                 F.sum(F.when(inr, w)).alias(f"_w_{i}"),
+                 F.sum(F.when(inr, w * F.col("dist_m"))).alias(f"_wd_{i}")]
     wide = pairs.groupBy(*key, *by_right).agg(*aggs)
     long = wide.select(*key, *by_right, F.explode(F.array(*[
-        F.struct(F.lit(r).cast("double").alias("radius_m"), F.col(f"_n_{r}").alias("_n"),
-                 F.col(f"_w_{r}").alias("_w"), F.col(f"_wd_{r}").alias("_wd")) for r in radii])).alias("s"))
+        F.struct(F.lit(r).cast("double").alias("radius_m"), F.col(f"_n_{i}").alias("_n"),
+                 F.col(f"_w_{i}").alias("_w"), F.col(f"_wd_{i}").alias("_wd")) for i, r in enumerate(radii)])).alias("s"))
     long = long.select(*key, *by_right, "s.*")
     pos = F.coalesce(F.col("_w"), F.lit(0.0)) > 0
     long = long.select(*key, *by_right, "radius_m",

@@ -42,14 +42,15 @@ def _round(c: Column, rounding: int | None, half_even: bool) -> Column:
     return F.bround(c, rounding) if half_even else F.round(c, rounding)
 
 
-def scale(df: DataFrame, c: str, out: str | None = None, method: str = "minmax", *, by=None,
-          reverse: bool = False, ddof: int = 0, zero_missing: bool = False,
-          constant: float | None = 0.0, all_missing: float | None = None,
-          degenerate_all_rows: bool = False, top: float = 100.0,
-          rounding: int | None = None, half_even: bool = True,
-          eps: float | None = None, clip_p: float | None = None, sharp: float = 1.0,
-          z_out: str | None = None) -> DataFrame:
-    """Scale column ``c`` into ``out``.
+def scale(df: DataFrame, c: str, out: str | None = None, method: str = "minmax", **kw) -> DataFrame:
+    """Scale column ``c`` into ``out`` (see :func:`scale_many` for the parameters)."""
+    return scale_many(df, [dict(c=c, out=out, method=method, **kw)], by=kw.get("by"))
+
+
+def scale_many(df: DataFrame, specs: list[dict], by=None) -> DataFrame:
+    """Apply several scalers with ONE statistics aggregate and one join.
+
+    Each spec is a dict with ``c`` and optional ``out``, ``method`` and:
 
     method        formula
     minmax        top·(x−min)/(max−min), ``reverse`` → top·(1−norm)
@@ -65,69 +66,93 @@ def scale(df: DataFrame, c: str, out: str | None = None, method: str = "minmax",
     ``all_missing`` when no value is present; with ``degenerate_all_rows``
     those values are given to every row, missing ones included (the
     reference's ``Series([50]*len)``). ``ddof`` selects population (0) or
-    sample (1) standard deviation.
+    sample (1) standard deviation; ``zero_missing`` treats 0 as missing;
+    ``rounding`` rounds half-even (numpy) unless ``half_even=False``.
     """
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}")
-    out = out or f"{c}_{method}"
-    x = F.col(c).cast("double")
-    if zero_missing:
-        x = F.when(x != 0, x)
-    std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    aggs = {"_n_valid": F.count(x), "_n_rows": F.count(F.lit(1))}
-    if method == "minmax":
-        aggs.update(_lo=F.min(x), _hi=F.max(x))
-    elif method == "mean_relative":
-        aggs.update(_mu=F.avg(x))
-    else:
-        aggs.update(_mu=F.avg(x), _sd=std(x))
+    aggs: dict[str, Column] = {"_n_rows": F.count(F.lit(1))}
+    plans = []
+    for i, spec in enumerate(specs):
+        p = dict(method="minmax", reverse=False, ddof=0, zero_missing=False, constant=0.0,
+                 all_missing=None, degenerate_all_rows=False, top=100.0, rounding=None,
+                 half_even=True, eps=None, clip_p=None, sharp=1.0, z_out=None, out=None)
+        p.update({k: v for k, v in spec.items() if k != "by"})
+        if p["method"] not in METHODS:
+            raise ValueError(f"method must be one of {METHODS}")
+        c = p["c"]
+        p["out"] = p["out"] or f"{c}_{p['method']}"
+        x = F.col(c).cast("double")
+        if p["zero_missing"]:
+            x = F.when(x != 0, x)
+        p["x"] = x
+        std = F.stddev_pop if p["ddof"] == 0 else F.stddev_samp
+        t = f"_s{i}"
+        p["t"] = t
+        aggs[f"{t}_n"] = F.count(x)
+        if p["method"] == "minmax":
+            aggs[f"{t}_lo"], aggs[f"{t}_hi"] = F.min(x), F.max(x)
+        elif p["method"] == "mean_relative":
+            aggs[f"{t}_mu"] = F.avg(x)
+        else:
+            aggs[f"{t}_mu"], aggs[f"{t}_sd"] = F.avg(x), std(x)
+        plans.append(p)
     s = attach_stats(df, aggs, by)
-
+    new_cols = {}
+    for p in plans:
+        val, extra = _scaled(p)
+        new_cols.update(extra)
+        new_cols[p["out"]] = val
+    for name, col in new_cols.items():
+        s = s.withColumn(name, col)
+    return s.drop(*aggs.keys())
+
+
+def _scaled(p: dict) -> tuple[Column, dict]:
+    x, t, top, method = p["x"], p["t"], p["top"], p["method"]
+    extra = {}
     if method == "minmax":
-        spread = F.col("_hi") - F.col("_lo")
-        norm = (x - F.col("_lo")) / spread
-        val = (F.lit(1.0) - norm) * top if reverse else norm * top
-        degenerate = spread == 0
+        lo, hi = F.col(f"{t}_lo"), F.col(f"{t}_hi")
+        norm = (x - lo) / (hi - lo)
+        val = (F.lit(1.0) - norm) * top if p["reverse"] else norm * top
+        degenerate = (hi - lo) == 0
     elif method == "mean_relative":
-        val = _clip(F.lit(50.0) * x / F.col("_mu"), 0.0, 100.0)
-        degenerate = F.col("_mu") == 0
+        mu = F.col(f"{t}_mu")
+        val = _clip(F.lit(50.0) * x / mu, 0.0, 100.0)
+        degenerate = mu == 0
     else:
-        z = (x - F.col("_mu")) / F.col("_sd")
-        degenerate = F.col("_sd").isNull() | (F.col("_sd") == 0) | F.isnan(F.col("_sd"))
+        mu, sd = F.col(f"{t}_mu"), F.col(f"{t}_sd")
+        z = (x - mu) / sd
+        degenerate = sd.isNull() | (sd == 0) | F.isnan(sd)
         if method == "zscore":
             val = z
         elif method == "zcdf":
             val = normal_cdf(z) * top
         elif method == "zcdf_squeezed":
             e = F.lit(0.5) / F.col("_n_rows")
-            p = clip_p if clip_p is not None else 1e-9
-            phi = _clip(normal_cdf(F.when(degenerate, F.lit(0.0)).otherwise(z)), p, 1.0 - p)
+            cp = p["clip_p"] if p["clip_p"] is not None else 1e-9
+            phi = _clip(normal_cdf(F.when(degenerate, F.lit(0.0)).otherwise(z)), cp, 1.0 - cp)
             phi = F.when(x.isNotNull(), phi)
             val = ((F.lit(1.0) - 2.0 * e) * phi + e) * top
             degenerate = F.lit(False)
         elif method == "zcdf_margin":
-            m = 0.5 if eps is None else eps
-            phi = _clip(normal_cdf(z * F.lit(float(sharp))), m / 100.0, 1.0 - m / 100.0)
+            m = 0.5 if p["eps"] is None else p["eps"]
+            phi = _clip(normal_cdf(z * F.lit(float(p["sharp"]))), m / 100.0, 1.0 - m / 100.0)
             val = F.lit(m) + phi * (top - 2.0 * m)
         elif method == "tscore":
             val = F.lit(50.0) + F.lit(10.0) * z
         else:  # sigmoid
-            zz = F.when(degenerate, F.lit(0.0)).otherwise(z)
-            zz = F.when(x.isNotNull(), zz)
-            if z_out:
-                s = s.withColumn(z_out, zz)
+            zz = F.when(x.isNotNull(), F.when(degenerate, F.lit(0.0)).otherwise(z))
+            if p["z_out"]:
+                extra[p["z_out"]] = zz
             val = sigmoid100(zz)
             degenerate = F.lit(False)
-
-    val = _round(val, rounding, half_even)
-    none_present = F.col("_n_valid") == 0
+    val = _round(val, p["rounding"], p["half_even"])
     res = val
-    if constant is not None:
-        const = F.lit(float(constant))
-        res = F.when(degenerate & (F.lit(True) if degenerate_all_rows else x.isNotNull()), const).otherwise(res)
-    if all_missing is not None:
-        res = F.when(none_present, F.lit(float(all_missing))).otherwise(res)
-    return s.withColumn(out, res).drop(*aggs.keys())
+    if p["constant"] is not None:
+        rows = F.lit(True) if p["degenerate_all_rows"] else x.isNotNull()
+        res = F.when(degenerate & rows, F.lit(float(p["constant"]))).otherwise(res)
+    if p["all_missing"] is not None:
+        res = F.when(F.col(f"{t}_n") == 0, F.lit(float(p["all_missing"]))).otherwise(res)
+    return res, extra
 
 
 def percent_of_max(c: Column | str, total_weight: float, top: float = 100.0) -> Column:

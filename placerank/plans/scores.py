@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.rowwise import row_mean
 from ..operators.agg import group_stats
 from ..operators.rank import rank_min
-from ..operators.scale import scale
+from ..operators.scale import scale, scale_many  # noqa: F401
+from ..session import cut_lineage
 from . import sqlkit as Q
 from .registry import load, query
 
@@ -44,9 +45,9 @@ def region_indicator_frame(orders, customer, nation):
     j = per_cust.join(cn, per_cust.o_custkey == cn.c_custkey)
     g = group_stats(j, "n_name", n_orders=F.sum("n").cast("long"), total_price=F.sum("s"),
                     avg_price=F.sum("s") / F.sum("n"))
+    g = cut_lineage(g)  # entity-level table, reused by every statistic below
     cols = ["n_orders", "total_price", "avg_price"]
-    for c in cols:
-        g = scale(g, c, f"{c}_score", "minmax", constant=0.0)
+    g = scale_many(g, [dict(c=c, out=f"{c}_score", method="minmax", constant=0.0) for c in cols])
     g = g.withColumn("score", row_mean([f"{c}_score" for c in cols]))
     return rank_min(g, "score", "rank")
 
