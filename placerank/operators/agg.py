@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
 from ..functions.text import to_array
-from .rank import global_index, row_hash
+from .rank import fits_one_task, global_index, row_hash
 
 
 def _cols(x) -> list:
@@ -72,6 +72,9 @@ def quantile_exact(df: DataFrame, c: str, qs: dict[str, float], by=None) -> Data
     """
     by = _cols(by)
     vals = df.select(*by, F.col(c).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if fits_one_task(vals, by):
+        # bounded groups: Spark's exact percentile (linear interpolation), one buffer per group
+        return vals.groupBy(*by).agg(*[F.percentile("_v", float(q)).alias(name) for name, q in qs.items()])
     order = [F.col(b).asc() for b in by] + [F.col("_v").asc(), row_hash(vals).asc()]
     idx = global_index(vals, order)
     grp = idx.groupBy(*by).agg(F.min("_gidx").alias("_g0"), F.count(F.lit(1)).alias("_gn"))

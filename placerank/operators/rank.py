@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+# Largest group (rows) ranked or sorted inside one task; above it the range-sort path is used.
+SMALL_ROWS = 1_000_000
 
 
 def _cols(x) -> list:
@@ -40,6 +42,24 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("placerank.smallGroupRows", str(SMALL_ROWS)))
+
+
+def largest_group(df: DataFrame, by=None) -> int:
+    """Row count of the largest group (or of the frame): one small aggregate job whose
+    single-number result picks the physical strategy, like a checked broadcast."""
+    by = _cols(by)
+    if not by:
+        return int(df.count())
+    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
+    return int(row["_m"] or 0)
+
+
+def fits_one_task(df: DataFrame, by=None) -> bool:
+    return largest_group(df, by) <= small_limit(df)
+
+
 def global_index(df: DataFrame, order: list[Column], out: str = "_gidx",
                  partitions: int | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (a list of sort expressions).
@@ -64,6 +84,10 @@ def global_index(df: DataFrame, order: list[Column], out: str = "_gidx",
 def rank_min(df: DataFrame, c: str, out: str, by=None, ascending: bool = False) -> DataFrame:
     """Competition rank (ties share the lowest rank); missing value → null rank."""
     by = _cols(by)
+    if fits_one_task(df, by):
+        # every group is small enough for one sorted task: a plain window
+        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(_sort_expr(c, ascending))
+        return df.withColumn(out, F.when(F.col(c).isNotNull(), F.rank().over(w).cast("long")))
     order = [_sort_expr(b, True) for b in by] + [_sort_expr(c, ascending), row_hash(df).asc()]
     idx = global_index(df, order)
     ties = idx.groupBy(*by, c).agg(F.min("_gidx").alias("_tie0"))
@@ -77,6 +101,23 @@ def rank_min(df: DataFrame, c: str, out: str, by=None, ascending: bool = False)
             .drop("_tie0", "_gidx"))
 
 
+def rank_columns(df: DataFrame, key, specs: dict[str, str], ascending: bool = False,
+                 method: str = "min") -> DataFrame:
+    """Several independent ranks of one entity table (``key`` unique): each rank is
+    computed on its own (key, value) projection and joined back on the key, so the
+    plan grows linearly with the number of ranks instead of doubling per rank."""
+    key = _cols(key)
+    res = df
+    for c, out in specs.items():
+        part = df.select(*key, c)
+        if method == "min":
+            r = rank_min(part, c, out, ascending=ascending)
+        else:
+            r = row_rank(part, c, out, tiebreak=key, ascending=ascending)
+        res = res.join(r.select(*key, out), key, "left")
+    return res
+
+
 def row_rank(df: DataFrame, c: str, out: str, tiebreak=None, by=None, ascending: bool = False) -> DataFrame:
     """Sequential rank 1..n after sorting (``np.arange`` after ``sort_values``).
 
@@ -85,6 +126,9 @@ def row_rank(df: DataFrame, c: str, out: str, tiebreak=None, by=None, ascending:
     by = _cols(by)
     order = ([_sort_expr(b, True) for b in by] + [_sort_expr(c, ascending)]
              + [_sort_expr(t, True) for t in _cols(tiebreak)] + [row_hash(df).asc()])
+    if fits_one_task(df, by):
+        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order[len(by):])
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     idx = global_index(df, order)
     if not by:
         return idx.withColumnRenamed("_gidx", out).withColumn(out, F.col(out).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicators, scores  # noqa: F401  (registers queries)
+from . import access, indicators, pillars, scores  # noqa: F401  (registers queries)
 from .registry import REGISTRY, oracle_text, spark_query
 
 _MODULES_LOADED = True

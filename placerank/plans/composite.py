@@ -17,7 +17,8 @@ from ..functions.rowwise import row_mean, row_weighted_mean
 from ..functions.stats import clip
 from ..operators.agg import fill_half_min, quantile_exact
 from ..operators.joins import join_all
-from ..operators.rank import rank_min, row_rank
+from ..operators.rank import rank_columns, rank_min, row_rank
+from ..session import cut_lineage
 from ..operators.scale import percent_of_max, scale, scale_many
 
 # Words in parking notes that signal an uncertain figure (CI4).
@@ -51,19 +52,27 @@ def weighted_composite(df: DataFrame, weights: dict[str, float], out: str, imput
     """CI1/CI2: Σ w·x with each input filled by its median; when an input has no
     value at all its fill is ``all_missing`` (0 in CI1; None leaves the total
     missing, CI2)."""
-    cols = list(weights)
+    return weighted_composites(df, {out: weights}, impute, all_missing)
+
+
+def weighted_composites(df: DataFrame, specs: dict[str, dict[str, float]], impute: str = "median",
+                        all_missing: float | None = 0.0) -> DataFrame:
+    """Several CI1/CI2 totals (``{out: {col: weight}}``) with one median pass."""
     if impute != "median":
         raise ValueError("only median imputation is used")
+    cols = list(dict.fromkeys(c for w in specs.values() for c in w))
     med = medians(df, cols)
     j = df.crossJoin(F.broadcast(med))
-    total = None
-    for c, w in weights.items():
-        fillv = F.col(f"{c}__median")
-        if all_missing is not None:
-            fillv = F.coalesce(fillv, F.lit(float(all_missing)))
-        term = F.coalesce(F.col(c).cast("double"), fillv) * F.lit(float(w))
-        total = term if total is None else total + term
-    return j.withColumn(out, total).drop(*[f"{c}__median" for c in cols])
+    for out, weights in specs.items():
+        total = None
+        for c, w in weights.items():
+            fillv = F.col(f"{c}__median")
+            if all_missing is not None:
+                fillv = F.coalesce(fillv, F.lit(float(all_missing)))
+            term = F.coalesce(F.col(c).cast("double"), fillv) * F.lit(float(w))
+            total = term if total is None else total + term
+        j = j.withColumn(out, total)
+    return j.drop(*[f"{c}__median" for c in cols])
 
 
 def representative_minutes(df: DataFrame, final: str, parts: list[list[str]], out: str = "final_walk_min") -> DataFrame:
@@ -104,10 +113,12 @@ def region_scores(df: DataFrame, region: str, components: list[str], totals: lis
     for t in totals:
         aggs += [F.avg(t).alias(f"{t}_mean"), F.max(t).alias(f"{t}_max")]
     g = df.filter(F.col(region).isNotNull() & (F.col(region) != "")).groupBy(region).agg(*aggs)
+    g = cut_lineage(g)
+    specs = {}
     for t in totals:
-        g = rank_min(g, f"{t}_mean", f"{t}_mean_rank")
-        g = rank_min(g, f"{t}_max", f"{t}_max_rank")
-    return g
+        specs[f"{t}_mean"] = f"{t}_mean_rank"
+        specs[f"{t}_max"] = f"{t}_max_rank"
+    return rank_columns(g, region, specs)
 
 
 def access_final(df: DataFrame, key: str, pop_cols: dict, walk: str, park: str,
@@ -135,7 +146,7 @@ def access_final(df: DataFrame, key: str, pop_cols: dict, walk: str, park: str,
         base = base.withColumn(f"total_{r}m", filled(c) * pop_w + filled(walk) * walk_w + filled(park) * park_w)
         totals[f"total_{r}m"] = rw[r]
     base = base.drop(*[f"{c}__median" for c in comps])
-    base = base.withColumn("total", row_weighted_mean(totals))
+    base = cut_lineage(base.withColumn("total", row_weighted_mean(totals)))
     base = scale(base, "total", "total_100", "zcdf_margin", eps=eps, sharp=sharp, constant=50.0,
                  all_missing=50.0, degenerate_all_rows=True)
     return rank_min(base, "total_100", "rank")

@@ -313,8 +313,9 @@ def alias_resolution(spark, sf):
 
 # ------------------------------------------------------------------ radius join
 
-_LAT = "37.4 + ({k} % 997) / 3000.0"
-_LNG = "126.8 + ({k} % 991) / 2500.0"
+# coordinates derived from keys; explicit doubles (Spark SQL reads 37.4 as DECIMAL)
+_LAT = "CAST(37.4 AS DOUBLE) + CAST({k} % 997 AS DOUBLE) / CAST(3000 AS DOUBLE)"
+_LNG = "CAST(126.8 AS DOUBLE) + CAST({k} % 991 AS DOUBLE) / CAST(2500 AS DOUBLE)"
 
 
 def _hav(lat1, lng1, lat2, lng2):

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # only effective when this call starts the JVM (local runs); a cluster driver keeps its own
+    "spark.driver.memory": "8g",
 }
 
 
