@@ -43,6 +43,18 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def pin(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns that later lambdas read many times.
+
+    Catalyst's CollapseProject would inline a plain ``withColumn`` expression into
+    a lambda body, where it runs once per array element. Emitting the values from a
+    generator (``inline`` of a one-element array) makes them attributes that cannot
+    be inlined, so each is computed once per row.
+    """
+    packed = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
+    return df.select("*", F.inline(packed))
+
+
 # ------------------------------------------------------------------ sentences (TX4/5)
 
 def sentence_array(c) -> Column:
@@ -81,16 +93,18 @@ def entity_passages(df: DataFrame, c: str, entities: list[str], keep=None, k: in
         src = F.concat_ws(" ", F.coalesce(F.col(query), F.lit("")), src)
     base = df.select(*_cols(keep), text.alias("_t"),
                      F.explode(F.filter(ents, lambda e: F.instr(src, e) > 0)).alias("entity"))
-    sents = sentence_array(F.col("_t"))
-    n = F.size(sents)
+    # per-row arrays are pinned: a Column used inside a lambda is re-evaluated per call
+    base = pin(base, _s=sentence_array(F.col("_t"))).drop("_t")
+    base = pin(base, _h=F.transform("_s", lambda x: F.instr(x, F.col("entity")) > 0))
+    n = F.size("_s")
 
     def near_hit(i):
         window = F.sequence(F.greatest(i - k, F.lit(0)), F.least(i + k, n - 1))
-        return F.exists(window, lambda j: F.instr(F.element_at(sents, j + 1), F.col("entity")) > 0)
+        return F.exists(window, lambda j: F.element_at(F.col("_h"), j + 1))
 
     idx = F.filter(F.sequence(F.lit(0), n - 1), near_hit)
-    passage = F.array_join(F.transform(idx, lambda i: F.element_at(sents, i + 1)), " ")
-    res = base.withColumn(out, F.when(n > 0, passage)).drop("_t")
+    passage = F.array_join(F.transform(idx, lambda i: F.element_at(F.col("_s"), i + 1)), " ")
+    res = base.withColumn(out, F.when(n > 0, passage)).drop("_s", "_h")
     return res.filter(F.col(out).isNotNull() & (F.col(out) != ""))
 
 
@@ -144,14 +158,22 @@ def lexicon_frame(spark, positive: list[str], negative: list[str]) -> DataFrame:
     return spark.createDataFrame(lexicon(positive, negative), "word string, stem string, polarity string")
 
 
+def starts_from_pieces(pieces: Column, stem_len) -> Column:
+    """Hit starts from the pieces of a split on the stem: one left-to-right
+    ``aggregate`` carrying (position, starts) — the pieces are evaluated once."""
+    L = stem_len if isinstance(stem_len, Column) else F.lit(int(stem_len))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
+    body = F.slice(pieces, 1, F.size(pieces) - 1)
+    return F.aggregate(
+        body, init,
+        lambda acc, p: F.struct((acc["pos"] + F.length(p) + L).alias("pos"),
+                                F.array_append(acc["starts"], acc["pos"] + F.length(p)).alias("starts")),
+        lambda acc: acc["starts"])
+
+
 def hit_starts(t: Column, stem: str) -> Column:
     """0-based starts of the non-overlapping occurrences of literal ``stem`` in ``t``."""
-    pieces = F.split(t, regex_escape(stem), -1)
-    lens = F.transform(pieces, lambda p: F.length(p))
-    L = len(stem)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda kk: F.aggregate(F.slice(lens, 1, kk), F.lit(0), lambda a, x: a + x) + (kk - 1) * L)
+    return starts_from_pieces(F.split(t, regex_escape(stem), -1), len(stem))
 
 
 def negated_hits(t: Column, stem: str, negators: list[str] | None = None, w: int = 4) -> Column:
@@ -177,7 +199,7 @@ def rule_sentiment(df: DataFrame, c: str, positive: list[str], negative: list[st
     t = normalise_informal(F.coalesce(F.col(c).cast("string"), F.lit("")))
     pos_stems = [e["stem"] for e in lex if e["polarity"] == "pos"]
     neg_stems = [e["stem"] for e in lex if e["polarity"] == "neg"]
-    tmp = df.withColumn("_nt", t)
+    tmp = pin(df, _nt=t)
     nt = F.col("_nt")
     any_neg = nt.rlike(keyword_regex(neg_stems)) if neg_stems else F.lit(False)
     any_pos = nt.rlike(keyword_regex(pos_stems)) if pos_stems else F.lit(False)
@@ -212,11 +234,13 @@ def keyword_counts(df: DataFrame, entity: str, c: str, positive: list[str], nega
     A positive hit with a nearby negator counts for the negative bucket."""
     lex = lexicon(positive, negative)
     t = normalise_informal(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    base = df.select(entity, t.alias("_nt"))
+    base = pin(df.select(entity, c), _nt=t)
     nt = F.col("_nt")
+    base = pin(base.select(entity, "_nt"),
+               **{f"_f{i}": negated_hits(nt, e["stem"], negators, w) for i, e in enumerate(lex)})
     structs = []
-    for e in lex:
-        flags = negated_hits(nt, e["stem"], negators, w)
+    for i, e in enumerate(lex):
+        flags = F.col(f"_f{i}")
         if e["polarity"] == "pos":
             n_neg = F.size(F.filter(flags, lambda b: b))
             n_pos = F.size(flags) - n_neg
@@ -265,13 +289,11 @@ def cooccurring_token(df: DataFrame, entity: str, c: str, keywords: DataFrame, k
     kw = keywords.select(entity, F.col(kw_col).alias("_kw")).filter(F.col("_kw") != none_label)
     kw = kw.withColumn("_stem", F.when(F.col("_kw").endswith("다") & (F.length("_kw") >= 2),
                                        F.expr("substring(_kw, 1, length(_kw) - 1)")).otherwise(F.col("_kw")))
-    docs = df.select(entity, t.alias("_nt")).join(kw, entity)
+    docs = pin(df.select(entity, c), _nt=t).select(entity, "_nt").join(kw, entity)
     nt, stem = F.col("_nt"), F.col("_stem")
     pieces = F.split(nt, F.concat(F.lit("\\Q"), stem, F.lit("\\E")), -1)
-    lens = F.transform(pieces, lambda p: F.length(p))
-    starts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1),
-                         lambda kk: F.aggregate(F.slice(lens, 1, kk), F.lit(0), lambda a, x: a + x)
-                         + (kk - 1) * F.length(stem))
+    docs = pin(docs, _starts=starts_from_pieces(pieces, F.length(stem)))
+    starts = F.col("_starts")
     windows = F.transform(starts, lambda a: F.substring(
         nt, F.greatest(a - w, F.lit(0)) + 1, a + F.length(stem) + w - F.greatest(a - w, F.lit(0))))
     toks = F.flatten(F.transform(windows, lambda s: F.regexp_extract_all(s, F.lit(f"({token_pattern})"), 1)))
