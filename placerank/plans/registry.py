@@ -2,7 +2,10 @@
 equivalent SQL that DuckDB runs on the same parquet files.
 
 Doubles listed in ``doubles`` are rounded to ``digits`` on both sides so the
-comparison does not depend on floating-point summation order.
+comparison does not depend on floating-point summation order. Rounding is
+``floor(x·10^d + 0.5) / 10^d`` on both engines: plain IEEE arithmetic, so equal
+inputs give bit-equal outputs (Spark's ``round`` works on the decimal text of a
+double and DuckDB's on its binary value, which split exact ties).
 """
 
 from __future__ import annotations
@@ -44,7 +47,8 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = e.fn(spark, sf_dir)
         if e.doubles:
-            df = df.withColumns({c: F.round(F.col(c).cast("double"), e.digits) for c in e.doubles})
+            scale = float(10 ** e.digits)
+            df = df.withColumns({c: F.floor(F.col(c).cast("double") * scale + 0.5) / scale for c in e.doubles})
         return df
     run.__name__ = name
     return run
@@ -56,5 +60,6 @@ def oracle_text(name: str) -> str | None:
         return None
     if not e.doubles:
         return e.sql
-    repl = ", ".join(f"round(CAST({c} AS DOUBLE), {e.digits}) AS {c}" for c in e.doubles)
+    scale = f"{float(10 ** e.digits)!r}"
+    repl = ", ".join(f"floor(CAST({c} AS DOUBLE) * {scale} + 0.5) / {scale} AS {c}" for c in e.doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{e.sql}\n) AS _q"

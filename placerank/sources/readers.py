@@ -33,32 +33,26 @@ def read_csv_encoded(spark: SparkSession, path, encodings: list[str] | None = No
                      schema=None, required: list[str] | None = None) -> DataFrame:
     """IO2: CSV in a legacy Korean encoding, trying ``encodings`` in order.
 
-    Legacy Java charsets are enabled for the read only (``x-windows-949`` decodes all
-    CP949 characters). An encoding is accepted when the header decodes without a
-    replacement character and holds the ``required`` columns.
+    Legacy Java charsets are enabled on the session (``x-windows-949`` decodes all
+    CP949 characters); the setting stays on because the CSV options are read again
+    when the lazy scan executes. An encoding is accepted when the header decodes
+    without a replacement character and holds the ``required`` columns.
     """
-    key = "spark.sql.legacy.javaCharsets"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        last = None
-        for enc in encodings or ENCODINGS:
-            try:
-                df = read_table(spark, path, schema, encoding=enc)
-                cols = df.columns
-                if any("�" in c for c in cols):
-                    continue
-                if required and not all(r in cols for r in required):
-                    continue
-                return df
-            except Exception as e:  # noqa: BLE001 - try the next encoding
-                last = e
-        raise ValueError(f"no encoding in {encodings or ENCODINGS} fits {path}: {last}")
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    last = None
+    for enc in encodings or ENCODINGS:
+        try:
+            df = read_table(spark, path, schema, encoding=enc)
+        except Exception as e:  # noqa: BLE001 - try the next encoding
+            last = e
+            continue
+        cols = df.columns
+        if any("\ufffd" in c for c in cols):
+            continue
+        if required and not all(r in cols for r in required):
+            continue
+        return df
+    raise ValueError(f"no encoding in {encodings or ENCODINGS} fits {path}: {last}")
 
 
 def read_positional(spark: SparkSession, path, names: list[str], skip_until: str | None = None,
@@ -160,13 +154,17 @@ def read_union(spark: SparkSession, paths: list[str], required: list[str], schem
 
 
 def read_dir_with_key(spark: SparkSession, glob: str, suffix: str, key: str = "entity",
-                      fmt: str = "csv", schema=None) -> DataFrame:
-    """IO8: every file matching ``glob``; entity = file name without ``suffix``, first column."""
+                      fmt: str = "csv", schema=None, path_pattern: str | None = None) -> DataFrame:
+    """IO8: every file matching ``glob``; entity = file name without ``suffix`` (or the
+    first group of ``path_pattern`` over the full path), placed as the first column."""
     if fmt == "csv":
         df = read_table(spark, glob, schema)
     else:
         df = spark.read.format(fmt).load(glob)
-    name = F.regexp_replace(F.col("_metadata.file_name"), _lit_suffix(suffix), "")
+    if path_pattern:
+        name = F.regexp_extract(F.col("_metadata.file_path"), path_pattern, 1)
+    else:
+        name = F.regexp_replace(F.col("_metadata.file_name"), _lit_suffix(suffix), "")
     return df.select(name.alias(key), *df.columns)
 
 

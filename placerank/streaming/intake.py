@@ -19,17 +19,19 @@ def _cols(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def intake(df: DataFrame, id_col: str, ts: str, key, body: str | None = None,
+def intake(df: DataFrame, id_col: str, ts, key, body: str | None = None,
            quota: int | None = None) -> DataFrame:
-    """ST1 (batch): each id accepted once (earliest arrival), blank bodies skipped, at
-    most ``quota`` accepted rows per key in arrival order (ties by id)."""
+    """ST1 (batch): each id accepted once (earliest arrival by ``ts``, a column or a
+    list such as [batch, ts]), blank bodies skipped, at most ``quota`` accepted rows
+    per key in arrival order (ties by id)."""
     kept = df
     if body:
         kept = kept.filter(F.col(body).isNotNull() & (F.trim(F.col(body).cast("string")) != ""))
-    first = cap_per_key(kept, id_col, [F.col(ts).asc(), F.col(id_col).asc()], 1)
+    order = [F.col(t).asc() for t in _cols(ts)] + [F.col(id_col).asc()]
+    first = cap_per_key(kept, id_col, order, 1)
     if quota is None:
         return first
-    return cap_per_key(first, key, [F.col(ts).asc(), F.col(id_col).asc()], quota)
+    return cap_per_key(first, key, order, quota)
 
 
 def intake_stream(stream: DataFrame, id_col: str, ts: str, body: str | None = None,
