@@ -334,8 +334,10 @@ def vocabulary(df: DataFrame, doc: str, toks: str, min_df: float = 1, max_df: fl
     hi = F.lit(float(max_df)) * F.col("_N") if max_df <= 1 else F.lit(float(max_df))
     kept = stats.filter((F.col("df") >= lo) & (F.col("df") <= hi)).drop("_N")
     if max_features:
-        from .rank import row_rank
-        kept = row_rank(kept, "tf", "tf_rank", tiebreak="term").filter(F.col("tf_rank") <= max_features)
+        # a top-k selection: every task keeps its best k, then k over the survivors
+        top = kept.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
+        w = Window.partitionBy().orderBy(F.col("tf").desc(), F.col("term").asc())  # ≤ max_features rows
+        kept = top.withColumn("tf_rank", F.row_number().over(w).cast("long"))
     return kept.withColumn("df", F.col("df").cast("long")).withColumn("tf", F.col("tf").cast("long"))
 
 

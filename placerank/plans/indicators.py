@@ -243,14 +243,14 @@ def value_precedence(spark, sf):
 
 
 @query("domain_completion", """
-WITH s AS (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS score FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1),
+WITH s AS (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS score FROM supplier WHERE s_acctbal > 7000 GROUP BY 1),
 m AS (SELECT quantile_cont(score, 0.5) AS med FROM s)
 SELECT n_nationkey, coalesce(score, med) AS score
 FROM (SELECT DISTINCT n_nationkey FROM nation) d FULL OUTER JOIN s USING (n_nationkey) CROSS JOIN m
 """, doubles=["score"])
 def domain_completion(spark, sf):
     """JN7 + AG13: complete the nation domain, median-fill missing scores."""
-    s = load(spark, sf, "supplier").filter(F.col("s_suppkey") % 4 == 0).groupBy(
+    s = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 7000).groupBy(
         F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("score"))
     return complete_domain(s, load(spark, sf, "nation"), "n_nationkey", "score")
 
@@ -259,7 +259,7 @@ def domain_completion(spark, sf):
 WITH b AS (
   SELECT r.r_name, unnest(list_append(list(n.n_nationkey), 99)) AS nk
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name),
-s AS (SELECT c_nationkey AS nk, avg(c_acctbal) AS score FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1)
+s AS (SELECT s_nationkey AS nk, avg(s_acctbal) AS score FROM supplier WHERE s_acctbal > 8000 GROUP BY 1)
 SELECT r_name, coalesce(avg(s.score), 0.0) AS score FROM b LEFT JOIN s USING (nk) GROUP BY r_name
 """, doubles=["score"])
 def bridge_mean_q(spark, sf):
@@ -267,8 +267,8 @@ def bridge_mean_q(spark, sf):
     n, r = load(spark, sf, "nation"), load(spark, sf, "region")
     bridge = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(
         F.concat(F.collect_list("n_nationkey"), F.array(F.lit(99))).alias("nations"))
-    scores = load(spark, sf, "customer").filter(F.col("c_nationkey") % 3 != 0).groupBy(
-        F.col("c_nationkey").alias("nk")).agg(F.avg("c_acctbal").alias("score"))
+    scores = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 8000).groupBy(
+        F.col("s_nationkey").alias("nk")).agg(F.avg("s_acctbal").alias("score"))
     return bridge_mean(bridge, scores, "r_name", "nations", ["score"], region_key="nk")
 
 
@@ -518,8 +518,8 @@ def delimited_rows(spark, sf):
 
 
 @query("append_missing", """
-WITH s AS (SELECT c_nationkey AS n_nationkey, avg(c_acctbal) AS score FROM customer
-           WHERE c_nationkey % 4 <> 0 GROUP BY 1)
+WITH s AS (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS score FROM supplier
+           WHERE s_acctbal > 8000 GROUP BY 1)
 SELECT * FROM s
 UNION ALL
 SELECT n.n_nationkey, (SELECT min(score) * 0.5 FROM s) AS score
@@ -527,6 +527,6 @@ FROM (SELECT DISTINCT n_nationkey FROM nation) n WHERE n.n_nationkey NOT IN (SEL
 """, doubles=["score"])
 def append_missing_q(spark, sf):
     """JN8 constant rows (half minimum) for absent entities, RS5 append."""
-    s = load(spark, sf, "customer").filter(F.col("c_nationkey") % 4 != 0).groupBy(
-        F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("score"))
+    s = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 8000).groupBy(
+        F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("score"))
     return append_missing(s, load(spark, sf, "nation"), "n_nationkey", "score", half_min=True)

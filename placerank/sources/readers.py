@@ -114,11 +114,17 @@ def _is_record_list(raw: DataFrame) -> bool:
 
 
 def read_keyed_json(spark: SparkSession, path, value_schema: T.DataType | str, key_name: str = "key") -> DataFrame:
-    """IO5: a JSON object keyed by entity name → one row per key (value fields flattened)."""
-    vs = value_schema if isinstance(value_schema, str) else value_schema.simpleString()
+    """IO5: a JSON object keyed by entity name → one row per key (value fields flattened).
+
+    ``value_schema`` is a DataType or a DDL string (quote non-ASCII field names with
+    backticks)."""
+    if isinstance(value_schema, str):
+        vt = T._parse_datatype_string(value_schema)
+    else:
+        vt = value_schema
     txt = spark.read.option("wholetext", True).text(path)
-    m = txt.select(F.explode(F.from_json(F.col("value"), f"map<string,{vs}>")).alias(key_name, "_v"))
-    return m.select(key_name, "_v.*") if vs.startswith("struct") else m.withColumnRenamed("_v", "value")
+    m = txt.select(F.explode(F.from_json(F.col("value"), T.MapType(T.StringType(), vt))).alias(key_name, "_v"))
+    return m.select(key_name, "_v.*") if isinstance(vt, T.StructType) else m.withColumnRenamed("_v", "value")
 
 
 def unpivot_coded(df: DataFrame, id_col: str, prefix: str, code_map: dict[str, str],
