@@ -101,9 +101,7 @@ def scale_many(df: DataFrame, specs: list[dict], by=None) -> DataFrame:
         val, extra = _scaled(p)
         new_cols.update(extra)
         new_cols[p["out"]] = val
-    for name, col in new_cols.items():
-        s = s.withColumn(name, col)
-    return s.drop(*aggs.keys())
+    return s.withColumns(new_cols).drop(*aggs.keys())
 
 
 def _scaled(p: dict) -> tuple[Column, dict]:

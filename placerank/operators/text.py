@@ -311,9 +311,12 @@ def cooccurring_token(df: DataFrame, entity: str, c: str, keywords: DataFrame, k
 
 # ------------------------------------------------------------------ tokens & vocabulary
 
-def tokens(c, stop: list[str] | None = None, min_len: int = 2, pattern: str = r"[\p{L}\p{N}_]+",
+TOKEN_CLASS = r"[\p{L}\p{N}_]"
+
+
+def tokens(c, stop: list[str] | None = None, min_len: int = 2, pattern: str = TOKEN_CLASS + "+",
            lower: bool = True) -> Column:
-    """TX15: regex tokens (duplicates kept), minus stop words, length ≥ ``min_len``."""
+    """TX15 as an array: regex tokens (duplicates kept), minus stop words, length ≥ ``min_len``."""
     t = _c(c).cast("string")
     t = F.lower(t) if lower else t
     toks = F.regexp_extract_all(t, F.lit(f"({pattern})"), 1)
@@ -321,44 +324,59 @@ def tokens(c, stop: list[str] | None = None, min_len: int = 2, pattern: str = r"
     return F.filter(toks, lambda x: (F.length(x) >= min_len) & ~F.array_contains(stop_arr, x))
 
 
-def vocabulary(df: DataFrame, doc: str, toks: str, min_df: float = 1, max_df: float = 1.0,
+def token_rows(df: DataFrame, c: str, keep=None, stop: list[str] | None = None, min_len: int = 2,
+               lower: bool = True, out: str = "term") -> DataFrame:
+    """TX15 as rows: one row per token. Tokens are the maximal runs of letters, digits
+    and ``_``, found by splitting on the complement class; stop words and short tokens
+    are removed by an ordinary (codegen) filter — no per-element lambda."""
+    t = F.col(c).cast("string")
+    t = F.lower(t) if lower else t
+    rows = df.select(*_cols(keep), F.explode(F.split(t, "[^" + TOKEN_CLASS[1:-1] + "]+")).alias(out))
+    cond = (F.length(out) >= max(min_len, 1))
+    if stop:
+        cond = cond & ~F.col(out).isin(list(stop))
+    return rows.filter(cond)
+
+
+def vocabulary(rows: DataFrame, doc: str, term: str = "term", min_df: float = 1, max_df: float = 1.0,
                max_features: int | None = None) -> DataFrame:
-    """TX16: terms with document frequency ≥ ``min_df`` (count, or share when < 1) and
-    ≤ ``max_df`` (share, or count when > 1), the ``max_features`` most frequent by
-    corpus term frequency (ties by term)."""
-    n_docs = df.select(doc).distinct().agg(F.count(F.lit(1)).alias("_N"))
-    per = df.select(doc, F.explode(toks).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("_tf"))
-    stats = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_tf").alias("tf"))
+    """TX16 over token rows (doc, term): terms with document frequency ≥ ``min_df``
+    (count, or share when < 1) and ≤ ``max_df`` (share, or count when > 1), the
+    ``max_features`` most frequent by corpus term frequency (ties by term)."""
+    n_docs = rows.select(doc).distinct().agg(F.count(F.lit(1)).alias("_N"))
+    per = rows.groupBy(doc, term).agg(F.count(F.lit(1)).alias("_tf"))
+    stats = per.groupBy(term).agg(F.count(F.lit(1)).alias("df"), F.sum("_tf").alias("tf"))
     stats = stats.crossJoin(F.broadcast(n_docs))
     lo = F.lit(float(min_df)) * F.col("_N") if min_df < 1 else F.lit(float(min_df))
     hi = F.lit(float(max_df)) * F.col("_N") if max_df <= 1 else F.lit(float(max_df))
     kept = stats.filter((F.col("df") >= lo) & (F.col("df") <= hi)).drop("_N")
     if max_features:
         # a top-k selection: every task keeps its best k, then k over the survivors
-        top = kept.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
-        w = Window.partitionBy().orderBy(F.col("tf").desc(), F.col("term").asc())  # ≤ max_features rows
+        top = kept.orderBy(F.col("tf").desc(), F.col(term).asc()).limit(max_features)
+        w = Window.partitionBy().orderBy(F.col("tf").desc(), F.col(term).asc())  # ≤ max_features rows
         kept = top.withColumn("tf_rank", F.row_number().over(w).cast("long"))
     return kept.withColumn("df", F.col("df").cast("long")).withColumn("tf", F.col("tf").cast("long"))
 
 
-def class_tfidf(df: DataFrame, label: str, toks: str, top_n: int = 10) -> DataFrame:
-    """TX17 word weights per class (c-TF-IDF, Grootendorst 2022): term frequency
-    L1-normalised per class × ln(1 + A / f_t), A = floor(mean words per class),
-    f_t = frequency of t over all classes. Top ``top_n`` terms per class."""
-    tc = df.select(label, F.explode(toks).alias("term")).groupBy(label, "term").agg(F.count(F.lit(1)).alias("tf"))
+def class_tfidf(rows: DataFrame, label: str, term: str = "term", top_n: int = 10) -> DataFrame:
+    """TX17 word weights per class over token rows (c-TF-IDF, Grootendorst 2022): term
+    frequency L1-normalised per class × ln(1 + A / f_t), A = floor(mean words per
+    class), f_t = frequency of t over all classes. Top ``top_n`` terms per class."""
+    tc = rows.groupBy(label, term).agg(F.count(F.lit(1)).alias("tf"))
     cls = tc.groupBy(label).agg(F.sum("tf").alias("_ct"))
-    ft = tc.groupBy("term").agg(F.sum("tf").alias("_ft"))
+    ft = tc.groupBy(term).agg(F.sum("tf").alias("_ft"))
     A = cls.agg(F.floor(F.avg("_ct")).alias("_A"))
-    j = tc.join(cls, label).join(ft, "term").crossJoin(F.broadcast(A))
+    j = tc.join(cls, label).join(ft, term).crossJoin(F.broadcast(A))
     j = j.withColumn("weight", F.col("tf") / F.col("_ct") * F.log(1.0 + F.col("_A") / F.col("_ft")))
     from .rank import cap_per_key
-    top = cap_per_key(j, label, [F.col("weight").desc(), F.col("term").asc()], top_n, out="term_rank")
-    return top.select(label, "term", F.col("tf").cast("long").alias("tf"), "weight",
+    top = cap_per_key(j, label, [F.col("weight").desc(), F.col(term).asc()], top_n, out="term_rank")
+    return top.select(label, term, F.col("tf").cast("long").alias("tf"), "weight",
                       F.col("term_rank").cast("long").alias("term_rank"))
 
 
-def topics(df: DataFrame, vec: str, doc: str, toks: str, k: int = 10, dims: int = 8,
-           outlier_q: float = 0.95, top_n: int = 10, seed: int = 7, n_docs: int = 3) -> dict:
+def topics(df: DataFrame, vec: str, doc: str, text: str, k: int = 10, dims: int = 8,
+           outlier_q: float = 0.95, top_n: int = 10, seed: int = 7, n_docs: int = 3,
+           stop: list[str] | None = None) -> dict:
     """TX17 (re-aimed): vectors → PCA → KMeans; rows farther from their centre than
     the ``outlier_q`` distance quantile of their cluster get topic −1. Returns
     ``{"assignments", "topic_info", "words", "representative"}`` frames."""
@@ -382,8 +400,8 @@ def topics(df: DataFrame, vec: str, doc: str, toks: str, k: int = 10, dims: int
     thr = quantile_exact(a, "_dist", {"_thr": outlier_q}, by="_cluster")
     a = a.join(thr, "_cluster").withColumn("topic", F.when(F.col("_dist") > F.col("_thr"), F.lit(-1))
                                            .otherwise(F.col("_cluster")))
-    assignments = a.select(doc, "topic", "_dist", *[c for c in df.columns if c not in (vec,)])
-    words = class_tfidf(assignments, "topic", toks, top_n)
+    assignments = a.select(doc, "topic", "_dist", *[c for c in df.columns if c not in (vec, doc)])
+    words = class_tfidf(token_rows(assignments, text, keep="topic", stop=stop), "topic", "term", top_n)
     info = assignments.groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
     names = words.filter(F.col("term_rank") <= 4).groupBy("topic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "term"))), lambda s: s["term"]), "_").alias("_nm"))

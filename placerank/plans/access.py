@@ -13,6 +13,7 @@ from ..functions.stats import normal_cdf_sql
 from ..operators.joins import weighted_distance
 from ..operators.reshape import pivot_wide
 from ..operators.scale import scale_many
+from ..operators.joins import maybe_broadcast
 from ..session import cut_lineage
 from . import sqlkit as Q
 from .composite import (access_final, parking_score, population_score, region_scores,
@@ -36,7 +37,7 @@ def access_base(spark, sf):
     wd = wd.withColumn("radius", F.col("radius_m").cast("int"))
     wide = pivot_wide(wd, "s_suppkey", "radius", "weighted_dist_m", RADII, fmt="dist_{v}m")
     n = load(spark, sf, "nation")
-    base = (s.join(F.broadcast(n.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
+    base = (s.join(maybe_broadcast(n.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(wide, "s_suppkey")
             .select("s_suppkey", "n_name", "s_acctbal", *[f"dist_{r}m" for r in RADII],
                     F.when(F.col("s_acctbal") >= 0, F.abs(F.col("s_acctbal")) % 40 + 3).alias("minutes"),

@@ -63,6 +63,7 @@ def weighted_composites(df: DataFrame, specs: dict[str, dict[str, float]], imput
     cols = list(dict.fromkeys(c for w in specs.values() for c in w))
     med = medians(df, cols)
     j = df.crossJoin(F.broadcast(med))
+    totals = {}
     for out, weights in specs.items():
         total = None
         for c, w in weights.items():
@@ -71,8 +72,8 @@ def weighted_composites(df: DataFrame, specs: dict[str, dict[str, float]], imput
                 fillv = F.coalesce(fillv, F.lit(float(all_missing)))
             term = F.coalesce(F.col(c).cast("double"), fillv) * F.lit(float(w))
             total = term if total is None else total + term
-        j = j.withColumn(out, total)
-    return j.drop(*[f"{c}__median" for c in cols])
+        totals[out] = total
+    return j.withColumns(totals).drop(*[f"{c}__median" for c in cols])
 
 
 def representative_minutes(df: DataFrame, final: str, parts: list[list[str]], out: str = "final_walk_min") -> DataFrame:
@@ -141,10 +142,9 @@ def access_final(df: DataFrame, key: str, pop_cols: dict, walk: str, park: str,
 
     def filled(c):
         return F.coalesce(F.col(c).cast("double"), F.col(f"{c}__median"))
-    totals = {}
-    for r, c in pop_cols.items():
-        base = base.withColumn(f"total_{r}m", filled(c) * pop_w + filled(walk) * walk_w + filled(park) * park_w)
-        totals[f"total_{r}m"] = rw[r]
+    totals = {f"total_{r}m": rw[r] for r in pop_cols}
+    base = base.withColumns({f"total_{r}m": filled(c) * pop_w + filled(walk) * walk_w + filled(park) * park_w
+                             for r, c in pop_cols.items()})
     base = base.drop(*[f"{c}__median" for c in comps])
     base = cut_lineage(base.withColumn("total", row_weighted_mean(totals)))
     base = scale(base, "total", "total_100", "zcdf_margin", eps=eps, sharp=sharp, constant=50.0,

@@ -8,6 +8,7 @@ from ..functions.rowwise import row_mean
 from ..operators.agg import group_stats
 from ..operators.rank import rank_min
 from ..operators.scale import scale, scale_many  # noqa: F401
+from ..operators.joins import maybe_broadcast
 from ..session import cut_lineage
 from . import sqlkit as Q
 from .registry import load, query
@@ -41,7 +42,7 @@ def region_indicator_frame(orders, customer, nation):
     """
     per_cust = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
     cn = customer.select("c_custkey", "c_nationkey").join(
-        F.broadcast(nation.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+        maybe_broadcast(nation.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     j = per_cust.join(cn, per_cust.o_custkey == cn.c_custkey)
     g = group_stats(j, "n_name", n_orders=F.sum("n").cast("long"), total_price=F.sum("s"),
                     avg_price=F.sum("s") / F.sum("n"))

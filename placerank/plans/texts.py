@@ -282,8 +282,8 @@ SELECT term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, CAST(tf_rank AS
 """)
 def vocabulary_q(spark, sf):
     """TX15 tokens (stop words, length ≥ 2), TX16 min_df / max_df / max_features vocabulary."""
-    d = load(spark, sf, "documents").select("doc_id", T.tokens("text", _STOP).alias("toks"))
-    return T.vocabulary(d, "doc_id", "toks", min_df=2, max_df=0.5, max_features=300)
+    rows = T.token_rows(load(spark, sf, "documents"), "text", keep="doc_id", stop=_STOP)
+    return T.vocabulary(rows, "doc_id", "term", min_df=2, max_df=0.5, max_features=300)
 
 
 @query("frequency_table", f"""
@@ -292,8 +292,7 @@ WHERE term IS NOT NULL GROUP BY term
 """)
 def frequency_table(spark, sf):
     """AG15: token frequency table (most common first)."""
-    d = load(spark, sf, "documents").select(F.explode(T.tokens("text", _STOP)).alias("term"))
-    return value_counts(d, "term")
+    return value_counts(T.token_rows(load(spark, sf, "documents"), "text", stop=_STOP), "term")
 
 
 # ------------------------------------------------------------------ embeddings (TX7, TX17–TX20)
@@ -339,8 +338,7 @@ SELECT label, term, CAST(tf AS BIGINT) AS tf, weight, CAST(term_rank AS BIGINT)
 
 def _ctfidf(spark, sf):
     j = T.require_min_docs(_topic_docs(spark, sf), "label", 10)
-    j = j.select("label", T.tokens("text", _STOP).alias("toks"))
-    return T.class_tfidf(j, "label", "toks", top_n=10)
+    return T.class_tfidf(T.token_rows(j, "text", keep="label", stop=_STOP), "label", "term", top_n=10)
 
 
 @query("topic_ctfidf", _CTFIDF_SQL, doubles=["weight"])
@@ -382,8 +380,8 @@ def topic_docs(spark, sf):
 @query("topic_clusters", None)
 def topic_clusters(spark, sf):
     """TX17 re-aimed: PCA → KMeans → outliers (−1) → per-topic c-TF-IDF words (rows-only check)."""
-    j = _topic_docs(spark, sf).withColumn("toks", T.tokens("text", _STOP))
-    res = T.topics(j.select("doc_id", "embedding", "toks"), "embedding", "doc_id", "toks", k=8, dims=8)
+    j = _topic_docs(spark, sf)
+    res = T.topics(j.select("doc_id", "embedding", "text"), "embedding", "doc_id", "text", k=8, dims=8, stop=_STOP)
     return res["assignments"].select("doc_id", "topic")
 
 

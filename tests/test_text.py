@@ -81,10 +81,14 @@ def test_tokens_vocabulary_ctfidf(spark):
                                "d int, c string, t string")
     tk = df.select("d", "c", T.tokens("t", ["the"]).alias("toks"))
     assert tk.filter("d = 1").first()["toks"] == ["park", "park", "lake"]
+    rows = T.token_rows(df, "t", keep=["d", "c"], stop=["the"], min_len=1)
+    assert sorted(r["term"] for r in rows.filter("d = 1").collect()) == ["lake", "park", "park"]
+    assert "x" in [r["term"] for r in rows.collect()]
+    rows = T.token_rows(df, "t", keep=["d", "c"], stop=["the"])
     v = {r["term"]: (r["df"], r["tf"], r["tf_rank"]) for r in
-         T.vocabulary(tk, "d", "toks", min_df=2, max_features=10).collect()}
+         T.vocabulary(rows, "d", "term", min_df=2, max_features=10).collect()}
     assert v == {"tree": (2, 3, 1), "lake": (2, 2, 2)}
-    w = {(r["c"], r["term"]): r["weight"] for r in T.class_tfidf(tk, "c", "toks", 10).collect()}
+    w = {(r["c"], r["term"]): r["weight"] for r in T.class_tfidf(rows, "c", "term", 10).collect()}
     # A = floor(mean words per class) = floor((5 + 2) / 2) = 3; f(park) = 2
     import math
     assert abs(w[("a", "park")] - (2 / 5) * math.log(1 + 3 / 2)) < 1e-12
