@@ -297,3 +297,35 @@ def wide_summary_q(spark, sf):
         F.sum("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"))
     g = replicate_group(g, "flag", "A", ["A", "X", "Y"])
     return wide_summary(g, "yr", "flag", _FLAGS, ["qty", "price"], fmt="{m}_{v}")
+
+
+# ------------------------------------------------------------------ CI19
+
+_EN_TO_LOCAL = {"AFRICA": "아프리카", "AMERICA": "아메리카", "ASIA": "아시아", "EUROPE": "유럽"}
+
+
+@query("map_layer", """
+WITH s AS (SELECT r.r_name AS region_name, avg(c.c_acctbal) AS score
+           FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+           GROUP BY r.r_name),
+t AS (SELECT CASE region_name """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EN_TO_LOCAL.items()) + """ END AS name_local,
+             score FROM s),
+dim AS (SELECT r_regionkey, CASE r_name """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EN_TO_LOCAL.items()) + """ ELSE r_name END AS name_local
+        FROM region),
+j AS (SELECT dim.r_regionkey, dim.name_local, t.score FROM dim LEFT JOIN t USING (name_local)),
+b AS (SELECT min(score) AS lo, max(score) AS hi FROM j)
+SELECT r_regionkey, name_local, score,
+  CASE WHEN score IS NULL THEN NULL WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 0.0 END AS display_value,
+  score IS NULL AS no_data
+FROM j CROSS JOIN b
+""", doubles=["score", "display_value"])
+def map_layer_q(spark, sf):
+    """CI19: boundary attributes (regions, local names) left-joined with scores whose
+    English keys are translated (unmapped → missing), plus the shared display value."""
+    from ..functions.text import apply_map
+    from .composite import map_layer
+    c, n, r = load(spark, sf, "customer"), load(spark, sf, "nation"), load(spark, sf, "region")
+    scores = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+              .groupBy(F.col("r_name").alias("name_local")).agg(F.avg("c_acctbal").alias("score")))
+    dim = r.select("r_regionkey", apply_map("r_name", _EN_TO_LOCAL).alias("name_local"))
+    return map_layer(dim, scores, "name_local", "name_local", "score", name_map=_EN_TO_LOCAL)
