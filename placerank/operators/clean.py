@@ -32,7 +32,7 @@ def fill(df: DataFrame, value, cols=None) -> DataFrame:
 
 def drop_labels(df: DataFrame, c: str, labels: list[str]) -> DataFrame:
     """PR8: exclude subtotal/total/junk labels; a null label is kept (pandas ``~isin``)."""
-    return df.filter(~F.coalesce(F.col(c).isin(labels), F.lit(False)))
+    return df.filter(F.col(c).isNull() | ~F.col(c).isin(list(labels)))  # pushable to the scan
 
 
 def time_code_filter(df: DataFrame, day: str, hour: str, code: str | None = None, *,
