@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 SALTS = 64
 # Largest group (rows) ranked or sorted inside one task; above it the range-sort path is used.
 SMALL_ROWS = 1_000_000
+# Plan-size estimates that decide without a job: a frame this small fits one task whole;
+# a frame this large always takes the range-sort path (no extra pass over a huge input).
+SMALL_BYTES = 64 * 1024 * 1024
+HUGE_BYTES = 8 * 1024 ** 3
 
 
 def _cols(x) -> list:
@@ -56,8 +60,28 @@ def largest_group(df: DataFrame, by=None) -> int:
     return int(row["_m"] or 0)
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (file sizes for scans; an upper
+    bound through aggregates without CBO). No job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+
+
 def fits_one_task(df: DataFrame, by=None) -> bool:
-    return largest_group(df, by) <= small_limit(df)
+    """Whether the largest group can be sorted/buffered in one task. Decided from the
+    plan estimate when it is clearly small or clearly huge, otherwise by one small
+    aggregate returning the largest group's row count."""
+    limit = small_limit(df)
+    if limit <= 0:
+        return False
+    est = plan_bytes(df)
+    if est is not None and est <= SMALL_BYTES:
+        return True
+    if est is not None and est >= HUGE_BYTES:
+        return False
+    return largest_group(df, by) <= limit
 
 
 def global_index(df: DataFrame, order: list[Column], out: str = "_gidx",
