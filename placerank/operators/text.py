@@ -12,8 +12,6 @@ where hit k starts, so hit starts are prefix sums of piece lengths.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +37,6 @@ def _cols(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def pin(df: DataFrame, **exprs: Column) -> DataFrame:
     """Add columns that later lambdas read many times.
 

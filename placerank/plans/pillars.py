@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rowwise import row_mean
-from ..operators.agg import group_stats, richness_score, run_metrics, share
+from ..operators.agg import richness_score, run_metrics, share
 from ..operators.scale import scale_many
 from ..session import cut_lineage
 from . import sqlkit as Q
@@ -109,14 +108,12 @@ def _pillar_sql(name):
 
 
 _W = {"CRI": 0.2, "DRM": 0.25, "TRA": 0.25, "FIR": 0.1, "MED": 0.1, "RST": 0.1}
-_SAFETY_SQL = ("WITH " + _NATION_SQL + ",\n" + ",\n".join(_pillar_sql(p) for p in _PILLARS)
-               + "\nSELECT n_nationkey, " + ", ".join(f"{p}_score" for p in _PILLARS) + ", "
-               + " + ".join(f"{_W[p]} * {p}_score" for p in _PILLARS) + " AS safety_score\nFROM "
-               + " JOIN ".join(f"{p}_d" for p in _PILLARS).replace(" JOIN ", " JOIN ", 1)
-               .replace("_d JOIN", "_d JOIN") + "")
-# inner joins on the key
-_SAFETY_SQL = _SAFETY_SQL.rsplit("\nFROM ", 1)[0] + "\nFROM " + f"{list(_PILLARS)[0]}_d" + "".join(
-    f" JOIN {p}_d USING (n_nationkey)" for p in list(_PILLARS)[1:])
+_NAMES = list(_PILLARS)
+_SAFETY_SQL = (
+    "WITH " + _NATION_SQL + ",\n" + ",\n".join(_pillar_sql(p) for p in _NAMES)
+    + "\nSELECT n_nationkey, " + ", ".join(f"{p}_score" for p in _NAMES) + ", "
+    + " + ".join(f"{_W[p]} * {p}_score" for p in _NAMES) + " AS safety_score\n"
+    + f"FROM {_NAMES[0]}_d" + "".join(f" JOIN {p}_d USING (n_nationkey)" for p in _NAMES[1:]))
 
 
 @query("safety_style_index", _SAFETY_SQL, doubles=[f"{p}_score" for p in _PILLARS] + ["safety_score"])
