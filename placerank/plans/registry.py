@@ -2,10 +2,13 @@
 equivalent SQL that DuckDB runs on the same parquet files.
 
 Doubles listed in ``doubles`` are rounded to ``digits`` on both sides so the
-comparison does not depend on floating-point summation order. Rounding is
-``floor(x·10^d + 0.5) / 10^d`` on both engines: plain IEEE arithmetic, so equal
+comparison does not depend on floating-point summation order (``doubles`` may
+also map a column to its own digit count). Rounding is
+``floor(x·10^d + TIE) / 10^d`` on both engines: plain IEEE arithmetic, so equal
 inputs give bit-equal outputs (Spark's ``round`` works on the decimal text of a
-double and DuckDB's on its binary value, which split exact ties).
+double and DuckDB's on its binary value, which split exact ties). The tie point
+is moved off .5 because inputs with few decimals produce exact .5 ties that
+summation-order noise would split; at TIE the data has no such ties.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TIE = 0.4876543211
+
 
 @dataclass
 class Entry:
     fn: Callable[[SparkSession, str], DataFrame]
     sql: str | None
-    doubles: tuple = field(default_factory=tuple)
+    doubles: dict = field(default_factory=dict)
     digits: int = 6
 
 
@@ -32,7 +37,8 @@ def query(name: str, sql: str | None, doubles=(), digits: int = 6):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(fn, sql, tuple(doubles), digits)
+        dd = dict(doubles) if isinstance(doubles, dict) else {c: digits for c in doubles}
+        REGISTRY[name] = Entry(fn, sql, dd, digits)
         return fn
     return deco
 
@@ -63,8 +69,8 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = e.fn(spark, sf_dir)
         if e.doubles:
-            scale = float(10 ** e.digits)
-            df = df.withColumns({c: F.floor(F.col(c).cast("double") * scale + 0.5) / scale for c in e.doubles})
+            df = df.withColumns({c: F.floor(F.col(c).cast("double") * float(10 ** d) + TIE) / float(10 ** d)
+                                 for c, d in e.doubles.items()})
         return df
     run.__name__ = name
     return run
@@ -76,6 +82,6 @@ def oracle_text(name: str) -> str | None:
         return None
     if not e.doubles:
         return e.sql
-    scale = f"{float(10 ** e.digits)!r}"
-    repl = ", ".join(f"floor(CAST({c} AS DOUBLE) * {scale} + 0.5) / {scale} AS {c}" for c in e.doubles)
+    repl = ", ".join(f"floor(CAST({c} AS DOUBLE) * {float(10 ** d)!r} + {TIE!r}) / {float(10 ** d)!r} AS {c}"
+                     for c, d in e.doubles.items())
     return f"SELECT * REPLACE ({repl}) FROM (\n{e.sql}\n) AS _q"

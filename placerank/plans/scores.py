@@ -54,7 +54,8 @@ def region_indicator_frame(orders, customer, nation):
 
 
 @query("region_indicator", _RI_SQL,
-       doubles=["total_price", "avg_price", "n_orders_score", "total_price_score", "avg_price_score", "score"])
+       doubles={"total_price": 2, "avg_price": 6, "n_orders_score": 6, "total_price_score": 6, "avg_price_score": 6,
+                "score": 6})
 def region_indicator(spark, sf):
     return region_indicator_frame(load(spark, sf, "orders"), load(spark, sf, "customer"), load(spark, sf, "nation"))
 

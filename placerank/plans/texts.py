@@ -22,10 +22,12 @@ def _q(s: str) -> str:
 
 # ------------------------------------------------------------------ SQL building blocks
 
-def sql_collapse(x: str) -> str:
-    """Runs of ≥3 equal characters → 2 (the regex back-reference, via a character list)."""
-    return (f"array_to_string(list_filter(string_split({x}, ''), lambda ch, i: i < 3 OR ch <> "
-            f"string_split({x}, '')[i - 1] OR ch <> string_split({x}, '')[i - 2]), '')")
+def sql_collapse(chars: str) -> str:
+    """Runs of ≥3 equal characters → 2 (the regex back-reference, via a character list).
+    ``chars`` must be a column holding ``string_split(text, '')`` so the lambda reads it
+    without splitting again."""
+    return (f"array_to_string(list_filter({chars}, lambda ch, i: i < 3 OR ch <> {chars}[i - 1] "
+            f"OR ch <> {chars}[i - 2]), '')")
 
 
 def sql_clean_web(x: str) -> str:
@@ -73,9 +75,9 @@ def sql_negated_flags(t: str, stem: str, negators: list[str], w: int = 4) -> str
 # ------------------------------------------------------------------ TX1–TX3
 
 @query("web_clean", f"""
-SELECT page_id, trim(regexp_replace(regexp_replace({sql_collapse('t')}, '[\\r\\t]+', ' ', 'g'), '{WS}{{2,}}', ' ', 'g'))
+SELECT page_id, trim(regexp_replace(regexp_replace({sql_collapse('chars')}, '[\\r\\t]+', ' ', 'g'), '{WS}{{2,}}', ' ', 'g'))
   AS web_text
-FROM (SELECT page_id, {sql_clean_web('html')} AS t FROM pages)
+FROM (SELECT page_id, string_split({sql_clean_web('html')}, '') AS chars FROM pages)
 """)
 def web_clean(spark, sf):
     """TX1: tags, URLs, emoji, noise phrases removed; repeats collapsed; whitespace squeezed."""
