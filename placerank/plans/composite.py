@@ -208,14 +208,31 @@ def traffic_score(safety_idx: Column, accident: Column, congestion: Column) -> C
 
 def safety_index(pillars: dict[str, DataFrame], key: str, domain: DataFrame,
                  weights: dict[str, float] | None = None, out: str = "safety_score") -> DataFrame:
-    """CI14: every pillar (key, ``{name}_score``) completed over the domain with its
-    median (JN7), inner-joined, weighted sum."""
-    from ..operators.joins import complete_domain
+    """CI14: every pillar (key, ``{name}_score``) completed over the domain with its own
+    median (JN7; extra members kept), inner-joined on the key, weighted sum.
+
+    Done in one pass: the pillars are stacked long (key, pillar, score), one
+    aggregate gives every pillar's median, one full join against domain × pillar
+    names completes them, and one pivot brings them back side by side.
+    """
     w = weights or SAFETY_WEIGHTS
-    done = [complete_domain(df, domain, key, f"{name}_score") for name, df in pillars.items()]
-    j = join_all(done, key, "inner")
-    total = reduce(lambda a, b: a + b, [F.lit(float(w[n])) * F.col(f"{n}_score") for n in pillars])
-    return j.withColumn(out, total)
+    names = list(pillars)
+    long = None
+    for n, df in pillars.items():
+        part = df.select(key, F.lit(n).alias("_pillar"), F.col(f"{n}_score").cast("double").alias("_score"))
+        long = part if long is None else long.unionByName(part)
+    med = quantile_exact(long, "_score", {"_med": 0.5}, by="_pillar")
+    pn = domain.sparkSession.createDataFrame([(n,) for n in names], "_pillar string")
+    frame = domain.select(key).distinct().crossJoin(F.broadcast(pn))  # domain × a literal list
+    full = frame.join(long, [key, "_pillar"], "full").join(F.broadcast(med), "_pillar", "left")
+    full = full.withColumn("_score", F.coalesce(F.col("_score"), F.col("_med"))).withColumn("_hit", F.lit(1))
+    # a (key, pillar) row exists when the key is in the domain or in that pillar; keys
+    # lacking a row for some pillar drop out, as the inner join of completed pillars does
+    wide = full.groupBy(key).pivot("_pillar", names).agg(F.first("_score").alias("s"), F.max("_hit").alias("h"))
+    present = reduce(lambda a, b: a & b, [F.col(f"{n}_h").isNotNull() for n in names])
+    wide = wide.filter(present).select(key, *[F.col(f"{n}_s").alias(f"{n}_score") for n in names])
+    total = reduce(lambda a, b: a + b, [F.lit(float(w[n])) * F.col(f"{n}_score") for n in names])
+    return wide.withColumn(out, total)
 
 
 def equal_subindex(df: DataFrame, prefix: str, out: str) -> DataFrame:

@@ -74,3 +74,14 @@ def test_resolve_alias(spark):
     m, u = resolve_alias(targets, aliases, master, "t", "name", "o")
     assert {r["t"]: r["o"] for r in m.collect()} == {"북서울꿈의숲": 1, "서울숲": 2}
     assert [r["t"] for r in u.collect()] == ["없는공원"]
+
+
+def test_safety_index_completion(spark):
+    from placerank.plans.composite import safety_index
+    dom = spark.createDataFrame([(k,) for k in range(4)], "k int")
+    a = spark.createDataFrame([(0, 10.0), (1, 20.0), (2, 40.0), (7, 5.0)], "k int, A_score double")
+    b = spark.createDataFrame([(0, None), (1, None)], "k int, B_score double")  # no value at all
+    got = {r["k"]: (r["A_score"], r["B_score"], r["s"]) for r in
+           safety_index({"A": a, "B": b}, "k", dom, weights={"A": 1.0, "B": 1.0}, out="s").collect()}
+    # domain members get A's median (20) and keep a missing B; key 7 is not in every pillar
+    assert got == {0: (10.0, None, None), 1: (20.0, None, None), 2: (40.0, None, None), 3: (15.0, None, None)}
