@@ -218,8 +218,10 @@ def weighted_distance(places: DataFrame, points: DataFrame, key, radii: list[flo
                        F.when(pos, F.col("_wd") / F.col("_w")).alias("weighted_dist_m"))
     # every place (× right group) × radius, zeros where nothing is in range
     rad = places.sparkSession.createDataFrame([(float(r),) for r in radii], "radius_m double")
-    frame = places.select(*key).distinct().crossJoin(F.broadcast(rad))
+    frame = places.select(*key).distinct().crossJoin(F.broadcast(rad))  # × a literal radius list
     if by_right:
-        frame = frame.crossJoin(points.select(*by_right).distinct())
+        # the output has one row per place × radius × right-side group (e.g. snapshot date);
+        # the distinct groups are few, broadcast only when their estimated size is bounded
+        frame = frame.crossJoin(maybe_broadcast(points.select(*by_right).distinct()))
     res = frame.join(long, key + by_right + ["radius_m"], "left")
     return res.fillna({"n_points": 0, "weight_sum": 0.0})
