@@ -60,13 +60,16 @@ def largest_group(df: DataFrame, by=None) -> int:
     return int(row["_m"] or 0)
 
 
-def plan_bytes(df: DataFrame) -> int | None:
+def plan_bytes(df: DataFrame) -> tuple[int | None, bool]:
     """Catalyst's size estimate of the optimized plan (file sizes for scans; an upper
-    bound through aggregates without CBO). No job runs."""
+    bound through aggregates without CBO) and whether the plan joins. Without CBO a
+    join's estimate is the product of its inputs', so a large value is not evidence
+    of a large frame there. No job runs."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return int(str(plan.stats().sizeInBytes())), "Join" in plan.toString()
     except Exception:  # noqa: BLE001 - estimate unavailable
-        return None
+        return None, True
 
 
 def fits_one_task(df: DataFrame, by=None) -> bool:
@@ -76,10 +79,10 @@ def fits_one_task(df: DataFrame, by=None) -> bool:
     limit = small_limit(df)
     if limit <= 0:
         return False
-    est = plan_bytes(df)
+    est, joins = plan_bytes(df)
     if est is not None and est <= SMALL_BYTES:
         return True
-    if est is not None and est >= HUGE_BYTES:
+    if est is not None and est >= HUGE_BYTES and not joins:
         return False
     return largest_group(df, by) <= limit
 
