@@ -67,9 +67,14 @@ def plan_bytes(df: DataFrame) -> tuple[int | None, bool]:
     of a large frame there. No job runs."""
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
-        return int(str(plan.stats().sizeInBytes())), "Join" in plan.toString()
+        est = int(str(plan.stats().sizeInBytes()))
+        joins = "Join" in plan.toString()
     except Exception:  # noqa: BLE001 - estimate unavailable
         return None, True
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)).rstrip("bB") or 0)
+    if est >= unknown:  # no statistics (e.g. local data): the default value, not a size
+        return None, joins
+    return est, joins
 
 
 def fits_one_task(df: DataFrame, by=None) -> bool:

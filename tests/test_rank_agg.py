@@ -119,3 +119,21 @@ def test_fill_counts_profile_explode(spark):
     ex = spark.createDataFrame([("['a', 'b']", "10"), ("a", "x"), (None, "3")], "r string, m string")
     got = {r["region"]: (r["total"], r["mean"]) for r in explode_sum(ex, "r", "m").collect()}
     assert got == {"a": (10.0, 5.0), "b": (10.0, 10.0)}
+
+
+def test_strategy_decision(spark, tmp_path):
+    from placerank.operators.rank import fits_one_task, plan_bytes
+    small = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    est, joins = plan_bytes(small)
+    assert est is None and not joins  # local data has no statistics: counted instead
+    assert fits_one_task(small)
+    small.write.parquet(str(tmp_path / "s"))
+    est2, _ = plan_bytes(spark.read.parquet(str(tmp_path / "s")))
+    assert est2 is not None and est2 < 1024 * 1024  # file-based estimate: decided without a job
+    joined = small.join(small.withColumnRenamed("v", "w"), "k")
+    assert plan_bytes(joined)[1]  # joins are detected (their estimates are products without CBO)
+    spark.conf.set("placerank.smallGroupRows", "0")
+    try:
+        assert not fits_one_task(small)
+    finally:
+        spark.conf.unset("placerank.smallGroupRows")
