@@ -203,15 +203,15 @@ def dedup_table(docs: DataFrame) -> DataFrame:
 def keep_winners(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns and without repeats: of equal texts one row stays."""
     out = saved(dedup_table(docs).where("NOT kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"),
+        F.col("doc_id").alias("_llm_id"), F.col("text_sha256").alias("_llm_sha"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")).distinct(), "repeats")
     n = {r["twin"]: r["n"] for r in out.groupBy("twin").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keyed = docs.withColumn("_digest", F.sha2(ascii_lower(whole_text()).cast("binary"), 256))
+    keyed = docs.withColumn("_llm_digest", F.sha2(ascii_lower(whole_text()).cast("binary"), 256))
     gone = small_side(out.where("NOT twin"), n.get(False, 0), BROADCAST_ROWS)
     twin = small_side(out.where("twin"), n.get(True, 0), BROADCAST_ROWS)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_digest") == F.col("_llm_sha"))
     left = keyed.join(gone, same, "left_anti") if n.get(False) else keyed
     if n.get(True):  # rows that agree in both id and text: one of them
         left = left.join(twin, same, "left_anti").unionByName(
-            left.join(twin, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
+            left.join(twin, same, "left_semi").dropDuplicates(["doc_id", "_llm_digest"]))
     return left.select(*docs.columns)

@@ -128,11 +128,11 @@ def mixed(docs: DataFrame, seed: int = 20, **how) -> DataFrame:
     """``docs`` as the mix serves them, with all their columns: a row is there once for each time
     it is taken. Documents without words stay once."""
     times = saved(served(docs, seed, **how).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("shuffle").alias("_key"),
-        F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("_times")).where("_times > 0"), "served")
+        F.col("doc_id").alias("_llm_id"), F.col("source").alias("_llm_source"), F.col("shuffle").alias("_llm_key"),
+        F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("_llm_times")).where("_llm_times > 0"), "served")
     times = small_side(times, times.count(), SMALL_TIMES)
-    same = F.col("_key") == F.col("_shuffle")
-    same &= F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
-    taken = docs.withColumn("_shuffle", shuffle_key(seed)).join(times, same)
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long")))) \
+    same = F.col("_llm_key") == F.col("_llm_shuffle")
+    same &= F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & F.col("source").eqNullSafe(F.col("_llm_source"))
+    taken = docs.withColumn("_llm_shuffle", shuffle_key(seed)).join(times, same)
+    return taken.withColumn("_llm_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_llm_times").cast("long")))) \
         .select(*docs.columns)

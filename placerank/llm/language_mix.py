@@ -164,4 +164,4 @@ def identify(docs: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows in no language (no text or no letters)."""
     predict = predictor(fit(docs.where(~held_out())))
-    return docs.withColumn("_p", predict(F.col("text"))).where(F.col("_p.lang_pred") != UNKNOWN).select(*docs.columns)
+    return docs.withColumn("_llm_p", predict(F.col("text"))).where(F.col("_llm_p.lang_pred") != UNKNOWN).select(*docs.columns)

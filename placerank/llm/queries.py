@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_mph, fair_queue, language_mix, line_frequency, oracles, secrets
+from . import exact_mph, fair_queue, language_mix, line_frequency, oracles, secrets, setsketch
 from .common import read_table
 
 QUERIES: dict = {}
@@ -27,6 +27,12 @@ def op3_digest_index(spark, sf_dir):
     return exact_mph.dedup_table(docs).drop("historical")
 
 
+@query
+def op5_setsketch(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return setsketch.near_duplicates(docs)
+
+
 @query
 def op7_language_mixture(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
