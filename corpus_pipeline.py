@@ -1,8 +1,53 @@
-"""The corpus pipeline (being built)."""
+"""The corpus pipeline: five stages over ``documents``, each one operator of ``placerank.llm``.
 
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as Parquet to
+the shared folder and rereads it as the next stage's ``docs``. All stages but the last return the
+columns of their input:
+
+1. language identification drops documents in no language (null text, or no letters);
+2. exact deduplication keeps, of texts equal but for the case of A-Z, the row with the largest id;
+3. near deduplication keeps one document (the smallest id) of each component;
+4. mixing repeats or drops documents so that sources come near their target weights;
+5. packing returns a row for each piece of a document, placed in a sequence.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from placerank.llm import exact_mph, fair_queue, language_mix, packing, setsketch
+from placerank.llm.common import read_table, saved
+
+#: Expectation-maximisation, sketches and a genetic algorithm have no SQL form.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_mix.with_language(docs)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_mph.keep_winners(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setsketch.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return fair_queue.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs)
+
+
+STAGES = [("language ID", identify_language), ("exact dedup", drop_exact), ("near dedup", drop_near),
+          ("mixing", mix_sources), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (exact_mph, fair_queue, language_mix, line_frequency, oracles, packing, secrets, separator_scan,
-               setsketch, token_files)
+from . import (exact_mph, fair_queue, language_mix, line_frequency, oracles, packing, paragraphs, secrets,
+               separator_scan, setsketch, token_files)
 from .common import read_table
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_paragraph_minhash(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return paragraphs.repeats(docs)
+
+
 @query
 def op2_line_frequency(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
