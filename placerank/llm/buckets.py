@@ -1,52 +1,104 @@
 """From buckets of a banded sketch to components, without all pairs of a bucket.
 
-First every node is tested against one centre, the smallest node that shares a bucket with it; the
-links found merge most of a large group of copies. Then only buckets that still hold nodes of
-several components are looked at, and there every pair of nodes from different components is
-tested, so that no link between buckets' nodes that would change a component is left untested.
+First every node is tested against one centre: of the centres of its buckets (the node that meets
+most others, as the original of a group of copies does) the one that meets most. The links found
+merge most of a large group. Then only buckets that still hold nodes of several components are
+looked at. Nodes tied by such buckets form a field; a field is cut into blocks of bounded size, and
+a task takes two blocks and compares their nodes from different components by vectorised sketches,
+confirming the likely ones, until the components meet. It gives out only the links that join two
+components, so no pair of nodes from different components that shares a bucket is left uncompared,
+and no task gives out more links than it has nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
 
+BLOCK = 1024
+
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (key, node, ...) whose key has at least two nodes."""
-    keys = members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_last")) \
-        .where("centre <> _last").select(F.col("key").alias("_k"), "centre")
-    return members.join(keys, F.col("key") == F.col("_k")).drop("_k")
-
-
-def resolve(shared: DataFrame, test: Callable[[DataFrame], DataFrame],
-            near: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """(node, component) of the linked nodes. ``shared``: stored rows (key, node, centre, ...);
-    ``test``: pairs (a, b) to those that are links; ``near``: a cheap necessary condition on the
-    columns of two members by their prefixes, used in the second step."""
-    first = saved(shared.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("a")),
-                  "pairs")
+    """Stored rows (key, node, centre, meets) of the keys that hold at least two nodes; meets:
+    how often the centre meets others."""
+    keys = members.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"),
+                                      F.count(F.lit(1)).alias("held")) \
+        .where("_lo <> _hi").select(F.col("key").alias("_k"), "held")
+    rows = saved(members.select("key", "node").join(keys, F.col("key") == F.col("_k")).drop("_k"), "buckets")
+    meets = rows.groupBy("node").agg(F.sum("held").alias("meets")).withColumnRenamed("node", "_n")
+    ranked = rows.join(meets, F.col("node") == F.col("_n")).select("key", "node", "meets")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("_minus"))).alias("_c")) \
+        .select(F.col("key").alias("_k"), (-F.col("_c._minus")).alias("centre"), "_c.meets")
+    return saved(rows.select("key", "node").join(centre, F.col("key") == F.col("_k")).drop("_k"), "buckets")
+
+
+class Field:
+    """Nodes of one or two blocks. A subclass says which of the nodes ``js`` may be linked with
+    node ``i``, likeliest first, and whether a pair is linked."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows = rows
+
+    def likely(self, i: int, js: np.ndarray) -> np.ndarray:
+        return js
+
+    def linked(self, i: int, j: int) -> bool:
+        raise NotImplementedError
+
+
+def settle(rows: pd.DataFrame, field: Callable[[pd.DataFrame], Field]) -> list[tuple[int, int]]:
+    """Links that join components of the rows (node, component, block, ...)."""
+    rows = rows.drop_duplicates("node").sort_values("node").reset_index(drop=True)
+    own, links = field(rows), []
+    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+    label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    two = len(np.unique(block)) > 1
+    for i in range(len(rows) - 1):
+        js = np.arange(i + 1, len(rows))
+        js = js[(label[js] != label[i]) & ((block[js] != block[i]) | (not two))]
+        for j in own.likely(i, js) if len(js) else ():
+            if label[j] != label[i] and own.linked(i, int(j)):
+                links.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def resolve(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payload: DataFrame,
+            field: Callable[[pd.DataFrame], Field]) -> DataFrame:
+    """(node, component) of the linked nodes. ``shared``: rows of :func:`shared_buckets`; ``test``:
+    pairs (a, b) to those that are links; ``payload``: (node, ...) with what ``field`` compares."""
+    first = shared.where("node <> centre").groupBy(F.col("node").alias("b")) \
+        .agg(F.max(F.struct("meets", "centre")).alias("_c")).select(F.col("_c.centre").alias("a"), "b")
     links = saved(test(first), "links")
     label = components(links)
-    placed = shared.drop("centre").join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
-        .withColumn("component", F.coalesce("component", "node")).drop("_n")
-    placed = saved(placed, "placed")
+    placed = saved(shared.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+                   .select("key", "node", "centre", F.coalesce("component", "node").alias("component")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")) \
         .where("_lo <> _hi").select("key")
-    rows = saved(placed.join(open_keys, "key", "left_semi"), "open")
+    rows = saved(placed.join(open_keys, "key", "left_semi").select("node", "centre", "component").distinct(), "open")
     if rows.isEmpty():
         return label
-    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "key"])
-    b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"])
-    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
-    if near is not None:
-        apart &= near("a_", "b_")
-    pairs = a.join(b, "key").where(apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    pairs = saved(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = saved(test(pairs), "links")
+    tied = components(rows.select(F.col("node").alias("a"), F.col("centre").alias("b"))) \
+        .select(F.col("node").alias("_n"), F.col("component").alias("field"))
+    nodes = rows.select("node", "component").distinct().join(tied, F.col("node") == F.col("_n")).drop("_n")
+    nodes = saved(nodes, "fields")
+    sizes = nodes.groupBy("field").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")) \
+        .withColumnRenamed("field", "_f")
+    dealt = nodes.join(sizes, F.col("field") == F.col("_f")).drop("_f") \
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .join(payload.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n") \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(settle(rows, field), columns=["a", "b"], dtype="int64")
+
+    more = saved(dealt.groupBy("field", "lo", "hi").applyInPandas(meet, "a long, b long"), "links")
     return components(links.unionByName(more)) if not more.isEmpty() else label

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .buckets import resolve, shared_buckets
+from .buckets import Field, resolve, shared_buckets
 from .common import saved, small_side
 from .shingles import mix, texts_shingles
 
@@ -178,11 +178,37 @@ def _similar(batches):
             pa.array(keep, pa.bool_()))
 
 
+class GramField(Field):
+    """Exact: similar sets share one of their first elements, as many as the sets may differ in
+    and one more, so only nodes that do are compared."""
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.sets = [np.frombuffer(g, dtype=np.uint64) for g in rows["grams"]]
+        self.opening: dict[int, list[int]] = {}
+        for i in range(len(self.sets)):
+            for g in self.first(i):
+                self.opening.setdefault(g, []).append(i)
+
+    def first(self, i):
+        own = self.sets[i]
+        return own[:len(own) - -(-PERCENT * len(own) // 100) + 1].tolist()
+
+    def likely(self, i, js):
+        met = {j for g in self.first(i) for j in self.opening[g] if j > i}
+        return np.array(sorted(met.intersection(js.tolist())), dtype=np.int64) if met else js[:0]
+
+    def linked(self, i, j):
+        a, b = self.sets[i], self.sets[j]
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
 def clusters(docs: DataFrame) -> DataFrame:
     """Stored (doc, place, digest, cluster) of the paragraphs that meet another."""
     hits = meeting_paragraphs(docs)
     members = hits.where("key IS NOT NULL").select("key", F.col("digest").alias("node")).distinct()
-    shared = saved(shared_buckets(members), "buckets")
+    shared = shared_buckets(members)
     nodes = shared.select(F.col("node").alias("digest")).distinct()
     first = hits.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc", "place")).alias("at"))
     wanted = saved(first.groupBy(F.col("at.doc").alias("doc_id")).agg(
@@ -196,7 +222,7 @@ def clusters(docs: DataFrame) -> DataFrame:
             .join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("grams_b")), "b") \
             .mapInArrow(_similar, "a long, b long").distinct()
 
-    label = resolve(shared, test).withColumnRenamed("node", "_n")
+    label = resolve(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
     places = hits.select("digest", "doc", "place").distinct()
     return saved(places.join(label, F.col("digest") == F.col("_n"), "left").select(
         "doc", "place", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")

@@ -10,7 +10,7 @@ full sets. Confirmed links join documents to components.
 
 Documents with the same set are one node throughout (their smallest id), so that thousands of
 copies cost one. A pair at the threshold is missed by all bands with probability
-``(1 - 0.85^ROWS)^BANDS``, about 6e-9; the margin of the estimate is six standard deviations.
+``(1 - 0.85^ROWS)^BANDS``, about 6e-9; the margin of the estimate is five standard deviations.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a
 text of fewer than three words has its sequence as its only shingle; repeated rows of an id are
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import resolve, shared_buckets
+from .buckets import Field, resolve, shared_buckets
 from .common import saved, small_side
 from .shingles import texts_shingles
 
@@ -35,7 +35,7 @@ PERCENT = 85               # linked where 100 * intersection >= PERCENT * union
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534   # b, a and q of the sketch
-MARGIN = 0.14              # below the threshold, for the estimate: six standard deviations
+MARGIN = 0.115             # below the threshold, for the estimate: five standard deviations
 BROADCAST_IDS = 500_000    # ids broadcast at most to pick documents for confirmation
 
 _RNG = np.random.Generator(np.random.PCG64(41))
@@ -132,13 +132,42 @@ def _confirmed(batches):
         keep = []
         for a, b in zip(batch.column("grams_a"), batch.column("grams_b")):
             a, b = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (a, b))
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
+            common = intersection(a, b)
             keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
         yield _kept(batch, keep)
 
 
+def intersection(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
+
+
+class SketchField(Field):
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.n = rows["n"].to_numpy(dtype=np.float64)
+        self.regs = np.frombuffer(b"".join(rows["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
+        self.sets = [np.frombuffer(g, dtype=np.uint64) for g in rows["grams"]]
+
+    def likely(self, i, js):
+        js = js[100 * np.minimum(self.n[js], self.n[i]) >= PERCENT * np.maximum(self.n[js], self.n[i])]
+        # equal registers bound the estimate: only pairs with enough of them are worth a likelihood
+        equal = (self.regs[js] == self.regs[i]).sum(axis=1)
+        js = js[equal >= REGISTERS * (PERCENT / 100 - MARGIN)]
+        if not len(js):
+            return js
+        own = np.broadcast_to(self.regs[i], (len(js), REGISTERS))
+        j = estimate(own, self.regs[js], np.broadcast_to(self.n[i], len(js)), self.n[js])
+        order = np.argsort(-j, kind="stable")
+        return js[order[j[order] >= PERCENT / 100 - MARGIN]]
+
+    def linked(self, i, j):
+        common = intersection(self.sets[i], self.sets[j])
+        return 100 * common >= PERCENT * (len(self.sets[i]) + len(self.sets[j]) - common)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_sketches, "doc_id long, n long, d0 long, d1 long, regs binary")
@@ -158,18 +187,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(rows.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "d0", "d1"], "left_semi")
                   .select(F.col("doc_id").alias("node"), "n", "regs").dropDuplicates(["node", "n"]), "nodes")
     width = 2 * ROWS
-    bands = nodes.select("node", "n", F.explode(F.array(*[
+    bands = nodes.select("node", F.explode(F.array(*[
         F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BANDS)])).alias("key"))
-    shared = saved(shared_buckets(bands), "buckets")
+    shared = shared_buckets(bands)
     wanted = saved(shared.select(F.col("node").alias("doc_id")).distinct(), "wanted")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .join(small_side(wanted, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
     sets = saved(picked.mapInArrow(_sets, "doc_id long, grams binary"), "sets")
 
-    def similar_size(a: str, b: str):
-        lo, hi = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-        return 100 * lo >= PERCENT * hi
-
     def test(pairs: DataFrame) -> DataFrame:
         with_n = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"),
                                          F.col("regs").alias("regs_a")), "a") \
@@ -180,7 +205,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a") \
             .mapInArrow(_confirmed, "a long, b long").distinct()
 
-    label = resolve(shared, test, similar_size)
+    payload = nodes.select("node", "n", "regs").join(
+        sets.select(F.col("doc_id").alias("_id"), "grams"), F.col("node") == F.col("_id")).drop("_id")
+    label = resolve(shared, test, payload, SketchField)
     if not ties.isEmpty():
         from .components import components
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ties))
