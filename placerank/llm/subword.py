@@ -149,7 +149,7 @@ def unknown_texts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def cut(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which pieces start, and which of them are white space."""
     n = len(raw)
-    kind = _CLASS[np.minimum(raw, 0x180 - 1)] if not (raw >= 0x80).any() else _classes(raw)
+    kind = _classes(raw) if (raw >= 0x80).any() else _CLASS[raw]
     lead = (raw & 0xC0) != 0x80
     edge = np.zeros(n + 1, bool)         # first byte of a text, or behind the last
     edge[offsets] = True
