@@ -130,12 +130,20 @@ def prefix_key(c: Column | str, sep: str = "_", default: str | None = None) -> C
     return F.when(F.instr(c, sep) > 0, head).otherwise(otherwise)
 
 
+QUOTED_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+QUOTED_LIST = rf"^\[\s*(?:{QUOTED_ITEM})(?:\s*,\s*(?:{QUOTED_ITEM}))*\s*,?\s*\]$"
+
+
 def to_array(c: Column | str) -> Column:
-    """String list ``"['a', 'b']"`` → array; scalar → [scalar]; null/blank → []."""
+    """String list ``"['a', 'b']"`` → array; scalar → [scalar]; null/blank → []. Items may be
+    quoted either way and hold the other quote or escapes; unquoted lists are read as JSON,
+    and a list that cannot be read is null."""
     s = F.trim(_c(c).cast("string"))
-    parsed = F.from_json(F.regexp_replace(s, "'", '"'), "array<string>")
+    items = F.transform(F.regexp_extract_all(s, F.lit(QUOTED_ITEM), F.lit(0)),
+                        lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
     return (F.when(s.isNull() | (s == "") | (s == "[]"), F.array().cast("array<string>"))
-            .when(s.startswith("["), F.coalesce(parsed, F.array().cast("array<string>")))
+            .when(s.rlike(QUOTED_LIST), items)
+            .when(s.startswith("["), F.from_json(s, "array<string>"))
             .otherwise(F.array(s)))
 
 

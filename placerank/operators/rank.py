@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SALTS = 64
 # Largest group (rows) ranked or sorted inside one task; above it the range-sort path is used.
 SMALL_ROWS = 1_000_000
@@ -97,12 +99,14 @@ def global_index(df: DataFrame, order: list[Column], out: str = "_gidx",
     """1-based position of every row in ``order`` (a list of sort expressions).
 
     Rows equal on ``order`` get distinct but arbitrary positions; pass a unique
-    tie-break in ``order`` for a deterministic row number.
+    tie-break in ``order`` for a deterministic row number. The sorted frame is written
+    once to the shared folder, so partition sizes and rows come from the same ranges:
+    two scans of a lazy range exchange may sample different bounds.
     """
     n = partitions or _partitions(df)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: bounded by the partition count, safe to broadcast
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -333,11 +333,14 @@ def token_rows(df: DataFrame, c: str, keep=None, stop: list[str] | None = None,
 
 
 def vocabulary(rows: DataFrame, doc: str, term: str = "term", min_df: float = 1, max_df: float = 1.0,
-               max_features: int | None = None) -> DataFrame:
+               max_features: int | None = None, docs: DataFrame | None = None) -> DataFrame:
     """TX16 over token rows (doc, term): terms with document frequency ≥ ``min_df``
     (count, or share when < 1) and ≤ ``max_df`` (share, or count when > 1), the
-    ``max_features`` most frequent by corpus term frequency (ties by term)."""
-    n_docs = rows.select(doc).distinct().agg(F.count(F.lit(1)).alias("_N"))
+    ``max_features`` most frequent by corpus term frequency (ties by term). Shares are
+    of the rows of ``docs``, documents without any token included; without ``docs``
+    only documents with a token are known."""
+    counted = rows.select(doc).distinct() if docs is None else docs
+    n_docs = counted.agg(F.count(F.lit(1)).alias("_N"))
     per = rows.groupBy(doc, term).agg(F.count(F.lit(1)).alias("_tf"))
     stats = per.groupBy(term).agg(F.count(F.lit(1)).alias("df"), F.sum("_tf").alias("tf"))
     stats = stats.crossJoin(F.broadcast(n_docs))

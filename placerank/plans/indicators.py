@@ -417,7 +417,7 @@ def conditional_share(spark, sf):
 
 
 @query("quantile_selection", """
-WITH src AS (SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_size <= 3),
+WITH src AS (SELECT p_partkey, p_brand, p_retailprice FROM part),
 thr AS (SELECT p_brand, quantile_cont(p_retailprice, 0.75) AS t FROM src GROUP BY p_brand),
 g AS (SELECT quantile_cont(p_retailprice, 0.85) AS t FROM src),
 sel AS (SELECT DISTINCT * FROM (
@@ -432,7 +432,7 @@ SELECT * FROM sel UNION ALL SELECT * FROM nth
 """, doubles=["p_retailprice"])
 def quantile_selection(spark, sf):
     """AG9 group Q3 ∪ global 85 % ∪ kept groups (distinct), AG10 second member for thin groups."""
-    src = load(spark, sf, "part").filter(F.col("p_size") <= 3).select("p_partkey", "p_brand", "p_retailprice")
+    src = load(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
     sel = select_top_quantile(src, "p_brand", "p_retailprice", 0.75, 0.85, keep=["Brand#1"])
     return ensure_min_members(sel, src, "p_brand", "p_retailprice", 2, tiebreak="p_partkey")
 
@@ -440,10 +440,10 @@ def quantile_selection(spark, sf):
 @query("row_weighted", """
 WITH p AS (
   SELECT l_suppkey,
-    avg(CASE WHEN l_returnflag = 'A' THEN l_discount END) AS flag_A,
-    avg(CASE WHEN l_returnflag = 'N' THEN l_discount END) AS flag_N,
-    avg(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS flag_R
-  FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.05 GROUP BY l_suppkey),
+    avg(CASE WHEN l_returnflag = 'A' AND l_quantity = 50 AND l_discount > 0.05 THEN l_discount END) AS flag_A,
+    avg(CASE WHEN l_returnflag = 'N' AND l_quantity = 50 AND l_discount > 0.05 THEN l_discount END) AS flag_N,
+    avg(CASE WHEN l_returnflag = 'R' AND l_quantity = 50 AND l_discount > 0.05 THEN l_discount END) AS flag_R
+  FROM lineitem GROUP BY l_suppkey),
 w AS (
   SELECT s.s_suppkey AS l_suppkey, p.flag_A, p.flag_N, p.flag_R,
     CASE WHEN (CASE WHEN flag_A IS NULL THEN 0.0 ELSE 0.6 END) + (CASE WHEN flag_N IS NULL THEN 0.0 ELSE 0.3 END)
@@ -456,7 +456,8 @@ SELECT *, coalesce(weighted, coalesce((SELECT min(weighted) FROM w), 0.0) * 0.5)
 """, doubles=["flag_A", "flag_N", "flag_R", "weighted", "weighted_filled"])
 def row_weighted(spark, sf):
     """AG12 weighted row mean renormalised over present values, AG14 half-minimum fill."""
-    li = load(spark, sf, "lineitem").filter((F.col("l_quantity") == 50) & (F.col("l_discount") > 0.05))
+    seen = (F.col("l_quantity") == 50) & (F.col("l_discount") > 0.05)  # other rows leave gaps
+    li = load(spark, sf, "lineitem").withColumn("l_discount", F.when(seen, F.col("l_discount")))
     p = pivot_wide(li, "l_suppkey", "l_returnflag", "l_discount", ["A", "N", "R"], fmt="flag_{v}", agg=F.avg)
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
     w = s.join(p, "l_suppkey", "left").withColumn(

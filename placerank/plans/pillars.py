@@ -206,7 +206,7 @@ _ECO = ["the", "und", "que"]
 @query("nature_score", f"""
 WITH d AS (
   SELECT d.source, CASE WHEN l.quality = 1 THEN 0.9 ELSE 0.4 END AS conf, d.n_chars / 1000.0 AS size,
-         substr(d.text, 1, 40) AS name
+         d.text AS name
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 g AS (SELECT source, coalesce(sum(conf * size), 0.0) AS eco_score,
              sum(CASE WHEN len(regexp_extract_all(coalesce(name, ''), 'the|und|que')) = 0 THEN 0.1
@@ -224,7 +224,7 @@ def nature_score_q(spark, sf):
     lab = load(spark, sf, "labels")
     t = d.join(lab, "doc_id").select(
         "source", F.when(F.col("quality") == 1, 0.9).otherwise(0.4).alias("conf"),
-        (F.col("n_chars") / 1000.0).alias("size"), F.substring("text", 1, 40).alias("name"))
+        (F.col("n_chars") / 1000.0).alias("size"), F.col("text").alias("name"))
     return nature_score(t, "source", "conf", "size", name="name", keywords=_ECO)
 
 

@@ -284,8 +284,9 @@ SELECT term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, CAST(tf_rank AS
 """)
 def vocabulary_q(spark, sf):
     """TX15 tokens (stop words, length ≥ 2), TX16 min_df / max_df / max_features vocabulary."""
-    rows = T.token_rows(load(spark, sf, "documents"), "text", keep="doc_id", stop=_STOP)
-    return T.vocabulary(rows, "doc_id", "term", min_df=2, max_df=0.5, max_features=300)
+    docs = load(spark, sf, "documents")
+    rows = T.token_rows(docs, "text", keep="doc_id", stop=_STOP)
+    return T.vocabulary(rows, "doc_id", "term", min_df=2, max_df=0.5, max_features=300, docs=docs.select("doc_id"))
 
 
 @query("frequency_table", f"""
@@ -367,13 +368,13 @@ def topic_keywords_q(spark, sf):
 
 
 @query("topic_docs", """
-WITH j AS (SELECT e.label, d.doc_id, substr(d.text, 1, 30) AS snippet FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+WITH j AS (SELECT e.label, d.doc_id, d.text AS snippet FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS rn FROM j)
 SELECT label, string_agg(snippet, ' ' ORDER BY rn) FILTER (WHERE trim(snippet) <> '') AS rep_text FROM r WHERE rn <= 3 GROUP BY label
 """)
 def topic_docs(spark, sf):
     """TX20: the three first documents of each class joined into one text (blanks skipped)."""
-    j = _topic_docs(spark, sf).select("label", "doc_id", F.substring("text", 1, 30).alias("snippet"))
+    j = _topic_docs(spark, sf).select("label", "doc_id", F.col("text").alias("snippet"))
     top = cap_per_key(j, "label", [F.col("doc_id").asc()], 3, out="rn")
     g = top.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rn", "snippet"))).alias("_s"))
     return g.select("label", T.join_docs(F.transform("_s", lambda s: s["snippet"])).alias("rep_text"))

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from placerank.plans import catalog
 from scripts.check_oracle import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    qs, sqls = E.queries(), E.oracle_sql()
+    qs, sqls = catalog.queries(), catalog.oracle_sql()
     assert set(sqls) <= set(qs)
     assert set(qs) - set(sqls) == {"cooccurring_word", "topic_clusters"}
 
@@ -31,10 +32,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF).toPandas()
-    sql = E.oracle_sql().get(name)
+    sdf = catalog.queries()[name](spark, SF).toPandas()
+    sql = catalog.oracle_sql().get(name)
     if sql is None:
         assert len(sdf) >= 0
         return

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,24 @@ def test_global_index_is_a_permutation(spark):
     assert [r["id"] for r in sorted(idx, key=lambda r: r["_gidx"])] == [t[0] for t in order]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables not present")
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_positions_of_many_wide_rows(spark, large_path, reuse):
+    from placerank.operators.clean import assign_cyclic
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+        n = orders.count()
+        ranked = row_rank(orders, "o_totalprice", "r", tiebreak="o_orderkey").select("r")
+        assert ranked.agg(F.count_distinct("r"), F.min("r"), F.max("r")).first() == (n, 1, n)
+        labels = assign_cyclic(orders, ["o_totalprice", "o_orderkey"], ["a", "b", "c"]).select("o_orderkey", "label")
+        order = orders.select("o_orderkey", "o_totalprice").toPandas().sort_values(["o_totalprice", "o_orderkey"])
+        want = dict(zip(order.o_orderkey, ("abc"[i % 3] for i in range(n))))
+        assert {r.o_orderkey: r.label for r in labels.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_rank_columns_and_topk(spark):
     df = spark.createDataFrame([(1, 5.0, 1.0), (2, 7.0, 1.0), (3, 5.0, None)], "k int, a double, b double")
     out = {r["k"]: (r["ra"], r["rb"]) for r in rank_columns(df, "k", {"a": "ra", "b": "rb"}).collect()}

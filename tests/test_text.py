@@ -124,3 +124,20 @@ def test_topic_tables(spark):
     assert j == "x y"
     docs = spark.createDataFrame([("p", 1)] * 3 + [("q", 2)], "e string, d int")
     assert {r["e"] for r in T.require_min_docs(docs, "e", 3).collect()} == {"p"}
+
+
+def test_list_text_keeps_items_with_quotes(spark):
+    from placerank.functions.text import to_array
+    texts = ["""["it's fine", 'b']""", """['say "hi"', 'b']""", "['a', 'b',]", "[]", "[1, 2]", "['broken", "one", None,
+             "['it\\'s', 'x']"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", to_array("t").alias("a")).collect()}
+    assert got == {0: ["it's fine", "b"], 1: ['say "hi"', "b"], 2: ["a", "b"], 3: [], 4: ["1", "2"], 5: None, 6: ["one"],
+                   7: [], 8: ["it's", "x"]}
+
+
+def test_vocabulary_counts_documents_without_tokens(spark):
+    from placerank.operators.text import token_rows, vocabulary
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "aa"), (3, ""), (4, None)], "d int, t string")
+    got = vocabulary(token_rows(docs, "t", keep="d"), "d", "term", max_df=0.5, docs=docs).collect()
+    assert {r["term"] for r in got} == {"aa", "bb"}
