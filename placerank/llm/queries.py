@@ -45,7 +45,8 @@ def op4_separator_scan(spark, sf_dir):
     files = parts.select(F.concat("path", F.lit(".bin")).alias("path"), "width", "n_ids")
     counts = separator_scan.token_counts(files, END_OF_TEXT)
     names = token_files.document_names(parts).withColumn("path", F.concat("path", F.lit(".bin")))
-    return counts.join(names, ["path", "ordinal"]).select("doc_id", "n_tokens", "finished")
+    # the estimate of what Python yields is far too small: never broadcast it
+    return counts.join(names.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens", "finished")
 
 
 @query
