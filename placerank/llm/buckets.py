@@ -31,7 +31,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     keys = members.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"),
                                       F.count(F.lit(1)).alias("held")) \
         .where("_lo <> _hi").select(F.col("key").alias("_k"), "held")
-    rows = saved(members.select("key", "node").join(keys, F.col("key") == F.col("_k")).drop("_k"), "buckets")
+    rows = saved(members.select("key", "node").join(keys.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "buckets")
     meets = rows.groupBy("node").agg(F.sum("held").alias("meets")).withColumnRenamed("node", "_n")
     ranked = rows.join(meets, F.col("node") == F.col("_n")).select("key", "node", "meets")
     centre = ranked.groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("_minus"))).alias("_c")) \
