@@ -8,6 +8,11 @@ a task takes two blocks and compares their nodes from different components by ve
 confirming the likely ones, until the components meet. It gives out only the links that join two
 components, so no pair of nodes from different components that shares a bucket is left uncompared,
 and no task gives out more links than it has nodes.
+
+:func:`resolve_keys` is for sketches with few, short bands, under which unlike nodes often meet by
+chance: chains of such meetings would tie most nodes to one field. It tests every node against the
+centre of each of its buckets and then works on single buckets, so that its work grows with the
+nodes and only within one bucket with the square of what is left there.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from .common import saved
 from .components import components
 
 BLOCK = 1024
+BIN_ROWS = 4096  # rows of small buckets dealt to one task call, on average
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -54,8 +60,8 @@ class Field:
 
 
 def settle(rows: pd.DataFrame, field: Callable[[pd.DataFrame], Field]) -> list[tuple[int, int]]:
-    """Links that join components of the rows (node, component, block, ...)."""
-    rows = rows.drop_duplicates("node").sort_values("node").reset_index(drop=True)
+    """Links that join components of the rows (node, component, block, ...), one for each node, in
+    the order of the nodes."""
     own, links = field(rows), []
     node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
     label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
@@ -70,6 +76,11 @@ def settle(rows: pd.DataFrame, field: Callable[[pd.DataFrame], Field]) -> list[t
     return links
 
 
+def _placed(shared: DataFrame, label: DataFrame) -> DataFrame:
+    return saved(shared.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+                 .select("key", "node", "centre", F.coalesce("component", "node").alias("component")), "placed")
+
+
 def resolve(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payload: DataFrame,
             field: Callable[[pd.DataFrame], Field]) -> DataFrame:
     """(node, component) of the linked nodes. ``shared``: rows of :func:`shared_buckets`; ``test``:
@@ -78,8 +89,7 @@ def resolve(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payload:
         .agg(F.max(F.struct("meets", "centre")).alias("_c")).select(F.col("_c.centre").alias("a"), "b")
     links = saved(test(first), "links")
     label = components(links)
-    placed = saved(shared.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-                   .select("key", "node", "centre", F.coalesce("component", "node").alias("component")), "placed")
+    placed = _placed(shared, label)
     open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")) \
         .where("_lo <> _hi").select("key")
     rows = saved(placed.join(open_keys, "key", "left_semi").select("node", "centre", "component").distinct(), "open")
@@ -98,7 +108,43 @@ def resolve(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payload:
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
         return pd.DataFrame(settle(rows, field), columns=["a", "b"], dtype="int64")
 
     more = saved(dealt.groupBy("field", "lo", "hi").applyInPandas(meet, "a long, b long"), "links")
     return components(links.unionByName(more)) if not more.isEmpty() else label
+
+
+def resolve_keys(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payload: DataFrame,
+                 field: Callable[[pd.DataFrame], Field]) -> DataFrame:
+    """Like :func:`resolve`, bucket by bucket. Small buckets are dealt to tasks many at a time, one
+    of more than ``BLOCK`` nodes by pairs of its blocks."""
+    pairs = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = saved(test(pairs), "links")
+    label = components(links)
+    placed = _placed(shared, label)
+    # all pairs of a bucket of two nodes have been tested
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"),
+                                          F.count(F.lit(1)).alias("held")) \
+        .where("_lo <> _hi AND held > 2").select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    rows = saved(placed.select("key", "node", "component").join(open_keys.hint("merge"), "key"), "open")
+    n = rows.count()
+    if not n:
+        return label
+    bins = -(-n // BIN_ROWS)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("bin", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(bins)))) \
+        .join(payload.withColumnRenamed("node", "_n").hint("merge"), F.col("node") == F.col("_n")).drop("_n") \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["key", "node"]).sort_values(["key", "node"], ignore_index=True)
+        key, found = rows["key"].to_numpy(), []
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            found += settle(rows.iloc[a:b], field)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    more = saved(dealt.groupBy("bin", "lo", "hi").applyInPandas(meet, "a long, b long"), "links")
+    return components(links.unionByName(more)) if not more.isEmpty() else label

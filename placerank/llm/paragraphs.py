@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .buckets import Field, resolve, shared_buckets
+from .buckets import Field, resolve_keys, shared_buckets
 from .common import saved, small_side
 from .shingles import mix, texts_shingles
 
@@ -222,7 +222,7 @@ def clusters(docs: DataFrame) -> DataFrame:
             .join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("grams_b")), "b") \
             .mapInArrow(_similar, "a long, b long").distinct()
 
-    label = resolve(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
+    label = resolve_keys(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
     places = hits.select("digest", "doc", "place").distinct()
     return saved(places.join(label, F.col("digest") == F.col("_n"), "left").select(
         "doc", "place", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")
