@@ -59,21 +59,23 @@ def read_positional(spark: SparkSession, path, names: list[str], skip_until: str
                     skip_rows: int = 0) -> DataFrame:
     """IO3: CSV with a title preamble; columns named by position (all strings).
 
-    Rows before the first row whose first field equals ``skip_until`` (that row
-    included) are dropped, or the first ``skip_rows`` rows when no marker is given.
-    Quoted fields may hold line breaks.
+    Of each file, the rows up to the first whose first field equals ``skip_until`` (that row
+    included) are dropped, or the first ``skip_rows`` rows when no marker is given. A file with
+    rows but without the marker fails the query. Quoted fields may hold line breaks.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (spark.read.option("header", False).option("multiLine", True).schema(schema).csv(path)
-           .withColumn("_row", F.monotonically_increasing_id()))
+    raw = spark.read.option("header", False).option("multiLine", True).schema(schema).csv(path)
+    if skip_until is None and not skip_rows:
+        return raw
+    # a multi-line file is read in one task, so its rows are numbered without gaps
+    raw = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
     if skip_until is not None:
-        marker = raw.filter(F.col(names[0]) == skip_until).agg(F.min("_row").alias("_m"))
-        return raw.crossJoin(F.broadcast(marker)).filter(F.col("_row") > F.col("_m")).drop("_row", "_m")
-    if skip_rows:
-        from ..operators.rank import global_index
-        idx = global_index(raw, [F.col("_row").asc()])
-        return idx.filter(F.col("_gidx") > skip_rows).drop("_gidx", "_row")
-    return raw.drop("_row")
+        start = F.min(F.when(F.col(names[0]) == skip_until, F.col("_row"))) + 1
+    else:
+        start = F.min("_row") + skip_rows
+    starts = raw.groupBy("_file").agg(start.alias("_start"))
+    absent = F.raise_error(F.concat(F.lit("no marker row in "), F.col("_file"))).cast("long")
+    return raw.join(starts, "_file").filter(F.col("_row") >= F.coalesce("_start", absent)).select(*names)
 
 
 def _flatten(schema: T.StructType, prefix: str = "", level: int = 1, max_level: int = 2):

@@ -107,3 +107,16 @@ def test_snapshot_stream_and_quota_sink(spark, tmp_path):
     sink(spark.createDataFrame([(1, 1, "u"), (2, 2, "u")], "id int, ts int, k string"), 0)
     sink(spark.createDataFrame([(3, 3, "u"), (4, 1, "v")], "id int, ts int, k string"), 1)
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2, 4]
+
+
+def test_read_positional_skips_the_preamble_of_each_file(spark, tmp_path):
+    d = tmp_path / "pos"
+    d.mkdir()
+    (d / "a.csv").write_text("title,,\nkey,x,y\na1,1,2\n")
+    (d / "b.csv").write_text("title,,\nnote,,\nkey,x,y\nb1,3,4\nb2,5,6\n")
+    got = R.read_positional(spark, str(d), ["k", "x", "y"], skip_until="key").collect()
+    assert sorted(r["k"] for r in got) == ["a1", "b1", "b2"]
+    got = R.read_positional(spark, str(d), ["k", "x", "y"], skip_rows=2).collect()
+    assert sorted(r["k"] for r in got) == ["a1", "b1", "b2", "key"]
+    with pytest.raises(Exception, match="no marker row"):
+        R.read_positional(spark, str(d), ["k", "x", "y"], skip_until="absent").collect()
