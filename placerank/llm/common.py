@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from placerank.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,6 +38,13 @@ def saved(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python tasks in Arrow batches of at most ``BATCH_BYTES`` (a longer single text
+    goes alone), whatever the number of their rows. A limit that the session has set stays."""
+    if spark.conf.get(BYTES_SETTING, None) is None:
+        spark.conf.set(BYTES_SETTING, str(BATCH_BYTES))
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UNKNOWN = "und"
 GRAMS = 1 << 15
 MOST_LANGUAGES = 512        # the model is sent to every task: more labels than this are an error
@@ -117,6 +119,7 @@ def expect(p, n, chosen, share):
 
 def fit(labelled: DataFrame) -> Model:
     """Learn from (text, lang); rows without either are skipped."""
+    bounded_batches(labelled.sparkSession)
     counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL") \
         .select(F.col("lang").cast("string").alias("lang"), "text") \
         .mapInArrow(_counts, "lang string, gram int, n long") \

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_batches, saved
 from .subword import encoder
 
 LENGTH = 4096
@@ -54,6 +54,7 @@ def _pieces(batches, tokenizer, end_id, length):
 
 def pieces(docs: DataFrame, tokenizer=TOKENIZER, end_id=END_ID, length=LENGTH) -> DataFrame:
     """Stored pieces: row (a number of its own), doc_id, piece, start, length, ids_crc32."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches):

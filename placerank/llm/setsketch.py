@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Field, resolve, shared_buckets
-from .common import saved, small_side
+from .common import bounded_batches, saved, small_side
 from .shingles import texts_shingles
 
 SHINGLE = 3
@@ -175,6 +175,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     rows = saved(sketches(docs), "sketches")
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(able.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("node")), "classes")

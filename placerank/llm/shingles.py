@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
-MOST_BYTES = 2 << 20  # bytes hashed at once, but for longer single texts
+MOST_BYTES = 1 << 19  # bytes hashed at once, but for longer single texts
 
 
 def mix(x: np.ndarray) -> np.ndarray:

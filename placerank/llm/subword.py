@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .shingles import _views
 
 MOST_REMEMBERED = 600_000
-MOST_BYTES = 4 << 20
+MOST_BYTES = 2 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
