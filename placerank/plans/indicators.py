@@ -215,16 +215,18 @@ def indicator_inner_chain(spark, sf):
 
 @query("outer_fill", """
 SELECT nationkey, coalesce(n_customers, 0) AS n_customers, coalesce(n_suppliers, 0) AS n_suppliers
-FROM (SELECT c_nationkey AS nationkey, count(*) AS n_customers FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) a
-FULL OUTER JOIN (SELECT s_nationkey AS nationkey, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b
+FROM (SELECT c_nationkey AS nationkey, count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS n_customers
+      FROM customer GROUP BY 1 HAVING n_customers > 0) a
+FULL OUTER JOIN (SELECT s_nationkey AS nationkey, count(CASE WHEN s_acctbal > 5000 THEN 1 END) AS n_suppliers
+                 FROM supplier GROUP BY 1 HAVING n_suppliers > 0) b
 USING (nationkey)
 """)
 def outer_fill(spark, sf):
     """JN4 full outer join, PR7 fill 0."""
-    c = load(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING") \
-        .groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("n_customers"))
-    s = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 5000) \
-        .groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    c = load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nationkey")).agg(
+        F.count_if(F.col("c_mktsegment") == "BUILDING").alias("n_customers")).filter("n_customers > 0")
+    s = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nationkey")).agg(
+        F.count_if(F.col("s_acctbal") > 5000).alias("n_suppliers")).filter("n_suppliers > 0")
     return join_all([c, s], "nationkey", "full", fill=0)
 
 
@@ -243,15 +245,15 @@ def value_precedence(spark, sf):
 
 
 @query("domain_completion", """
-WITH s AS (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS score FROM supplier WHERE s_acctbal > 7000 GROUP BY 1),
+WITH s AS (SELECT s_nationkey AS n_nationkey, avg(CASE WHEN s_acctbal > 7000 THEN s_acctbal END) AS score FROM supplier GROUP BY 1),
 m AS (SELECT quantile_cont(score, 0.5) AS med FROM s)
 SELECT n_nationkey, coalesce(score, med) AS score
 FROM (SELECT DISTINCT n_nationkey FROM nation) d FULL OUTER JOIN s USING (n_nationkey) CROSS JOIN m
 """, doubles=["score"])
 def domain_completion(spark, sf):
     """JN7 + AG13: complete the nation domain, median-fill missing scores."""
-    s = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 7000).groupBy(
-        F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("score"))
+    s = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.avg(F.when(F.col("s_acctbal") > 7000, F.col("s_acctbal"))).alias("score"))
     return complete_domain(s, load(spark, sf, "nation"), "n_nationkey", "score")
 
 
@@ -259,7 +261,7 @@ def domain_completion(spark, sf):
 WITH b AS (
   SELECT r.r_name, unnest(list_append(list(n.n_nationkey), 99)) AS nk
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name),
-s AS (SELECT s_nationkey AS nk, avg(s_acctbal) AS score FROM supplier WHERE s_acctbal > 8000 GROUP BY 1)
+s AS (SELECT s_nationkey AS nk, avg(CASE WHEN s_acctbal > 8000 THEN s_acctbal END) AS score FROM supplier GROUP BY 1)
 SELECT r_name, coalesce(avg(s.score), 0.0) AS score FROM b LEFT JOIN s USING (nk) GROUP BY r_name
 """, doubles=["score"])
 def bridge_mean_q(spark, sf):
@@ -267,8 +269,8 @@ def bridge_mean_q(spark, sf):
     n, r = load(spark, sf, "nation"), load(spark, sf, "region")
     bridge = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(
         F.concat(F.collect_list("n_nationkey"), F.array(F.lit(99))).alias("nations"))
-    scores = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 8000).groupBy(
-        F.col("s_nationkey").alias("nk")).agg(F.avg("s_acctbal").alias("score"))
+    scores = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nk")).agg(
+        F.avg(F.when(F.col("s_acctbal") > 8000, F.col("s_acctbal"))).alias("score"))
     return bridge_mean(bridge, scores, "r_name", "nations", ["score"], region_key="nk")
 
 
@@ -519,8 +521,8 @@ def delimited_rows(spark, sf):
 
 
 @query("append_missing", """
-WITH s AS (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS score FROM supplier
-           WHERE s_acctbal > 8000 GROUP BY 1)
+WITH s AS (SELECT s_nationkey AS n_nationkey, avg(CASE WHEN s_acctbal > 8000 THEN s_acctbal END) AS score FROM supplier
+           GROUP BY 1 HAVING score IS NOT NULL)
 SELECT * FROM s
 UNION ALL
 SELECT n.n_nationkey, (SELECT min(score) * 0.5 FROM s) AS score
@@ -528,6 +530,6 @@ FROM (SELECT DISTINCT n_nationkey FROM nation) n WHERE n.n_nationkey NOT IN (SEL
 """, doubles=["score"])
 def append_missing_q(spark, sf):
     """JN8 constant rows (half minimum) for absent entities, RS5 append."""
-    s = load(spark, sf, "supplier").filter(F.col("s_acctbal") > 8000).groupBy(
-        F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("score"))
+    s = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.avg(F.when(F.col("s_acctbal") > 8000, F.col("s_acctbal"))).alias("score")).filter("score IS NOT NULL")
     return append_missing(s, load(spark, sf, "nation"), "n_nationkey", "score", half_min=True)

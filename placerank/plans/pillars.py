@@ -231,10 +231,11 @@ def nature_score_q(spark, sf):
 # ------------------------------------------------------------------ AG18
 
 @query("metric_registry", """
-WITH sup AS (SELECT s_nationkey AS nk, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 0 GROUP BY 1),
-cus AS (SELECT c_nationkey AS nk, avg(c_acctbal) AS avg_balance FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY 1),
+WITH sup AS (SELECT s_nationkey AS nk, count(CASE WHEN s_acctbal > 0 THEN 1 END) AS n_suppliers FROM supplier GROUP BY 1),
+cus AS (SELECT c_nationkey AS nk, avg(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_acctbal END) AS avg_balance
+        FROM customer GROUP BY 1),
 ord AS (SELECT c.c_nationkey AS nk, CAST(sum(o.n) AS BIGINT) AS n_orders
-        FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o
+        FROM (SELECT o_custkey, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS n FROM orders GROUP BY 1) o
         JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1)
 SELECT nk, coalesce(n_suppliers, 0) AS n_suppliers, coalesce(avg_balance, 0.0) AS avg_balance,
        coalesce(n_orders, 0) AS n_orders
@@ -252,19 +253,19 @@ def metric_registry(spark, sf):
 
     @register("SUP")
     def _sup(df):
-        return df.filter(F.col("s_acctbal") > 0).groupBy(F.col("s_nationkey").alias("nk")).agg(
-            F.count(F.lit(1)).alias("n_suppliers"))
+        return df.groupBy(F.col("s_nationkey").alias("nk")).agg(
+            F.count_if(F.col("s_acctbal") > 0).alias("n_suppliers"))
 
     @register("CUS")
     def _cus(df):
-        return df.filter(F.col("c_mktsegment") == "HOUSEHOLD").groupBy(F.col("c_nationkey").alias("nk")).agg(
-            F.avg("c_acctbal").alias("avg_balance"))
+        return df.groupBy(F.col("c_nationkey").alias("nk")).agg(
+            F.avg(F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.col("c_acctbal"))).alias("avg_balance"))
 
     c = load(spark, sf, "customer")
 
     @register("ORD")
     def _ord(df):
-        o = df.filter(F.col("o_orderstatus") == "P").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+        o = df.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "P").alias("n"))
         return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("nk")).agg(
             F.sum("n").cast("long").alias("n_orders"))
 

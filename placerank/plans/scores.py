@@ -174,10 +174,12 @@ def scale_tscore_sigmoid(spark, sf):
 @query("display_scale", """
 WITH pc AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
 cnt AS (SELECT c.c_nationkey AS nk, CAST(sum(pc.n) AS BIGINT) AS n_orders FROM pc JOIN customer c ON pc.o_custkey = c.c_custkey
-        GROUP BY 1 HAVING sum(pc.n) > 550),
-nl AS (SELECT 'nation' AS layer, n.n_name AS name, cnt.n_orders FROM nation n LEFT JOIN cnt ON n.n_nationkey = cnt.nk),
-rl AS (SELECT 'region' AS layer, r.r_name AS name, CAST(sum(cnt.n_orders) AS BIGINT) AS n_orders
-       FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN cnt ON n.n_nationkey = cnt.nk GROUP BY r.r_name),
+        GROUP BY 1),
+g AS (SELECT n.n_name, n.n_regionkey, CASE WHEN n.n_nationkey IN (3, 17) THEN NULL ELSE cnt.n_orders END AS n_orders
+      FROM nation n LEFT JOIN cnt ON n.n_nationkey = cnt.nk),
+nl AS (SELECT 'nation' AS layer, n_name AS name, n_orders FROM g),
+rl AS (SELECT 'region' AS layer, r.r_name AS name, CAST(sum(g.n_orders) AS BIGINT) AS n_orders
+       FROM g JOIN region r ON g.n_regionkey = r.r_regionkey GROUP BY r.r_name),
 u AS (SELECT * FROM nl UNION ALL SELECT * FROM rl),
 b AS (SELECT min(ln(greatest(n_orders, 1.0))) AS llo, max(ln(greatest(n_orders, 1.0))) AS lhi,
              min(CAST(n_orders AS DOUBLE)) AS lo, max(CAST(n_orders AS DOUBLE)) AS hi FROM u)
@@ -193,11 +195,13 @@ def display_scale_q(spark, sf):
     o = load(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     c = load(spark, sf, "customer")
     cnt = (o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("nk"))
-           .agg(F.sum("n").cast("long").alias("n_orders")).filter(F.col("n_orders") > 550))
+           .agg(F.sum("n").cast("long").alias("n_orders")))
     n, r = load(spark, sf, "nation"), load(spark, sf, "region")
-    nl = n.join(cnt, n.n_nationkey == cnt.nk, "left").select(F.lit("nation").alias("layer"),
-                                                             F.col("n_name").alias("name"), "n_orders")
-    rl = (n.join(r, n.n_regionkey == r.r_regionkey).join(cnt, n.n_nationkey == cnt.nk, "left")
+    # two nations are without data, whatever their counts
+    g = n.join(cnt, n.n_nationkey == cnt.nk, "left").select(
+        "n_name", "n_regionkey", F.when(~F.col("n_nationkey").isin(3, 17), F.col("n_orders")).alias("n_orders"))
+    nl = g.select(F.lit("nation").alias("layer"), F.col("n_name").alias("name"), "n_orders")
+    rl = (g.join(r, g.n_regionkey == r.r_regionkey)
           .groupBy(F.col("r_name").alias("name")).agg(F.sum("n_orders").cast("long").alias("n_orders"))
           .select(F.lit("region").alias("layer"), "name", "n_orders"))
     a, b = display_scale([nl, rl], "n_orders", out="display_log", log=True)
@@ -282,12 +286,12 @@ def composite_median(spark, sf):
 
 _FPT_SQL = """
 WITH lei AS (SELECT c_nationkey AS n_nationkey, avg(c_acctbal) / 100.0 AS LEI_score FROM customer GROUP BY 1),
-acc AS (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) / 100.0 AS ACC_score FROM supplier WHERE s_acctbal > 2000 GROUP BY 1),
-saf AS (SELECT c.c_nationkey AS n_nationkey, sum(o.n) / 10.0 AS SAF_score
-        FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o
-        JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 3000 GROUP BY 1),
-nat AS (SELECT c_nationkey AS n_nationkey, CAST(count(*) AS DOUBLE) AS NAT_score FROM customer
-        WHERE c_mktsegment = 'AUTOMOBILE' GROUP BY 1),
+acc AS (SELECT s_nationkey AS n_nationkey, avg(CASE WHEN s_acctbal > 2000 THEN s_acctbal END) / 100.0 AS ACC_score FROM supplier GROUP BY 1),
+saf AS (SELECT c.c_nationkey AS n_nationkey, sum(CASE WHEN c.c_acctbal > 3000 THEN o.n END) / 10.0 AS SAF_score
+        FROM (SELECT o_custkey, count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS n FROM orders GROUP BY 1) o
+        JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1),
+nat AS (SELECT c_nationkey AS n_nationkey, CAST(count(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 END) AS DOUBLE) AS NAT_score
+        FROM customer GROUP BY 1),
 j AS (SELECT n_nationkey, coalesce(LEI_score, 0.0) AS LEI_score, coalesce(ACC_score, 0.0) AS ACC_score,
              coalesce(SAF_score, 0.0) AS SAF_score, coalesce(NAT_score, 0.0) AS NAT_score
       FROM lei FULL JOIN acc USING (n_nationkey) FULL JOIN saf USING (n_nationkey) FULL JOIN nat USING (n_nationkey)),
@@ -309,14 +313,14 @@ def four_pillar_total(spark, sf):
     from .composite import overall_score
     c, s = load(spark, sf, "customer"), load(spark, sf, "supplier")
     lei = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.avg("c_acctbal") / 100.0).alias("LEI_score"))
-    acc = s.filter(F.col("s_acctbal") > 2000).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
-        (F.avg("s_acctbal") / 100.0).alias("ACC_score"))
-    o = load(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT").groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n"))
-    saf = (o.join(c.filter(F.col("c_acctbal") > 3000), o.o_custkey == c.c_custkey)
-           .groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.sum("n") / 10.0).alias("SAF_score")))
-    nat = c.filter(F.col("c_mktsegment") == "AUTOMOBILE").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
-        F.count(F.lit(1)).cast("double").alias("NAT_score"))
+    acc = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        (F.avg(F.when(F.col("s_acctbal") > 2000, F.col("s_acctbal"))) / 100.0).alias("ACC_score"))
+    o = load(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n"))
+    saf = (o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("n_nationkey"))
+           .agg((F.sum(F.when(F.col("c_acctbal") > 3000, F.col("n"))) / 10.0).alias("SAF_score")))
+    nat = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        F.count_if(F.col("c_mktsegment") == "AUTOMOBILE").cast("double").alias("NAT_score"))
     res = overall_score({"LEI": lei, "ACC": acc, "SAF": saf, "NAT": nat}, "n_nationkey")
     return res.select("n_nationkey", "LEI_score", "ACC_score", "SAF_score", "NAT_score", "raw_total",
                       "score_theoretical", "z_score", "score_z_transformed")

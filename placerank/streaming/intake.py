@@ -7,6 +7,7 @@ and a streaming aggregate in update/complete mode).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +49,23 @@ def quota_sink(target_path: str, key, id_col: str, ts: str, quota: int):
     in ``target_path`` (parquet). Exact when batches arrive in time order."""
     key = _cols(key)
 
+    def stored(spark) -> bool:
+        """Whether a batch has been stored; an unreadable target is an error, not an empty one."""
+        try:
+            spark.read.format("binaryFile").load(target_path).limit(0).count()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
     def write(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(target_path)
+        seen, fresh = None, batch
+        if stored(spark):
+            have = spark.read.schema(batch.schema).parquet(target_path)
             seen = have.groupBy(*key).agg(F.count(F.lit(1)).alias("_have"))
             fresh = batch.join(have.select(id_col), id_col, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
-            seen = None
-            fresh = batch
         ranked = cap_per_key(fresh, key, [F.col(ts).asc(), F.col(id_col).asc()], quota, out="_rn")
         if seen is not None:
             ranked = ranked.join(seen, key, "left").fillna({"_have": 0})
