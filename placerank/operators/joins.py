@@ -156,30 +156,51 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
 
 
+def _ring_cells(band: Column, reach: float) -> Column:
+    """Number of longitude cells of a latitude band that is ``reach`` degrees tall. A cell is at
+    least as wide as the largest longitude difference, at the band's edge nearest to a pole, of
+    two points ``reach`` apart; a band from which a pole can be reached is one cell."""
+    edge = F.greatest(F.abs(band * reach), F.abs((band + 1) * reach))
+    width = F.degrees(F.asin(F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(edge)))) * (1 + 1e-9)
+    return F.when(edge + reach >= 90.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / width))).cast("long")
+
+
+def _ring_cell(lng: Column, n: Column) -> Column:
+    """Cell of a longitude among the ``n`` of its band, counted around the circle."""
+    return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * n), n - 1).cast("long")
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
                 left_lat: str = "lat", left_lng: str = "lng", right_lat: str = "lat",
-                right_lng: str = "lng", max_abs_lat: float = 85.0, dist_out: str = "dist_m",
+                right_lng: str = "lng", max_abs_lat: float | None = None, dist_out: str = "dist_m",
                 broadcast_left: bool | None = None) -> DataFrame:
-    """All (left, right) pairs with haversine distance ≤ ``radius_m``.
+    """All (left, right) pairs with haversine distance ≤ ``radius_m``, at any latitude and across
+    the date line.
 
-    Cells are ``radius`` tall and ``radius / cos(max_abs_lat)`` wide (degrees), so
-    any pair within the radius lies in neighbouring cells. Left rows are copied
-    to their 3×3 neighbourhood and equi-joined on the cell of the right row.
+    The grid has latitude bands of the radius' height, each cut into its own number of
+    longitude cells (``_ring_cells``), so any pair within the radius lies in neighbouring
+    cells. Left rows are copied to the three bands around theirs and, in each, to three
+    cells, then equi-joined on the cell of the right row. ``max_abs_lat`` has no effect.
     Column names of the two sides must not clash (prefix them first).
     """
-    dlat = radius_m / METERS_PER_DEG
-    dlng = radius_m / (METERS_PER_DEG * math.cos(math.radians(min(abs(max_abs_lat), 89.0))))
-    offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    l = (left.withColumn("_ci", F.floor(F.col(left_lat) / dlat).cast("long"))
-         .withColumn("_cj", F.floor(F.col(left_lng) / dlng).cast("long"))
-         .withColumn("_di", F.explode(offs)).withColumn("_dj", F.explode(offs))
-         .withColumn("_ci", F.col("_ci") + F.col("_di")).withColumn("_cj", F.col("_cj") + F.col("_dj"))
-         .drop("_di", "_dj"))
+    reach = radius_m / METERS_PER_DEG * (1 + 1e-9)
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+
+    def band(lat):
+        return F.floor(F.col(lat).cast("double") / reach).cast("long")
+
+    l = (left.withColumn("_ci", F.explode(F.transform(around, lambda d: band(left_lat) + d)))
+         .withColumn("_n", _ring_cells(F.col("_ci"), reach))
+         .withColumn("_cj", _ring_cell(F.col(left_lng).cast("double"), F.col("_n")))
+         .withColumn("_cj", F.explode(F.array_distinct(
+             F.transform(around, lambda d: F.pmod(F.col("_cj") + d, F.col("_n"))))))
+         .drop("_n"))
     r = (right.filter(F.col(right_lat).isNotNull() & F.col(right_lng).isNotNull())
-         .withColumn("_ci", F.floor(F.col(right_lat) / dlat).cast("long"))
-         .withColumn("_cj", F.floor(F.col(right_lng) / dlng).cast("long")))
+         .withColumn("_ci", band(right_lat))
+         .withColumn("_cj", _ring_cell(F.col(right_lng).cast("double"), _ring_cells(F.col("_ci"), reach))))
     if broadcast_left is None:
-        l = maybe_broadcast(l)
+        # the estimate does not see that every row is copied up to nine times
+        l = F.broadcast(l) if fits_broadcast(left, BROADCAST_LIMIT // 9) else l
     elif broadcast_left:
         l = F.broadcast(l)
     j = l.join(r, ["_ci", "_cj"]).drop("_ci", "_cj")
@@ -189,7 +210,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
 
 def weighted_distance(places: DataFrame, points: DataFrame, key, radii: list[float], weight: str,
                       *, by_right=None, place_lat="lat", place_lng="lng", point_lat="p_lat",
-                      point_lng="p_lng", max_abs_lat: float = 85.0) -> DataFrame:
+                      point_lng="p_lng") -> DataFrame:
     """AG7 after JN5: per place (and right-side group such as a date) and radius:
     points in radius, Σ weight, weight-averaged distance (missing when Σw is 0; the
     point count is then reported as 0). One join at the largest radius serves all
@@ -198,7 +219,7 @@ def weighted_distance(places: DataFrame, points: DataFrame, key, radii: list[flo
     key, by_right = _cols(key), _cols(by_right)
     rmax = max(radii)
     pairs = radius_join(places, points, rmax, left_lat=place_lat, left_lng=place_lng,
-                        right_lat=point_lat, right_lng=point_lng, max_abs_lat=max_abs_lat)
+                        right_lat=point_lat, right_lng=point_lng)
     aggs = []
     for i, r in enumerate(radii):
         inr = F.col("dist_m") <= r

@@ -33,7 +33,7 @@ def access_base(spark, sf):
     c = load(spark, sf, "customer")
     points = c.select(F.expr(_LAT.format(k="c_custkey")).alias("p_lat"),
                       F.expr(_LNG.format(k="c_custkey")).alias("p_lng"), (F.col("c_acctbal") + 1000).alias("w"))
-    wd = weighted_distance(places, points, "s_suppkey", [float(r) for r in RADII], "w", max_abs_lat=60.0)
+    wd = weighted_distance(places, points, "s_suppkey", [float(r) for r in RADII], "w")
     wd = wd.withColumn("radius", F.col("radius_m").cast("int"))
     wide = pivot_wide(wd, "s_suppkey", "radius", "weighted_dist_m", RADII, fmt="dist_{v}m")
     n = load(spark, sf, "nation")

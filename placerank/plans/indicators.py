@@ -350,7 +350,7 @@ def radius_weighted(spark, sf):
     points = c.select("c_mktsegment", F.expr(_LAT.format(k="c_custkey")).alias("p_lat"),
                       F.expr(_LNG.format(k="c_custkey")).alias("p_lng"), (F.col("c_acctbal") + 1000).alias("w"))
     return weighted_distance(places, points, "s_suppkey", [500.0, 1000.0, 2000.0], "w",
-                             by_right="c_mktsegment", max_abs_lat=60.0)
+                             by_right="c_mktsegment")
 
 
 @query("search_terms", """

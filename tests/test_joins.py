@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from placerank.operators.joins import (EARTH_RADIUS_M, append_missing, bridge_mean, coalesce_from,
@@ -30,6 +31,24 @@ def test_grid_join_equals_brute_force(spark):
         assert got == want and len(want) > 0
 
 
+@pytest.mark.parametrize("lat0, span, lng0, width, radius", [
+    (-0.1, 0.2, 179.9, 0.2, 3000.0), (-45.2, 0.3, -180.2, 0.4, 5000.0), (89.7, 0.3, -180.0, 360.0, 20000.0),
+    (-90.0, 0.2, -180.0, 360.0, 8000.0), (86.0, 0.4, 170.0, 20.0, 9000.0), (-80.0, 160.0, -180.0, 360.0, 4.0e6)])
+def test_grid_join_at_poles_and_date_line(spark, lat0, span, lng0, width, radius):
+    rnd = random.Random(5)
+
+    def points(n):
+        return [(i, lat0 + rnd.random() * span, (lng0 + rnd.random() * width + 180) % 360 - 180) for i in range(n)]
+
+    left = points(60) + [(900, lat0, 180.0), (901, lat0, -180.0)]
+    right = points(200) + [(902, lat0 + span, 180.0), (903, lat0 + span, -180.0), (904, lat0, 179.9999)]
+    ldf, rdf = spark.createDataFrame(left, "pid int, lat double, lng double"), \
+        spark.createDataFrame(right, "qid int, p_lat double, p_lng double")
+    got = sorted((r["pid"], r["qid"]) for r in radius_join(ldf, rdf, radius, right_lat="p_lat", right_lng="p_lng").collect())
+    want = sorted((a, b) for a, la, lo in left for b, pa, po in right if hav(la, lo, pa, po) <= radius)
+    assert got == want and len(want) > 0
+
+
 def test_weighted_distance_semantics(spark):
     places = spark.createDataFrame([("p", 37.5, 127.0), ("far", 10.0, 10.0)], "name string, lat double, lng double")
     pts = spark.createDataFrame([(37.5, 127.001, 2.0), (37.5, 127.005, 0.0)], "p_lat double, p_lng double, w double")
