@@ -1,22 +1,24 @@
 """Substring deduplication: paragraphs under banded MinHash.
 
-A repeated passage is often pasted into the middle of a line, so paragraphs are cut by content:
-of the 5-word shingles of a text, the one with the least hash in some run of ``SPREAD`` neighbours
-is an anchor, and the ``WORDS`` words from it on are a paragraph. Any passage of
-``SPREAD + WORDS - 1`` words (51) or more has an anchor whose paragraph lies inside it, wherever
-it is pasted.
-
-A paragraph is the set of its 5-word shingles. ``BANDS`` bands of ``ROWS`` MinHash values each make
-two paragraphs of similarity 0.8 meet with probability ``1 - (1 - 0.8^2)^4``, 0.983, and copies
-always; a passage holds several paragraphs. Paragraphs that meet are verified by their exact
+Every line of a text is a paragraph, whatever its length, if it has a shingle (``SHINGLE`` words).
+A repeated passage is often pasted into the middle of a line, so further paragraphs (windows) are
+cut by content: of the 5-word shingles of a text, the one with the least hash in some run of
+``SPREAD`` neighbours is an anchor, and the ``WORDS`` words from it on are a window. Any passage of
+``SPREAD + WORDS - 1`` words (51) or more has an anchor whose window lies inside it, wherever
+it is pasted; a shorter or edited one inside a line has one only by chance.
+
+A paragraph is the set of its 5-word shingles. ``LINE_BANDS`` bands of ``LINE_ROWS`` MinHash values
+make two lines of similarity 0.8 meet with probability ``1 - (1 - 0.8^3)^12``, 0.9998; ``BANDS`` bands
+of ``ROWS`` values make two windows of it meet with ``1 - (1 - 0.8^2)^4``, 0.983, and a passage holds
+several windows. Copies always meet. Paragraphs that meet are verified by their exact
 Jaccard similarity (0.8 or more) and joined to components. A component that lies in several
 documents is a repeat: its first document (by id) keeps it, in the others it is to be removed.
 
 Equal paragraphs are one node, and a task reports each of its distinct ones once, so a passage
 held by a third of all documents reaches a bucket as one row for each batch read.
 
-Defined cases: null, empty and short texts (fewer than ``WORDS`` words) have no paragraphs; a row
-without id takes no part; rows that repeat an id are one document; repeats within one document
+Defined cases: null and empty texts and lines of fewer than ``SHINGLE`` words have no paragraphs,
+texts of fewer than ``WORDS`` words no windows; a row without id takes no part; rows that repeat an id are one document; repeats within one document
 only are left alone; without repeats, or with an empty table, there are no rows. Other columns are
 not read.
 """
@@ -32,18 +34,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .buckets import Field, resolve_keys, shared_buckets
-from .common import saved, small_side
-from .shingles import mix, texts_shingles
+from .common import bounded_batches, saved, small_side
+from .shingles import _SPACE, _views, mix, texts_shingles
 
 SHINGLE, SPREAD, WORDS = 5, 30, 22
 PERCENT = 80
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 4, 2             # of windows
+LINE_BANDS, LINE_ROWS = 12, 3
 BROADCAST_ROWS = 500_000   # documents broadcast at most to pick texts for verification
 GRAMS = WORDS - SHINGLE + 1
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _XOR = _RNG.integers(0, 2 ** 63, BANDS * ROWS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 2 ** 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LINE_XOR = _RNG.integers(0, 2 ** 63, LINE_BANDS * LINE_ROWS, dtype=np.uint64)
+_LINE_ODD = _RNG.integers(0, 2 ** 62, LINE_BANDS * LINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -78,45 +83,99 @@ def digest(windows: np.ndarray) -> np.ndarray:
     return mix(mix(windows).sum(axis=1, dtype=np.uint64)).astype(np.int64)
 
 
-def band_keys(windows: np.ndarray) -> np.ndarray:
-    """Keys of the bands, a row for each paragraph."""
-    least = np.stack([((windows ^ x) * a).min(axis=1) for x, a in zip(_XOR, _ODD)], axis=1)
+def _keys(least: np.ndarray, bands: int, rows: int, first: int) -> np.ndarray:
     keys = []
-    for i in range(BANDS):
-        key = np.full(len(windows), i + 1, dtype=np.uint64)
-        for j in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, i * ROWS + j])
+    for i in range(bands):
+        key = np.full(len(least), first + i, dtype=np.uint64)
+        for j in range(rows):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, i * rows + j])
         keys.append(key)
     return np.stack(keys, axis=1).astype(np.int64)
 
 
-ROWS_OUT = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
-ROWS_DDL = "key long, digest long, doc long, place int"
+def band_keys(windows: np.ndarray) -> np.ndarray:
+    """Keys of the bands, a row for each window."""
+    least = np.stack([((windows ^ x) * a).min(axis=1) for x, a in zip(_XOR, _ODD)], axis=1)
+    return _keys(least, BANDS, ROWS, 1)
+
+
+def line_keys(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Keys of the bands, a row for each line; a line's shingles are those from its start on."""
+    least = np.stack([np.minimum.reduceat((grams ^ x) * a, starts) for x, a in zip(_LINE_XOR, _LINE_ODD)], axis=1)
+    return _keys(least, LINE_BANDS, LINE_ROWS, BANDS + 1)
+
+
+def lines(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of the lines of a text (bytes) that have a shingle."""
+    word = ~_SPACE[raw]
+    word[1:] &= ~word[:-1]
+    begins = np.flatnonzero(word)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(begins, np.flatnonzero((raw == 10) | (raw == 13))),
+                                     [len(begins)]]))
+    first, n = cuts[:-1], np.diff(cuts)
+    return first[n >= SHINGLE], n[n >= SHINGLE]
+
+
+ROWS_OUT = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
+                      ("words", pa.int32())])
+ROWS_DDL = "key long, digest long, doc long, place int, words int"
+
+
+def _rows(keys, own, doc, place, words, n_keys=None):
+    """Distinct paragraphs (digest ``own``) under their keys, of which ``n_keys`` hold; without key,
+    all places of those that are there more than once. ``keys``: from the distinct ones' numbers."""
+    _, first, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+    key = keys(first)
+    held = np.ones(key.shape, bool) if n_keys is None else np.arange(key.shape[1])[None, :] < n_keys[first, None]
+    yield pa.RecordBatch.from_arrays([pa.array(key[held]), *[pa.array(np.repeat(x[first], held.sum(axis=1)))
+                                                            for x in (own, doc, place, words)]], schema=ROWS_OUT)
+    again = n[which] > 1
+    if again.any():
+        yield pa.RecordBatch.from_arrays([pa.nulls(int(again.sum()), pa.int64()),
+                                          *[pa.array(x[again]) for x in (own, doc, place, words)]], schema=ROWS_OUT)
+
+
+def _window_rows(found: list):
+    doc, place, window = (np.concatenate(x) for x in zip(*found))
+    yield from _rows(lambda first: band_keys(window[first]), digest(window), doc, place,
+                     np.full(len(doc), WORDS, dtype=np.int32))
+
+
+def _line_rows(found: list):
+    doc, place, words, grams = (np.concatenate(x) for x in zip(*found))
+    n = words - SHINGLE + 1
+    ends = np.cumsum(n, dtype=np.int64)
+    own = mix(np.add.reduceat(mix(grams), ends - n)).astype(np.int64)
+
+    def keys(first):
+        size = n[first].astype(np.int64)
+        start = np.cumsum(size) - size
+        picked = np.repeat(ends[first] - size - start, size) + np.arange(size.sum())
+        return line_keys(grams[picked], start)
+
+    # sets of up to 3 elements are similar only to equal ones, which share every band
+    yield from _rows(keys, own, doc, place, words, np.where(n < 4, 1, LINE_BANDS))
 
 
 def _banded(batches):
     """Distinct paragraphs of a batch under their band keys; without key, all places of those that
     the batch holds more than once."""
     for batch in batches:
-        docs, places, windows = [], [], []
-        for doc, (words, grams) in zip(batch.column("doc_id").to_pylist(), texts_shingles(batch.column("text"), SHINGLE)):
+        windows, whole = [], []
+        raw, offsets = _views(batch.column("text"))
+        for i, (doc, (words, grams)) in enumerate(zip(batch.column("doc_id").to_pylist(),
+                                                      texts_shingles(batch.column("text"), SHINGLE))):
             at = anchors(grams, len(words))
             if len(at):
-                docs.append(np.full(len(at), doc, dtype=np.int64))
-                places.append(at.astype(np.int32))
-                windows.append(paragraph_grams(grams, at))
-        if not docs:
-            continue
-        doc, place, window = np.concatenate(docs), np.concatenate(places), np.concatenate(windows)
-        own = digest(window)
-        _, first, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-        keys = band_keys(window[first])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(x[first], BANDS))
-                                                                   for x in (own, doc, place)]], schema=ROWS_OUT)
-        again = n[which] > 1
-        if again.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(again.sum()), pa.int64()),
-                                              *[pa.array(x[again]) for x in (own, doc, place)]], schema=ROWS_OUT)
+                windows.append((np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), paragraph_grams(grams, at)))
+            at, n = lines(raw[offsets[i]:offsets[i + 1]]) if len(words) >= SHINGLE else ([], [])
+            if len(at):
+                whole.append((np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), n.astype(np.int32),
+                              np.concatenate([grams[a:a + k - SHINGLE + 1] for a, k in zip(at.tolist(), n.tolist())])))
+        if windows:
+            yield from _window_rows(windows)
+        if whole:
+            yield from _line_rows(whole)
 
 
 def _meeting(batches):
@@ -143,11 +202,11 @@ def _meeting(batches):
 
 
 def meeting_paragraphs(docs: DataFrame) -> DataFrame:
-    """Stored (key, digest, doc, place): paragraphs that share a band key with another place."""
+    """Stored (key, digest, doc, place, words): paragraphs that share a band key with another place."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                    F.col("text").cast("string").alias("text"))
     banded = rows.mapInArrow(_banded, ROWS_DDL)
-    route = F.coalesce("key", F.xxhash64("doc", "place"))
+    route = F.coalesce("key", F.xxhash64("doc", "place", "words"))
     spread = banded.repartition(route).sortWithinPartitions("key")
     return saved(spread.mapInArrow(_meeting, ROWS_DDL), "paragraphs")
 
@@ -158,11 +217,13 @@ def _sets(batches):
         found = {}
         for wanted, (words, grams) in zip(batch.column("wanted").to_pylist(),
                                           texts_shingles(batch.column("text"), SHINGLE)):
-            at = np.array([w["place"] for w in wanted if w["place"] + WORDS <= len(words)], dtype=np.int64)
-            if len(at):
-                windows = paragraph_grams(grams, at)
-                asked = {w["digest"] for w in wanted}
-                found |= {int(d): np.unique(w).tobytes() for d, w in zip(digest(windows), windows) if int(d) in asked}
+            asked = {w["digest"] for w in wanted}
+            for w in wanted:
+                if w["place"] + w["words"] <= len(words):
+                    own = grams[w["place"]:w["place"] + w["words"] - SHINGLE + 1]
+                    d = int(digest(own[None])[0])
+                    if d in asked:
+                        found[d] = np.unique(own).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
                                          schema=schema)
 
@@ -205,14 +266,15 @@ class GramField(Field):
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """Stored (doc, place, digest, cluster) of the paragraphs that meet another."""
+    """Stored (doc, place, words, digest, cluster) of the paragraphs that meet another."""
+    bounded_batches(docs.sparkSession)
     hits = meeting_paragraphs(docs)
     members = hits.where("key IS NOT NULL").select("key", F.col("digest").alias("node")).distinct()
     shared = shared_buckets(members)
     nodes = shared.select(F.col("node").alias("digest")).distinct()
-    first = hits.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc", "place")).alias("at"))
+    first = hits.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc", "place", "words")).alias("at"))
     wanted = saved(first.groupBy(F.col("at.doc").alias("doc_id")).agg(
-        F.collect_list(F.struct(F.col("at.place").alias("place"), "digest")).alias("wanted")), "wanted")
+        F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("at.words").alias("words"), "digest")).alias("wanted")), "wanted")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .join(small_side(wanted, wanted.count(), BROADCAST_ROWS), "doc_id")
     sets = saved(picked.mapInArrow(_sets, "digest long, grams binary").dropDuplicates(["digest"]), "sets")
@@ -223,29 +285,29 @@ def clusters(docs: DataFrame) -> DataFrame:
             .mapInArrow(_similar, "a long, b long").distinct()
 
     label = resolve_keys(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
-    places = hits.select("digest", "doc", "place").distinct()
+    places = hits.select("digest", "doc", "place", "words").distinct()
     return saved(places.join(label, F.col("digest") == F.col("_n"), "left").select(
-        "doc", "place", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")
+        "doc", "place", "words", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
-def spans_of(places) -> list[dict]:
-    """Word spans (end exclusive) that paragraphs at these places cover."""
+def spans_of(found) -> list[dict]:
+    """Word spans (end exclusive) that these spans cover."""
     out: list[dict] = []
-    for p in sorted(set(places)):
-        if out and p <= out[-1]["end"]:
-            out[-1]["end"] = p + WORDS
+    for start, end in sorted({(s["start"], s["end"]) for s in found}):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(end, out[-1]["end"])
         else:
-            out.append({"start": p, "end": p + WORDS})
+            out.append({"start": start, "end": end})
     return out
 
 
 @F.arrow_udf(SPANS)
-def _spans(places: pa.Array) -> pa.Array:
-    return pa.array([spans_of(p) for p in places.to_pylist()], pa.list_(SPAN))
+def _spans(found: pa.Array) -> pa.Array:
+    return pa.array([spans_of(f) for f in found.to_pylist()], pa.list_(SPAN))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -255,11 +317,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = clusters(docs)
     repeat = rows.groupBy("cluster").agg(F.min("doc").alias("keep"), F.max("doc").alias("_last")) \
         .where("keep <> _last").select(F.col("cluster").alias("_c"), "keep")
-    found = rows.join(repeat, F.col("cluster") == F.col("_c")).select("doc", "place", "keep").distinct()
+    span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("words")).alias("end"))
+    found = rows.join(repeat, F.col("cluster") == F.col("_c")).select("doc", span.alias("span"), "keep").distinct()
     gone = F.col("keep") != F.col("doc")
     per = found.groupBy("doc").agg(
-        F.count_distinct("place").alias("n_paragraphs"), F.collect_set("place").alias("_all"),
-        F.collect_set(F.when(gone, F.col("place"))).alias("_gone"),
+        F.count_distinct("span").alias("n_paragraphs"), F.collect_set("span").alias("_all"),
+        F.collect_set(F.when(gone, F.col("span"))).alias("_gone"),
         F.array_sort(F.collect_set(F.when(gone, F.col("keep")))).alias("keep_ids"))
     spans = per.withColumn("repeated", _spans("_all")).withColumn("removed", _spans("_gone"))
 

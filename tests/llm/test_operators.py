@@ -126,6 +126,29 @@ def test_paragraphs(docs, empty):
     assert paragraphs.repeats(empty).count() == 0
 
 
+def test_paragraphs_meet_as_whole_lines(spark):
+    """All pairs of lines by brute force: 5 to 60 words, copied or with one to three words changed."""
+    rnd = random.Random(11)
+    fresh = iter(range(10 ** 6))
+    line = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    texts = []
+    for i in range(120):
+        own = line(rnd.randint(5, 60))
+        other = list(own)
+        for _ in range(i % 4):
+            other[rnd.randrange(len(own))] = f"x{next(fresh)}"
+        a, b = line(rnd.randint(0, 40)), line(rnd.randint(0, 40))
+        texts += [[a, own], [other, b]]
+    rows = [(i, "\r\n".join(" ".join(x) for x in t)) for i, t in enumerate(texts)]
+    want = collections.Counter()
+    for i in range(0, len(texts), 2):
+        x, y = shingles(" ".join(texts[i][1]), 5), shingles(" ".join(texts[i + 1][0]), 5)
+        if 100 * len(x & y) >= 80 * len(x | y):
+            want[i + 1] = len(texts[i + 1][0])
+    got = {r.doc_id: r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 30 and all(got[d].removed_words >= n and got[d].keep_ids == [d - 1] for d, n in want.items())
+
+
 def test_anchors_reach_every_passage():
     rng = np.random.default_rng(2)
     grams = rng.integers(0, 2 ** 64, 4000, dtype=np.uint64)
