@@ -13,6 +13,9 @@ of ``ROWS`` values make two windows of it meet with ``1 - (1 - 0.8^2)^4``, 0.983
 several windows. Copies always meet. Paragraphs that meet are verified by their exact
 Jaccard similarity (0.8 or more) and joined to components. A component that lies in several
 documents is a repeat: its first document (by id) keeps it, in the others it is to be removed.
+Each of its paragraphs is held against those of the first document and extended, word by word, to
+both sides as far as the words agree, so that a span reaches to the ends of what is repeated. A line
+goes whole; of a window that is not equal, what lies outside its first and last common shingle stays.
 
 Equal paragraphs are one node, and a task reports each of its distinct ones once, so a passage
 held by a third of all documents reaches a bucket as one row for each batch read.
@@ -43,6 +46,7 @@ BANDS, ROWS = 4, 2             # of windows
 LINE_BANDS, LINE_ROWS = 12, 3
 BROADCAST_ROWS = 500_000   # documents broadcast at most to pick texts for verification
 GRAMS = WORDS - SHINGLE + 1
+KEEP_ROWS = 256            # documents that one task holds in a row against one first document
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _XOR = _RNG.integers(0, 2 ** 63, BANDS * ROWS, dtype=np.uint64)
@@ -117,28 +121,28 @@ def lines(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 ROWS_OUT = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
-                      ("words", pa.int32())])
-ROWS_DDL = "key long, digest long, doc long, place int, words int"
+                      ("words", pa.int32()), ("line", pa.bool_())])
+ROWS_DDL = "key long, digest long, doc long, place int, words int, line boolean"
 
 
-def _rows(keys, own, doc, place, words, n_keys=None):
+def _rows(keys, own, doc, place, words, line, n_keys=None):
     """Distinct paragraphs (digest ``own``) under their keys, of which ``n_keys`` hold; without key,
     all places of those that are there more than once. ``keys``: from the distinct ones' numbers."""
     _, first, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-    key = keys(first)
+    key, line = keys(first), np.full(len(own), line)
     held = np.ones(key.shape, bool) if n_keys is None else np.arange(key.shape[1])[None, :] < n_keys[first, None]
     yield pa.RecordBatch.from_arrays([pa.array(key[held]), *[pa.array(np.repeat(x[first], held.sum(axis=1)))
-                                                            for x in (own, doc, place, words)]], schema=ROWS_OUT)
+                                                            for x in (own, doc, place, words, line)]], schema=ROWS_OUT)
     again = n[which] > 1
     if again.any():
         yield pa.RecordBatch.from_arrays([pa.nulls(int(again.sum()), pa.int64()),
-                                          *[pa.array(x[again]) for x in (own, doc, place, words)]], schema=ROWS_OUT)
+                                          *[pa.array(x[again]) for x in (own, doc, place, words, line)]], schema=ROWS_OUT)
 
 
 def _window_rows(found: list):
     doc, place, window = (np.concatenate(x) for x in zip(*found))
     yield from _rows(lambda first: band_keys(window[first]), digest(window), doc, place,
-                     np.full(len(doc), WORDS, dtype=np.int32))
+                     np.full(len(doc), WORDS, dtype=np.int32), False)
 
 
 def _line_rows(found: list):
@@ -154,7 +158,7 @@ def _line_rows(found: list):
         return line_keys(grams[picked], start)
 
     # sets of up to 3 elements are similar only to equal ones, which share every band
-    yield from _rows(keys, own, doc, place, words, np.where(n < 4, 1, LINE_BANDS))
+    yield from _rows(keys, own, doc, place, words, True, np.where(n < 4, 1, LINE_BANDS))
 
 
 def _banded(batches):
@@ -202,7 +206,7 @@ def _meeting(batches):
 
 
 def meeting_paragraphs(docs: DataFrame) -> DataFrame:
-    """Stored (key, digest, doc, place, words): paragraphs that share a band key with another place."""
+    """Stored (key, digest, doc, place, words, line): paragraphs that share a band key with another place."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                    F.col("text").cast("string").alias("text"))
     banded = rows.mapInArrow(_banded, ROWS_DDL)
@@ -266,7 +270,7 @@ class GramField(Field):
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """Stored (doc, place, words, digest, cluster) of the paragraphs that meet another."""
+    """Stored (doc, place, words, line, digest, cluster) of the paragraphs that meet another."""
     bounded_batches(docs.sparkSession)
     hits = meeting_paragraphs(docs)
     members = hits.where("key IS NOT NULL").select("key", F.col("digest").alias("node")).distinct()
@@ -285,9 +289,9 @@ def clusters(docs: DataFrame) -> DataFrame:
             .mapInArrow(_similar, "a long, b long").distinct()
 
     label = resolve_keys(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
-    places = hits.select("digest", "doc", "place", "words").distinct()
+    places = hits.groupBy("digest", "doc", "place", "words").agg(F.max("line").alias("line"))
     return saved(places.join(label, F.col("digest") == F.col("_n"), "left").select(
-        "doc", "place", "words", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")
+        "doc", "place", "words", "line", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -297,7 +301,7 @@ SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("
 def spans_of(found) -> list[dict]:
     """Word spans (end exclusive) that these spans cover."""
     out: list[dict] = []
-    for start, end in sorted({(s["start"], s["end"]) for s in found}):
+    for start, end in sorted(set(found)):
         if out and start <= out[-1]["end"]:
             out[-1]["end"] = max(end, out[-1]["end"])
         else:
@@ -307,7 +311,116 @@ def spans_of(found) -> list[dict]:
 
 @F.arrow_udf(SPANS)
 def _spans(found: pa.Array) -> pa.Array:
-    return pa.array([spans_of(f) for f in found.to_pylist()], pa.list_(SPAN))
+    return pa.array([spans_of((s["start"], s["end"]) for s in f) for f in found.to_pylist()], pa.list_(SPAN))
+
+
+def _places(grams: np.ndarray, units: list) -> list[tuple]:
+    """(cluster, place, words, line) of the paragraphs that this text really holds; an id may have several texts."""
+    return [(u["cluster"], u["place"], u["words"], u["line"]) for u in units if u["place"] + u["words"] - SHINGLE < len(grams)
+            and int(digest(grams[None, u["place"]:u["place"] + u["words"] - SHINGLE + 1])[0]) == u["digest"]]
+
+
+class Agreement:
+    """Where the words of two texts agree, place by place, under a shift of one against the other."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.breaks = a, b, {}
+
+    def run(self, i: int, j: int) -> tuple[int, int]:
+        """How many words before and from (i, j) on agree without a break."""
+        shift = i - j
+        first, last = max(0, shift), min(len(self.a), len(self.b) + shift)
+        if shift not in self.breaks:
+            self.breaks[shift] = first + np.flatnonzero(self.a[first:last] != self.b[first - shift:last - shift])
+        cut = self.breaks[shift]
+        at = int(np.searchsorted(cut, i))
+        low = int(cut[at - 1]) + 1 if at else first
+        return i - low, (int(cut[at]) if at < len(cut) else last) - i
+
+
+def extended(a: tuple, b: tuple) -> tuple[set, set]:
+    """Spans (start, end) in two texts, each (words, shingles, places), of the paragraphs of the same
+    cluster, extended to both sides while the words agree."""
+    own: dict[int, list] = {}
+    for cluster, *place in b[2]:
+        own.setdefault(cluster, []).append(place)
+    agreement, here, there = Agreement(a[0], b[0]), set(), set()
+    for cluster, p, n, line_a in a[2]:
+        met = line_a
+        for q, m, line_b in own.get(cluster, ()):
+            x, y = a[1][p:p + n - SHINGLE + 1], b[1][q:q + m - SHINGLE + 1]
+            if n == m and np.array_equal(x, y):
+                i = k = np.array([0, n - SHINGLE])
+            else:
+                _, i, k = np.intersect1d(x, y, return_indices=True)
+                if not len(i):  # tied by others of the cluster only
+                    continue
+            met = True
+            head, tail = int(np.argmin(i)), int(np.argmax(i))
+            before = agreement.run(p + int(i[head]), q + int(k[head]))[0]
+            beyond = agreement.run(p + int(i[tail]), q + int(k[tail]))[1]
+            here.add((p + int(i[head]) - before, p + int(i[tail]) + beyond))
+            if k[head] - before < k[tail] + beyond:
+                there.add((q + int(k[head]) - before, q + int(k[tail]) + beyond))
+        if not met:
+            here.add((p, p + n))
+    return here, there
+
+
+SPANS_OUT = pa.schema([("doc", pa.int64()), ("keep", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+SPANS_DDL = "doc long, keep long, start int, end int"
+
+
+def _extended(batches):
+    """Of rows in the order (keep, deal, first document before others), the extended spans of both sides."""
+    state, texts, kept = None, [], set()
+
+    def out(rows):
+        cols = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, SPANS_OUT)],
+                                          schema=SPANS_OUT)
+
+    for batch in batches:
+        found = []
+        for keep, deal, doc, units, (words, grams) in zip(*(batch.column(c).to_pylist() for c in
+                                                            ("keep", "deal", "doc", "units")),
+                                                          texts_shingles(batch.column("text"), SHINGLE)):
+            if (keep, deal) != state:
+                found += [(state[0], state[0], s["start"], s["end"]) for s in spans_of(kept)] if kept else []
+                state, texts, kept = (keep, deal), [], set()
+            side = (words, grams, _places(grams, units))
+            if doc == keep:
+                texts.append(side)
+                continue
+            spans = set()
+            for text in texts:
+                here, there = extended(side, text)
+                spans |= here
+                kept |= there
+            found += [(doc, keep, s["start"], s["end"]) for s in spans_of(spans)]
+        if found:
+            yield out(found)
+    if kept:
+        yield out([(state[0], state[0], s["start"], s["end"]) for s in spans_of(kept)])
+
+
+def extended_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc, keep, start, end): repeated passages in ``found`` (doc, place, words, line, digest,
+    cluster, keep) to their ends, in each document and (keep = doc) in the first one. A first document of many is
+    dealt to several tasks, ``KEEP_ROWS`` of its documents each on average."""
+    units = saved(found.groupBy("doc", "keep").agg(F.collect_list(F.struct("cluster", "place", "words", "line",
+                                                                                       "digest"))
+                                                   .alias("units")), "units")
+    deals = units.where("doc <> keep").groupBy("keep").agg(F.ceil(F.count(F.lit(1)) / KEEP_ROWS).cast("int").alias("deals")) \
+        .withColumnRenamed("keep", "_k")
+    dealt = units.join(deals.hint("merge"), F.col("keep") == F.col("_k")).drop("_k")
+    deal = F.when(F.col("doc") == F.col("keep"), F.sequence(F.lit(0), F.col("deals") - 1)) \
+        .otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("deals")).cast("int")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text"))
+    rows = dealt.join(texts.hint("merge"), F.col("doc") == F.col("_d")).drop("_d") \
+        .select("keep", F.explode(deal).alias("deal"), "doc", "units", "text") \
+        .repartition("keep", "deal").sortWithinPartitions("keep", "deal", F.col("doc") != F.col("keep"))
+    return rows.mapInArrow(_extended, SPANS_DDL)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -317,12 +430,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = clusters(docs)
     repeat = rows.groupBy("cluster").agg(F.min("doc").alias("keep"), F.max("doc").alias("_last")) \
         .where("keep <> _last").select(F.col("cluster").alias("_c"), "keep")
+    found = saved(rows.join(repeat, F.col("cluster") == F.col("_c")).drop("_c"), "found")
+    whole = extended_spans(docs, found).select("doc", F.struct("start", "end").alias("span"), "keep",
+                                               F.lit(False).alias("own"), F.lit(True).alias("used"))
     span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("words")).alias("end"))
-    found = rows.join(repeat, F.col("cluster") == F.col("_c")).select("doc", span.alias("span"), "keep").distinct()
+    found = found.select("doc", span.alias("span"), "keep", F.lit(True).alias("own"), F.col("line").alias("used")) \
+        .unionByName(whole).distinct()
     gone = F.col("keep") != F.col("doc")
     per = found.groupBy("doc").agg(
-        F.count_distinct("span").alias("n_paragraphs"), F.collect_set("span").alias("_all"),
-        F.collect_set(F.when(gone, F.col("span"))).alias("_gone"),
+        F.count_distinct(F.when(F.col("own"), F.col("span"))).alias("n_paragraphs"),
+        F.collect_set(F.when(F.col("used"), F.col("span"))).alias("_all"),
+        F.collect_set(F.when(F.col("used") & gone, F.col("span"))).alias("_gone"),
         F.array_sort(F.collect_set(F.when(gone, F.col("keep")))).alias("keep_ids"))
     spans = per.withColumn("repeated", _spans("_all")).withColumn("removed", _spans("_gone"))
 

@@ -149,6 +149,27 @@ def test_paragraphs_meet_as_whole_lines(spark):
     assert len(want) > 30 and all(got[d].removed_words >= n and got[d].keep_ids == [d - 1] for d, n in want.items())
 
 
+def test_repeats_reach_the_ends_of_a_passage(spark):
+    """Passages of 51 to 120 words pasted inside lines of words that occur once are cut whole."""
+    rnd = random.Random(12)
+    fresh = iter(range(10 ** 6))
+    line = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(0, 60, 3):
+        passage = line(rnd.choice([51, 60, 80, 120]))
+        for k in range(3):
+            before = line(rnd.randint(0, 90))
+            rows.append((i + k, " ".join(before + passage + line(rnd.randint(0, 90)))))
+            want[i + k] = (i, [(len(before), len(before) + len(passage))])
+    docs = spark.createDataFrame(rows + rows[:4], "doc_id long, text string")
+    got = {r.doc_id: r for r in paragraphs.repeats(docs).collect()}
+    assert set(got) == set(want)
+    for d, (keep, spans) in want.items():
+        assert [tuple(s) for s in got[d].repeated] == spans
+        assert [tuple(s) for s in got[d].removed] == (spans if d != keep else [])
+        assert d == keep and not got[d].keep_ids or keep in got[d].keep_ids  # a window over an end may tie the others
+
+
 def test_anchors_reach_every_passage():
     rng = np.random.default_rng(2)
     grams = rng.integers(0, 2 ** 64, 4000, dtype=np.uint64)
