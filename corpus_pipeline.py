@@ -6,7 +6,8 @@ columns of their input:
 
 1. language identification drops documents in no language (null text, or no letters);
 2. exact deduplication keeps, of texts equal but for the case of A-Z, the row with the largest id;
-3. near deduplication keeps one document (the smallest id) of each component;
+3. near deduplication keeps one document (the smallest id) of each component of texts whose 5-word
+   shingles have a Jaccard similarity of 0.8 or more;
 4. mixing repeats or drops documents so that sources come near their target weights;
 5. packing returns a row for each piece of a document, placed in a sequence.
 """
@@ -20,6 +21,8 @@ from placerank.llm.common import read_table, saved
 
 #: Expectation-maximisation, sketches and a genetic algorithm have no SQL form.
 ORACLE_SQL = None
+#: Words of a shingle and least similarity of the stage; the query of operator 5 has its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return setsketch.keep_first(docs)
+    return setsketch.keep_first(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def op4_separator_scan(spark, sf_dir):
 @query
 def op5_setsketch(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return setsketch.near_duplicates(docs)
+    return setsketch.near_duplicates(docs, 3, 85)
 
 
 @query

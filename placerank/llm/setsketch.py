@@ -1,25 +1,29 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document is the set of its 3-word shingles. Every register takes the minimum of exponentially
+A document is the set of its shingles of some words. Every register takes the minimum of exponentially
 distributed hashes of the set's elements on a logarithmic scale, ``1 - log_b(minimum)`` truncated
 to an integer in [0, q + 1]: such sketches merge by maximum, and two registers agree with a
-probability close to the sets' Jaccard similarity. Runs of ``ROWS`` registers are the bands; of
+probability close to the sets' Jaccard similarity. Runs of registers are the bands; of
 documents that share a band the similarity is estimated from both sketches and set sizes by
 maximum likelihood, candidates clearly below the threshold go, and the rest is confirmed on the
 full sets. Confirmed links join documents to components.
 
 Documents with the same set are one node throughout (their smallest id), so that thousands of
-copies cost one. A pair at the threshold is missed by all bands with probability
-``(1 - 0.85^ROWS)^BANDS``, about 6e-9; the margin of the estimate is five standard deviations.
+copies cost one. The shingles' words and the threshold are arguments: :class:`Rule` takes the bands
+from the threshold, so that a pair at it is missed by all of them with probability ``MISSED`` at most
+(at 85 % 40 bands of 6 registers, 6e-9; at 80 % 48 of 5, 5e-9); the margin of the estimate is five
+standard deviations.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a
-text of fewer than three words has its sequence as its only shingle; repeated rows of an id are
+text of fewer words than a shingle has its sequence as its only shingle; repeated rows of an id are
 one node; a row without id is linked with nothing, its component is null and it is kept; an empty
 table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +36,9 @@ from .shingles import texts_shingles
 
 SHINGLE = 3
 PERCENT = 85               # linked where 100 * intersection >= PERCENT * union
-BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 240
+MISSED = 1e-8              # probability that a pair at the threshold shares no band, at most
 BASE, RATE, TOP = 1.001, 20.0, 65534   # b, a and q of the sketch
-MARGIN = 0.115             # below the threshold, for the estimate: five standard deviations
 BROADCAST_IDS = 500_000    # ids broadcast at most to pick documents for confirmation
 
 _RNG = np.random.Generator(np.random.PCG64(41))
@@ -44,6 +47,17 @@ _ODD = _RNG.integers(0, 2 ** 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np
 _BLOCK = 512
 
 
+class Rule:
+    """Threshold with the bands and the margin (below it, for the estimate) that follow from it."""
+
+    def __init__(self, percent: int):
+        self.percent, j = percent, percent / 100
+        self.rows = max(r for r in range(1, REGISTERS + 1)
+                        if REGISTERS % r == 0 and (r == 1 or (1 - j ** r) ** (REGISTERS // r) <= MISSED))
+        self.bands = REGISTERS // self.rows
+        self.least = j - 5 * (j * (1 - j) / REGISTERS) ** 0.5
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
     """Registers of a set of 64-bit hashes (uint16)."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -88,10 +102,10 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()
                     ("regs", pa.binary())])
 
 
-def _sketches(batches):
+def _sketches(batches, shingle):
     for batch in batches:
         rows = []
-        for _, grams in texts_shingles(batch.column("text"), SHINGLE):
+        for _, grams in texts_shingles(batch.column("text"), shingle):
             own = np.unique(grams)
             digest = xxhash.xxh3_128_digest(own.tobytes())
             d0, d1 = np.frombuffer(digest, dtype=np.int64)
@@ -102,10 +116,10 @@ def _sketches(batches):
             schema=SKETCH)
 
 
-def _sets(batches):
+def _sets(batches, shingle):
     schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
     for batch in batches:
-        sets = [np.unique(g).tobytes() for _, g in texts_shingles(batch.column("text"), SHINGLE)]
+        sets = [np.unique(g).tobytes() for _, g in texts_shingles(batch.column("text"), shingle)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema=schema)
 
 
@@ -117,23 +131,23 @@ def _kept(batch, keep):
     return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIRS).filter(keep)
 
 
-def _likely(batches):
+def _likely(batches, rule):
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
                 for c in ("regs_a", "regs_b"))
         n_a, n_b = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
-        yield _kept(batch, estimate(a, b, n_a, n_b) >= PERCENT / 100 - MARGIN)
+        yield _kept(batch, estimate(a, b, n_a, n_b) >= rule.least)
 
 
-def _confirmed(batches):
+def _confirmed(batches, rule):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("grams_a"), batch.column("grams_b")):
             a, b = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (a, b))
             common = intersection(a, b)
-            keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+            keep.append(100 * common >= rule.percent * (len(a) + len(b) - common))
         yield _kept(batch, keep)
 
 
@@ -145,38 +159,40 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class SketchField(Field):
-    def __init__(self, rows):
+    def __init__(self, rows, rule):
         super().__init__(rows)
+        self.rule = rule
         self.n = rows["n"].to_numpy(dtype=np.float64)
         self.regs = np.frombuffer(b"".join(rows["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
         self.sets = [np.frombuffer(g, dtype=np.uint64) for g in rows["grams"]]
 
     def likely(self, i, js):
-        js = js[100 * np.minimum(self.n[js], self.n[i]) >= PERCENT * np.maximum(self.n[js], self.n[i])]
+        js = js[100 * np.minimum(self.n[js], self.n[i]) >= self.rule.percent * np.maximum(self.n[js], self.n[i])]
         # equal registers bound the estimate: only pairs with enough of them are worth a likelihood
         equal = (self.regs[js] == self.regs[i]).sum(axis=1)
-        js = js[equal >= REGISTERS * (PERCENT / 100 - MARGIN)]
+        js = js[equal >= REGISTERS * self.rule.least]
         if not len(js):
             return js
         own = np.broadcast_to(self.regs[i], (len(js), REGISTERS))
         j = estimate(own, self.regs[js], np.broadcast_to(self.n[i], len(js)), self.n[js])
         order = np.argsort(-j, kind="stable")
-        return js[order[j[order] >= PERCENT / 100 - MARGIN]]
+        return js[order[j[order] >= self.rule.least]]
 
     def linked(self, i, j):
         common = intersection(self.sets[i], self.sets[j])
-        return 100 * common >= PERCENT * (len(self.sets[i]) + len(self.sets[j]) - common)
+        return 100 * common >= self.rule.percent * (len(self.sets[i]) + len(self.sets[j]) - common)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle=SHINGLE) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sketches, "doc_id long, n long, d0 long, d1 long, regs binary")
+    return rows.mapInArrow(partial(_sketches, shingle=shingle), "doc_id long, n long, d0 long, d1 long, regs binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle=SHINGLE, percent=PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
+    rule = Rule(percent)
     bounded_batches(docs.sparkSession)
-    rows = saved(sketches(docs), "sketches")
+    rows = saved(sketches(docs, shingle), "sketches")
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(able.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("node")), "classes")
     # ids with several texts tie the classes of these
@@ -187,28 +203,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     nodes = saved(rows.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "d0", "d1"], "left_semi")
                   .select(F.col("doc_id").alias("node"), "n", "regs").dropDuplicates(["node", "n"]), "nodes")
-    width = 2 * ROWS
+    width = 2 * rule.rows
     bands = nodes.select("node", F.explode(F.array(*[
-        F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BANDS)])).alias("key"))
+        F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(rule.bands)])).alias("key"))
     shared = shared_buckets(bands)
     wanted = saved(shared.select(F.col("node").alias("doc_id")).distinct(), "wanted")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .join(small_side(wanted, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = saved(picked.mapInArrow(_sets, "doc_id long, grams binary"), "sets")
+    sets = saved(picked.mapInArrow(partial(_sets, shingle=shingle), "doc_id long, grams binary"), "sets")
 
     def test(pairs: DataFrame) -> DataFrame:
         with_n = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"),
                                          F.col("regs").alias("regs_a")), "a") \
             .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b") \
-            .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        likely = saved(with_n.mapInArrow(_likely, "a long, b long").distinct(), "likely")
+            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        likely = saved(with_n.mapInArrow(partial(_likely, rule=rule), "a long, b long").distinct(), "likely")
         return likely.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b") \
             .join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a") \
-            .mapInArrow(_confirmed, "a long, b long").distinct()
+            .mapInArrow(partial(_confirmed, rule=rule), "a long, b long").distinct()
 
     payload = nodes.select("node", "n", "regs").join(
         sets.select(F.col("doc_id").alias("_id"), "grams"), F.col("node") == F.col("_id")).drop("_id")
-    label = resolve(shared, test, payload, SketchField)
+    label = resolve(shared, test, payload, partial(SketchField, rule=rule))
     if not ties.isEmpty():
         from .components import components
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ties))
@@ -222,9 +238,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle=SHINGLE, percent=PERCENT) -> DataFrame:
     """``docs`` with all its columns: one document of each component stays."""
-    gone = saved(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_llm_id")).distinct(), "repeats")
+    gone = saved(near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("_llm_id")).distinct(), "repeats")
     n = gone.count()
     if not n:
         return docs

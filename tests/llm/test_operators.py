@@ -107,6 +107,28 @@ def test_setsketch(docs, rows, empty):
     assert setsketch.keep_first(docs).columns == docs.columns
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+    rnd = random.Random(6)
+    texts = []
+    for footer in (5, 20, 40, 48, 55, 80):  # 5-word Jaccard 196 / (196 + footer), 0.8 up to 49 words
+        base = sentence(rnd, 200)
+        texts += [base, base + " " + sentence(rnd, footer)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 5) for t in texts]
+    want = [i for i, x in enumerate(sets)
+            if not any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:i])]
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near(spark, docs, "").collect())
+    assert got == want and 0 < len(texts) - len(want) < 6
+
+
+def test_near_rule_follows_the_threshold():
+    assert (setsketch.Rule(85).bands, setsketch.Rule(85).rows) == (40, 6)
+    for percent in (50, 80, 85, 95):
+        rule = setsketch.Rule(percent)
+        assert rule.bands * rule.rows == setsketch.REGISTERS and 0 < rule.least < percent / 100
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2 ** 64, 3000, dtype=np.uint64)
