@@ -68,3 +68,20 @@ SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coal
        d.doc_id = least(d.doc_id, coalesce(m.b, d.doc_id)) AS kept
 FROM d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = d.doc_id
 """
+
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op13_bag_search"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format(LOWER.format("text"))} AS ts FROM documents),
+total AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM t),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM t) GROUP BY ALL),
+item AS (SELECT DISTINCT item_id, unnest({TERMS.format(LOWER.format("text"))}) AS term FROM benchmark),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+           FROM tf, total WHERE term IN (SELECT term FROM item) GROUP BY term),
+m AS (SELECT r, doc_id, 10 + (90 * len(ts) * n) // l AS m FROM t, total WHERE len(ts) > 0),
+score AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM item JOIN weight USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0)
+WHERE rank <= 10
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (exact_mph, fair_queue, language_mix, line_frequency, oracles, packing, paragraphs, secrets,
-               separator_scan, setsketch, token_files)
+from . import (exact_mph, fair_queue, interpolated, language_mix, lexical, line_frequency, oracles, packing, paragraphs,
+               periodic, secrets, separator_scan, setsketch, token_files)
 from .common import read_table
 
 QUERIES: dict = {}
@@ -85,6 +85,24 @@ def op10_markov_secrets(spark, sf_dir):
     return secrets.secrets(docs)
 
 
+@query
+def op11_deleted_interpolation(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return interpolated.score(docs)
+
+
+@query
+def op12_seed_extend_runs(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.runs(docs, periodic.planted))
+
+
+@query
+def op13_bag_search(spark, sf_dir):
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return lexical.search(docs, items)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
