@@ -6,8 +6,7 @@ per-hit or per-token results are exploded and aggregated (with map-side
 partial aggregation, so frequent tokens do not skew the shuffle).
 
 Stem hits follow ``re.finditer`` for a literal: non-overlapping, left to
-right. They are found by splitting the text on the escaped stem: piece k ends
-where hit k starts, so hit starts are prefix sums of piece lengths.
+right. All stems of a lexicon are found in one walk (``functions.stems``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import keyword_regex, normalise_informal, regex_escape
+from ..functions.stems import any_stem, stem_hits
+from ..functions.text import normalise_informal, regex_escape
 
 WS_CLASS = "[ \t\n\r\f]"
 # Negation markers searched around a positive stem (TX9).
@@ -173,14 +173,8 @@ def hit_starts(t: Column, stem: str) -> Column:
 def negated_hits(t: Column, stem: str, negators: list[str] | None = None, w: int = 4) -> Column:
     """TX9: for each hit of ``stem``, whether a negator occurs inside the clipped
     window [start − w, end + w). Returns array<boolean>."""
-    neg = keyword_regex(negators or NEGATORS)
-    L = len(stem)
-
-    def ctx(a):
-        lo = F.greatest(a - w, F.lit(0))
-        return F.substring(t, lo + 1, a + L + w - lo)
-    return F.transform(F.when(F.length(t) > 0, hit_starts(t, stem)).otherwise(F.array().cast("array<int>")),
-                       lambda a: ctx(a).rlike(neg))
+    neg = any_stem(negators or NEGATORS)
+    return F.transform(stem_hits(t, [stem], w), lambda h: h["context"].rlike(neg))
 
 
 def rule_sentiment(df: DataFrame, c: str, positive: list[str], negative: list[str],
@@ -188,21 +182,20 @@ def rule_sentiment(df: DataFrame, c: str, positive: list[str], negative: list[st
                    prob: str = "positive_prob") -> DataFrame:
     """TX10: on the normalised text (TX3): any negative stem → negative 0.0; a positive
     stem with a nearby negator → negative 0.0; a positive stem → positive 1.0; else
-    neutral 0.5."""
+    neutral 0.5. Each list of stems is one prefix tree; a text with a negative stem or
+    without a positive one is not searched for windows."""
     lex = lexicon(positive, negative)
     t = normalise_informal(F.coalesce(F.col(c).cast("string"), F.lit("")))
     pos_stems = [e["stem"] for e in lex if e["polarity"] == "pos"]
     neg_stems = [e["stem"] for e in lex if e["polarity"] == "neg"]
     tmp = pin(df, _nt=t)
     nt = F.col("_nt")
-    any_neg = nt.rlike(keyword_regex(neg_stems)) if neg_stems else F.lit(False)
-    any_pos = nt.rlike(keyword_regex(pos_stems)) if pos_stems else F.lit(False)
-    negated = F.lit(False)
-    for s in pos_stems:
-        negated = negated | F.exists(negated_hits(nt, s, negators, w), lambda b: b)
-    res = tmp.withColumn(label, F.when(any_neg, F.lit(NEGATIVE))
-                         .when(any_pos & negated, F.lit(NEGATIVE))
-                         .when(any_pos, F.lit(POSITIVE)).otherwise(F.lit(NEUTRAL)))
+    any_neg = nt.rlike(any_stem(neg_stems)) if neg_stems else F.lit(False)
+    any_pos = nt.rlike(any_stem(pos_stems)) if pos_stems else F.lit(False)
+    negator = any_stem(negators or NEGATORS)
+    negated = F.exists(stem_hits(nt, pos_stems, w), lambda h: h["context"].rlike(negator))
+    res = tmp.withColumn(label, F.when(any_neg, F.lit(NEGATIVE)).when(~any_pos, F.lit(NEUTRAL))
+                         .when(negated, F.lit(NEGATIVE)).otherwise(F.lit(POSITIVE)))
     res = res.withColumn(prob, F.when(F.col(label) == POSITIVE, 1.0)
                          .when(F.col(label) == NEGATIVE, 0.0).otherwise(0.5))
     return res.drop("_nt")
@@ -225,29 +218,25 @@ def sentiment_summary(df: DataFrame, entity: str, text: str, label: str = "senti
 def keyword_counts(df: DataFrame, entity: str, c: str, positive: list[str], negative: list[str],
                    negators: list[str] | None = None, w: int = 4) -> DataFrame:
     """TX12: per (entity, polarity bucket, word) the number of hits over all documents.
-    A positive hit with a nearby negator counts for the negative bucket."""
+    A positive hit with a nearby negator counts for the negative bucket.
+
+    All stems are found in one walk of a text; its hits are counted by (stem, negated)
+    before the shuffle, and stems get their words afterwards, from a literal list."""
     lex = lexicon(positive, negative)
+    if not lex:
+        return df.select(entity, F.lit("").alias("bucket"), F.lit("").alias("word"), F.lit(0).cast("long").alias("count")).limit(0)
+    negator = any_stem(negators or NEGATORS)
     t = normalise_informal(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    base = pin(df.select(entity, c), _nt=t)
-    nt = F.col("_nt")
-    base = pin(base.select(entity, "_nt"),
-               **{f"_f{i}": negated_hits(nt, e["stem"], negators, w) for i, e in enumerate(lex)})
-    structs = []
-    for i, e in enumerate(lex):
-        flags = F.col(f"_f{i}")
-        if e["polarity"] == "pos":
-            n_neg = F.size(F.filter(flags, lambda b: b))
-            n_pos = F.size(flags) - n_neg
-        else:
-            n_pos, n_neg = F.lit(0), F.size(flags)
-        structs.append(F.struct(F.lit(e["word"]).alias("word"), n_pos.alias("_p"), n_neg.alias("_n")))
-    per_doc = base.select(entity, F.explode(F.array(*structs)).alias("h")).select(entity, "h.*")
-    per_doc = per_doc.filter((F.col("_p") > 0) | (F.col("_n") > 0))
-    long = per_doc.select(entity, "word", F.explode(F.array(
-        F.struct(F.lit("pos").alias("bucket"), F.col("_p").alias("_k")),
-        F.struct(F.lit("neg").alias("bucket"), F.col("_n").alias("_k")))).alias("b")).select(entity, "word", "b.*")
-    return (long.filter(F.col("_k") > 0).groupBy(entity, "bucket", "word")
-            .agg(F.sum("_k").cast("long").alias("count")))
+    base = pin(df.select(entity, c), _nt=t).select(entity, "_nt")
+    hits = base.select(entity, F.inline(stem_hits(F.col("_nt"), [e["stem"] for e in lex], w)))
+    found = hits.groupBy(entity, "stem", F.col("context").rlike(negator).alias("_neg")).agg(F.count(F.lit(1)).alias("_k"))
+    entries: dict[str, list] = {}
+    for e in lex:
+        entries.setdefault(e["stem"], []).append(F.struct(F.lit(e["word"]).alias("word"), F.lit(e["polarity"]).alias("_pol")))
+    words = F.create_map(*[x for s, own in entries.items() for x in (F.lit(s), F.array(*own))])
+    named = found.select(entity, "_neg", "_k", F.inline(F.element_at(words, F.col("stem"))))
+    bucket = F.when((F.col("_pol") == "pos") & ~F.col("_neg"), "pos").otherwise("neg")
+    return named.groupBy(entity, bucket.alias("bucket"), "word").agg(F.sum("_k").cast("long").alias("count"))
 
 
 def top_keyword_idf(counts: DataFrame, entity: str, entities: DataFrame | None = None,

@@ -141,3 +141,62 @@ def test_vocabulary_counts_documents_without_tokens(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "aa"), (3, ""), (4, None)], "d int, t string")
     got = vocabulary(token_rows(docs, "t", keep="d"), "d", "term", max_df=0.5, docs=docs).collect()
     assert {r["term"] for r in got} == {"aa", "bb"}
+
+
+# ------------------------------------------------------------------ many stems in one walk
+
+def finditer_hits(text, stems, w):
+    import re
+    return sorted((s, text[max(0, m.start() - w):m.end() + w]) for s in stems for m in re.finditer(re.escape(s), text))
+
+
+def test_stem_hits_equal_finditer_of_each_stem(spark):
+    import random
+    from placerank.functions.stems import stem_hits
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc안 .") for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    texts += ["", None, "aaaaaaa", "a\nb" * 5, "좋아좋아요 안좋다", "😀ab😀c﷐ab", "x" * 5000 + "abc", "$1ab\\1(a.c)"]
+    stems = ["a", "ab", "abc", "b", "bca", "aa", "aba", "abab", "안", "좋아", "좋아요", "c.", "(a.c)", "ab\\1", "nowhere"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for w in (0, 1, 4):
+        got = {r["i"]: sorted((h["stem"], h["context"]) for h in r["h"]) for r in df.select("i", stem_hits(F.col("t"), stems, w).alias("h")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == finditer_hits((t or "").replace("﷐", "�"), stems, w), (t, w)
+
+
+def test_prefix_tree_finds_the_longest():
+    import re
+    from placerank.functions.stems import any_stem, overlaps_itself
+    assert any_stem([]) is None
+    rx = re.compile(any_stem(["do", "dog", "dot", "d", "cat", "a.b"]))
+    assert [m.group() for m in rx.finditer("dogs do dots a.b axb d cat")] == ["dog", "do", "dot", "a.b", "d", "cat"]
+    assert [overlaps_itself(x) for x in ("aa", "aba", "ab", "a", "abab", "abc")] == [True, True, False, False, True, False]
+
+
+def test_150_stems_in_time_of_10(spark):
+    """Many stems are one walk: counts equal those stem by stem, and time does not follow their number."""
+    import random
+    import time
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(150)]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(400)) for _ in range(400)]
+    df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "e int, t string").repartition(4).cache()
+    df.count()
+
+    def run(stems):
+        best = None
+        for _ in range(3):
+            t0 = time.perf_counter()
+            got = T.keyword_counts(df, "e", "t", stems, [], negators=["zz"]).collect()
+            best = min(best or 1e9, time.perf_counter() - t0)
+        return best, {(r["e"], r["word"]): r["count"] for r in got}
+    few, _ = run(words[:10])
+    many, counts = run(words)
+    want = {}
+    for i, t in enumerate(texts):
+        for s in dict.fromkeys(words):
+            if n := t.count(s):
+                want[i % 3, s] = want.get((i % 3, s), 0) + n
+    assert counts == want
+    assert many < 4 * few + 1.0, (few, many)
