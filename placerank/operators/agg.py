@@ -1,9 +1,9 @@
 """Aggregations (AG1–AG18).
 
 Everything is a hash aggregate with map-side partial aggregation, so a hot
-key is collapsed before the shuffle. Exact quantiles are computed from a
-range-partitioned sort (positions inside each group), not from a per-group
-buffer that would hold a hot group's values in one task.
+key is collapsed before the shuffle. Exact quantiles are selected by counting
+ranges of values, not from a per-group buffer that would hold a hot group's
+values in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
 from ..functions.text import to_array
-from .rank import fits_one_task, global_index, row_hash
+from .ranges import quantiles
 
 
 def _cols(x) -> list:
@@ -67,53 +67,25 @@ def richness_score(df: DataFrame, key, cat: str, distinct: bool = False, out: st
 def quantile_exact(df: DataFrame, c: str, qs: dict[str, float], by=None) -> DataFrame:
     """Linear-interpolation quantiles (pandas ``quantile``), exact, per group.
 
-    ``qs`` maps output name → q. Positions come from a range-partitioned sort,
-    so a hot group is spread over many tasks.
+    ``qs`` maps output name → q. Rows are counted in ranges of (group, value); only
+    those of a range that holds a wanted position are read again, as counted values,
+    so neither a hot group nor a hot value lands in one task.
     """
-    by = _cols(by)
-    vals = df.select(*by, F.col(c).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if fits_one_task(vals, by):
-        # bounded groups: Spark's exact percentile (linear interpolation), one buffer per group
-        return vals.groupBy(*by).agg(*[F.percentile("_v", float(q)).alias(name) for name, q in qs.items()])
-    order = [F.col(b).asc() for b in by] + [F.col("_v").asc(), row_hash(vals).asc()]
-    idx = global_index(vals, order)
-    grp = idx.groupBy(*by).agg(F.min("_gidx").alias("_g0"), F.count(F.lit(1)).alias("_gn"))
-    j = idx.crossJoin(F.broadcast(grp)) if not by else idx.join(grp, by)
-    j = j.withColumn("_loc", F.col("_gidx") - F.col("_g0"))
-    aggs, wanted = [], None
-    for name, q in qs.items():
-        h = (F.col("_gn") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        hit = (F.col("_loc") == lo) | (F.col("_loc") == hi)
-        wanted = hit if wanted is None else (wanted | hit)
-        j = j.withColumn(f"_h_{name}", h)
-        aggs += [F.max(F.when(F.col("_loc") == lo, F.col("_v"))).alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("_loc") == hi, F.col("_v"))).alias(f"_hi_{name}"),
-                 F.first(f"_h_{name}").alias(f"_hh_{name}")]
-    red = j.filter(wanted).groupBy(*by).agg(*aggs)
-    outs = []
-    for name in qs:
-        lo, hi, h = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_hh_{name}")
-        outs.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
-    return red.select(*by, *outs)
+    return quantiles(df, c, qs, _cols(by))
 
 
 def stats_row(df: DataFrame, cols: list[str], stats=("median", "mean", "min", "max", "std")) -> DataFrame:
-    """AG13: one row of global statistics for several columns (``{col}_{stat}``).
-
-    Median is exact (sort-based); the rest come from one aggregate.
-    """
+    """AG13: one row of global statistics for several columns (``{col}_{stat}``): one aggregate, and
+    one selection for all medians over the unpivoted columns. A column without values has nulls."""
     simple = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp,
               "std_pop": F.stddev_pop, "count": F.count}
-    exprs = [simple[s](F.col(c).cast("double")).alias(f"{c}_{s}") for c in cols for s in stats if s in simple]
-    row = df.agg(*exprs) if exprs else None
+    row = df.agg(F.lit(1).alias("_one"), *[simple[s](F.col(c).cast("double")).alias(f"{c}_{s}") for c in cols for s in stats if s in simple])
     if "median" in stats:
-        for c in cols:
-            med = quantile_exact(df, c, {f"{c}_median": 0.5})
-            # zero rows in → no quantile row: keep a null median like pandas
-            med = df.sparkSession.range(1).join(med, how="left").drop("id")
-            row = med if row is None else row.crossJoin(med)
-    return row
+        named = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in cols]
+        found = quantiles(df.select(F.inline(F.array(*named))), "_v", {"_med": 0.5}, ["_name"])
+        row = row.crossJoin(F.broadcast(found.groupBy().pivot("_name", cols).agg(F.first("_med")))
+                            .withColumnsRenamed({c: f"{c}_median" for c in cols}))
+    return row.select(*[f"{c}_{s}" for c in cols for s in stats])
 
 
 def fill_half_min(df: DataFrame, c: str, out: str | None = None, factor: float = 0.5,
@@ -174,14 +146,13 @@ def select_top_quantile(df: DataFrame, key: str, m: str, q: float = 0.75, global
                         keep=None) -> DataFrame:
     """AG9: rows ≥ the group's q-quantile ∪ rows ≥ the global quantile ∪ rows of the
     always-keep groups, whole-row distinct."""
-    thr = quantile_exact(df, m, {"_thr": q}, by=key)
+    thr = quantile_exact(df, m, {"_thr": q}, by=key).withColumnRenamed(key, "_thr_key")
     glob = quantile_exact(df, m, {"_gthr": global_q})
-    by_group = df.join(thr, key).filter(F.col(m) >= F.col("_thr")).drop("_thr")
-    top = df.crossJoin(F.broadcast(glob)).filter(F.col(m) >= F.col("_gthr")).drop("_gthr")
-    res = by_group.unionByName(top)
+    marked = df.join(thr, F.col(key) == F.col("_thr_key"), "left").crossJoin(F.broadcast(glob))
+    chosen = F.coalesce(F.col(m) >= F.col("_thr"), F.lit(False)) | F.coalesce(F.col(m) >= F.col("_gthr"), F.lit(False))
     if keep:
-        res = res.unionByName(df.filter(F.col(key).isin(list(keep))))
-    return res.distinct()
+        chosen = chosen | F.coalesce(F.col(key).isin(list(keep)), F.lit(False))
+    return marked.where(chosen).select(*df.columns).distinct()
 
 
 def ensure_min_members(selected: DataFrame, source: DataFrame, key: str, m: str, n: int = 2,

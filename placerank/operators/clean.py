@@ -90,13 +90,8 @@ def split_cohort(df: DataFrame, c: str, names: list[str] | None = None, pattern:
 
 def assign_cyclic(df: DataFrame, order, labels: list[str], out: str = "label") -> DataFrame:
     """PR23: row i (in ``order``) gets ``labels[i mod n]`` — position, not content, decides."""
-    from pyspark.sql import Window
-    from .rank import fits_one_task, global_index
-    order_cols = [F.col(o).asc() if isinstance(o, str) else o for o in _cols(order)]
-    if fits_one_task(df):
-        idx = df.withColumn("_gidx", F.row_number().over(Window.partitionBy().orderBy(*order_cols)))
-    else:
-        idx = global_index(df, order_cols)
+    from .rank import global_index
+    idx = global_index(df, _cols(order))
     arr = F.array(*[F.lit(x) for x in labels])
     return idx.withColumn(out, F.element_at(arr, (F.pmod(F.col("_gidx") - 1, F.lit(len(labels))) + 1).cast("int"))).drop("_gidx")
 

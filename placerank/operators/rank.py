@@ -1,11 +1,12 @@
 """Ranking, ordering and top-k (WN1–WN8) without single-task global windows.
 
 A global ``Window.orderBy`` (no partition keys) moves every row into one task.
-Here global and per-group positions come from a range-partitioned sort: each
-row's position is its index inside its sorted partition plus the row count of
-all earlier partitions (a table with one row per partition, broadcast). Hot
-tie groups are spread over partitions by a content hash appended to the sort
-key, so no task holds more than its range share.
+Here positions come from counted ranges of the sort key (``operators.ranges``):
+a row's position is the count of the ranges before its own plus its place in
+its range. There is one path for every size. Rows that tie on the sort value
+are told apart by a content hash, so a hot tie is spread over ranges; a
+competition rank counts the rows of every distinct value before it ranks the
+values, so a hot value is one row there.
 
 Per-key top-k uses a two-level cut (first k inside ``(key, salt)`` sub-groups,
 then k per key over at most ``salts·k`` candidates), which is exact and keeps a
@@ -14,18 +15,14 @@ hot key from landing in one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .ranges import row_hash, weight_before
 
 SALTS = 64
-# Largest group (rows) ranked or sorted inside one task; above it the range-sort path is used.
-SMALL_ROWS = 1_000_000
-# Plan-size estimates that decide without a job: a frame this small fits one task whole;
-# a frame this large always takes the range-sort path (no extra pass over a huge input).
-SMALL_BYTES = 64 * 1024 * 1024
-HUGE_BYTES = 8 * 1024 ** 3
 
 
 def _cols(x) -> list:
@@ -39,102 +36,34 @@ def _sort_expr(c: str | Column, ascending: bool) -> Column:
     return col.asc_nulls_last() if ascending else col.desc_nulls_last()
 
 
-def row_hash(df: DataFrame) -> Column:
-    """Deterministic per-row salt (content hash), stable under task retries."""
-    return F.xxhash64(*[F.col(c) for c in df.columns])
-
+def _directed(o) -> tuple[Column, bool]:
+    """(column, ascending) of a name, a column, a pair, or a sorted column of a plain name."""
+    if isinstance(o, tuple):
+        return (F.col(o[0]) if isinstance(o[0], str) else o[0]), o[1]
+    if isinstance(o, str):
+        return F.col(o), True
+    sorted_name = re.fullmatch(r"Column<'(\w+) (ASC|DESC) NULLS (?:FIRST|LAST)'>", str(o))
+    return (F.col(sorted_name[1]), sorted_name[2] == "ASC") if sorted_name else (o, True)
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
+def global_index(df: DataFrame, order: list, out: str = "_gidx", partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in ``order``: names, columns or (column, ascending)
+    pairs, missing values last.
 
-def small_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("placerank.smallGroupRows", str(SMALL_ROWS)))
-
-
-def largest_group(df: DataFrame, by=None) -> int:
-    """Row count of the largest group (or of the frame): one small aggregate job whose
-    single-number result picks the physical strategy, like a checked broadcast."""
-    by = _cols(by)
-    if not by:
-        return int(df.count())
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
-    return int(row["_m"] or 0)
-
-
-def plan_bytes(df: DataFrame) -> tuple[int | None, bool]:
-    """Catalyst's size estimate of the optimized plan (file sizes for scans; an upper
-    bound through aggregates without CBO) and whether the plan joins. Without CBO a
-    join's estimate is the product of its inputs', so a large value is not evidence
-    of a large frame there. No job runs."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        est = int(str(plan.stats().sizeInBytes()))
-        joins = "Join" in plan.toString()
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return None, True
-    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)).rstrip("bB") or 0)
-    if est >= unknown:  # no statistics (e.g. local data): the default value, not a size
-        return None, joins
-    return est, joins
-
-
-def fits_one_task(df: DataFrame, by=None) -> bool:
-    """Whether the largest group can be sorted/buffered in one task. Decided from the
-    plan estimate when it is clearly small or clearly huge, otherwise by one small
-    aggregate returning the largest group's row count."""
-    limit = small_limit(df)
-    if limit <= 0:
-        return False
-    est, joins = plan_bytes(df)
-    if est is not None and est <= SMALL_BYTES:
-        return True
-    if est is not None and est >= HUGE_BYTES and not joins:
-        return False
-    return largest_group(df, by) <= limit
-
-
-def global_index(df: DataFrame, order: list[Column], out: str = "_gidx",
-                 partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in ``order`` (a list of sort expressions).
-
-    Rows equal on ``order`` get distinct but arbitrary positions; pass a unique
-    tie-break in ``order`` for a deterministic row number. The sorted frame is written
-    once to the shared folder, so partition sizes and rows come from the same ranges:
-    two scans of a lazy range exchange may sample different bounds.
-    """
-    n = partitions or _partitions(df)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_mid", F.monotonically_increasing_id()))
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: bounded by the partition count, safe to broadcast
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + local + 1)
-            .drop("_pid", "_mid", "_off"))
+    Rows equal on ``order`` get distinct positions by their content; only equal rows are
+    exchangeable. Positions are the same in every reading of the result."""
+    keys = [_directed(o) for o in order] + [(row_hash(df), True)]
+    return weight_before(df, keys, out, ranges=partitions).withColumn(out, F.col(out) + 1)
 
 
 def rank_min(df: DataFrame, c: str, out: str, by=None, ascending: bool = False) -> DataFrame:
     """Competition rank (ties share the lowest rank); missing value → null rank."""
     by = _cols(by)
-    if fits_one_task(df, by):
-        # every group is small enough for one sorted task: a plain window
-        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(_sort_expr(c, ascending))
-        return df.withColumn(out, F.when(F.col(c).isNotNull(), F.rank().over(w).cast("long")))
-    order = [_sort_expr(b, True) for b in by] + [_sort_expr(c, ascending), row_hash(df).asc()]
-    idx = global_index(df, order)
-    ties = idx.groupBy(*by, c).agg(F.min("_gidx").alias("_tie0"))
-    if by:
-        starts = ties.groupBy(*by).agg(F.min("_tie0").alias("_grp0"))
-        ties = ties.join(starts, by, "left").withColumn("_tie0", F.col("_tie0") - F.col("_grp0") + 1).drop("_grp0")
-    keys = by + [c]
-    cond = [idx[k].eqNullSafe(ties[k]) for k in keys]
-    joined = idx.join(ties, cond, "left").select(idx["*"], ties["_tie0"])
-    return (joined.withColumn(out, F.when(F.col(c).isNotNull(), F.col("_tie0").cast("long")))
-            .drop("_tie0", "_gidx"))
+    values = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_times"))
+    ranked = weight_before(values, [(F.col(c), ascending)], "_before", weight="_times", by=by)
+    ranks = ranked.select(*[F.col(k).alias(f"_r_{k}") for k in [*by, c]], (F.col("_before") + 1).alias(out))
+    same = [F.col(b).eqNullSafe(F.col(f"_r_{b}")) for b in by] + [F.col(c) == F.col(f"_r_{c}")]
+    return df.join(ranks, same, "left").select(*df.columns, out)
 
 
 def rank_columns(df: DataFrame, key, specs: dict[str, str], ascending: bool = False,
@@ -159,20 +88,8 @@ def row_rank(df: DataFrame, c: str, out: str, tiebreak=None, by=None, ascending:
 
     ``tiebreak`` (e.g. the entity name) makes the order total and the result stable.
     """
-    by = _cols(by)
-    order = ([_sort_expr(b, True) for b in by] + [_sort_expr(c, ascending)]
-             + [_sort_expr(t, True) for t in _cols(tiebreak)] + [row_hash(df).asc()])
-    if fits_one_task(df, by):
-        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order[len(by):])
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    idx = global_index(df, order)
-    if not by:
-        return idx.withColumnRenamed("_gidx", out).withColumn(out, F.col(out).cast("long"))
-    starts = idx.groupBy(*by).agg(F.min("_gidx").alias("_grp0"))
-    cond = [idx[k].eqNullSafe(starts[k]) for k in by]
-    return (idx.join(starts, cond, "left").select(idx["*"], starts["_grp0"])
-            .withColumn(out, (F.col("_gidx") - F.col("_grp0") + 1).cast("long"))
-            .drop("_gidx", "_grp0"))
+    order = [(F.col(c), ascending), *[_directed(t) for t in _cols(tiebreak)], (row_hash(df), True)]
+    return weight_before(df, order, out, by=_cols(by)).withColumn(out, F.col(out) + 1)
 
 
 def cap_per_key(df: DataFrame, key, order: list[Column], k: int, out: str | None = None,

@@ -38,7 +38,8 @@ def medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v"))
                                          for c in cols])).alias("_p")).select("_p.*")
-    q = quantile_exact(long, "_v", {"_med": 0.5}, by="_name")
+    # values of entities, written once: the passes of the selection read the same numbers
+    q = quantile_exact(cut_lineage(long), "_v", {"_med": 0.5}, by="_name")
     wide = q.groupBy().pivot("_name", cols).agg(F.first("_med"))
     # a column without any value has no group: keep the one-row shape
     base = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f"_m_{c}") for c in cols])
@@ -56,8 +57,9 @@ def weighted_composite(df: DataFrame, weights: dict[str, float], out: str, imput
 
 
 def weighted_composites(df: DataFrame, specs: dict[str, dict[str, float]], impute: str = "median",
-                        all_missing: float | None = 0.0) -> DataFrame:
-    """Several CI1/CI2 totals (``{out: {col: weight}}``) with one median pass."""
+                        all_missing: float | dict | None = 0.0) -> DataFrame:
+    """Several CI1/CI2 totals (``{out: {col: weight}}``) with one median pass; ``all_missing`` may
+    differ by total (``{out: fill}``)."""
     if impute != "median":
         raise ValueError("only median imputation is used")
     cols = list(dict.fromkeys(c for w in specs.values() for c in w))
@@ -68,8 +70,9 @@ def weighted_composites(df: DataFrame, specs: dict[str, dict[str, float]], imput
         total = None
         for c, w in weights.items():
             fillv = F.col(f"{c}__median")
-            if all_missing is not None:
-                fillv = F.coalesce(fillv, F.lit(float(all_missing)))
+            none = all_missing.get(out) if isinstance(all_missing, dict) else all_missing
+            if none is not None:
+                fillv = F.coalesce(fillv, F.lit(float(none)))
             term = F.coalesce(F.col(c).cast("double"), fillv) * F.lit(float(w))
             total = term if total is None else total + term
         totals[out] = total
@@ -133,8 +136,8 @@ def access_final(df: DataFrame, key: str, pop_cols: dict, walk: str, park: str,
     rw = radius_weights or RADIUS_WEIGHTS
     base = df
     if by:
-        base = (df.filter(F.col(by).isNotNull() & (F.col(by) != ""))
-                .groupBy(by).agg(*[F.avg(c).alias(c) for c in [walk, park, *pop_cols.values()]]))
+        base = cut_lineage(df.filter(F.col(by).isNotNull() & (F.col(by) != ""))
+                           .groupBy(by).agg(*[F.avg(c).alias(c) for c in [walk, park, *pop_cols.values()]]))
         key = by
     comps = [walk, park, *pop_cols.values()]
     med = medians(base, comps)  # one sort for all component medians
@@ -147,9 +150,9 @@ def access_final(df: DataFrame, key: str, pop_cols: dict, walk: str, park: str,
                              for r, c in pop_cols.items()})
     base = base.drop(*[f"{c}__median" for c in comps])
     base = cut_lineage(base.withColumn("total", row_weighted_mean(totals)))
-    base = scale(base, "total", "total_100", "zcdf_margin", eps=eps, sharp=sharp, constant=50.0,
-                 all_missing=50.0, degenerate_all_rows=True)
-    return rank_min(base, "total_100", "rank")
+    base = scale(base, "total", "total_100", "zcdf_margin", eps=eps, sharp=sharp, constant=50.0, all_missing=50.0,
+                 degenerate_all_rows=True)
+    return rank_min(cut_lineage(base), "total_100", "rank")
 
 
 def population_score(df: DataFrame, key: str, pop_cols: dict, region: str | None = None,
@@ -161,12 +164,12 @@ def population_score(df: DataFrame, key: str, pop_cols: dict, region: str | None
     s = df.withColumn("pop_weighted", row_weighted_mean({c: rw[r] for r, c in pop_cols.items()}))
     s = fill_half_min(s, "pop_weighted")
     s = scale(s, "pop_weighted", "pop_weighted_std", "zcdf", constant=50.0, degenerate_all_rows=True)
-    s = row_rank(s, "pop_weighted_std", "rank_pop", tiebreak=key)
+    s = cut_lineage(s)
+    ranked = row_rank(s, "pop_weighted_std", "rank_pop", tiebreak=key)
     if not region:
-        return s, None
+        return ranked, None
     d = s.filter(F.col(region).isNotNull()).groupBy(region).agg(F.avg("pop_weighted_std").alias("pop_weighted_std_mean"))
-    d = row_rank(d, "pop_weighted_std_mean", "rank_pop_region", tiebreak=region)
-    return s, d
+    return ranked, row_rank(cut_lineage(d), "pop_weighted_std_mean", "rank_pop_region", tiebreak=region)
 
 
 # ---------------------------------------------------------------- safety (CI8–CI14)
@@ -221,6 +224,7 @@ def safety_index(pillars: dict[str, DataFrame], key: str, domain: DataFrame,
     for n, df in pillars.items():
         part = df.select(key, F.lit(n).alias("_pillar"), F.col(f"{n}_score").cast("double").alias("_score"))
         long = part if long is None else long.unionByName(part)
+    long = cut_lineage(long)  # one reading of the scores for the medians and the rows
     med = quantile_exact(long, "_score", {"_med": 0.5}, by="_pillar")
     pn = domain.sparkSession.createDataFrame([(n,) for n in names], "_pillar string")
     frame = domain.select(key).distinct().crossJoin(F.broadcast(pn))  # domain × a literal list
@@ -268,7 +272,7 @@ def nature_score(df: DataFrame, key: str, confidence: str, size: str, name: str
         aggs.append(F.sum("_tw").alias("topic_weight"))
     g = s.groupBy(key).agg(*aggs)
     g = scale(g, out, f"{out}_std", "zcdf", constant=50.0, degenerate_all_rows=True)
-    return row_rank(g, out, "rank", tiebreak=key)
+    return row_rank(cut_lineage(g), out, "rank", tiebreak=key)
 
 
 def overall_score(pillars: dict[str, DataFrame], key: str, weights: dict[str, float] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators.clean import assign_cyclic, exclude_keywords, split_cohort
 from ..operators.joins import (append_missing, bridge_mean, coalesce_from, complete_domain, cross_terms,
                                join_all, resolve_alias, weighted_distance)
 from ..operators.reshape import explode_delimited, pivot_wide
+from ..session import cut_lineage
 from .composite import parking_score
 from .registry import load, query
 
@@ -254,6 +255,7 @@ def domain_completion(spark, sf):
     """JN7 + AG13: complete the nation domain, median-fill missing scores."""
     s = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
         F.avg(F.when(F.col("s_acctbal") > 7000, F.col("s_acctbal"))).alias("score"))
+    s = cut_lineage(s)  # one reading of the means for the median and the rows
     return complete_domain(s, load(spark, sf, "nation"), "n_nationkey", "score")
 
 

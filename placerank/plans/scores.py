@@ -221,9 +221,9 @@ def rank_variants(spark, sf):
     """WN1 competition rank per group, WN2 global sequential rank with tie-break."""
     from ..operators.rank import row_rank
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    o = rank_min(o, "o_totalprice", "rank_in_priority", by="o_orderpriority")
-    o = row_rank(o, "o_totalprice", "row_rank_global", tiebreak="o_orderkey")
-    return o.select("o_orderkey", "rank_in_priority", "row_rank_global")
+    ranked = rank_min(o, "o_totalprice", "rank_in_priority", by="o_orderpriority")
+    numbered = row_rank(o.select("o_orderkey", "o_totalprice"), "o_totalprice", "row_rank_global", tiebreak="o_orderkey")
+    return ranked.join(numbered, "o_orderkey").select("o_orderkey", "rank_in_priority", "row_rank_global")
 
 
 @query("top_orders", """
@@ -271,7 +271,7 @@ FROM f CROSS JOIN m
 def composite_median(spark, sf):
     """CI1 weighted composite with median imputation (0 when no value), CI2 without the
     0 fallback (an all-missing input leaves the total missing)."""
-    from .composite import weighted_composite
+    from .composite import weighted_composites
     li = load(spark, sf, "lineitem")
     a = li.groupBy("l_suppkey").agg(
         F.avg(F.when((F.col("l_quantity") >= 49) & (F.col("l_returnflag") == "R"), F.col("l_extendedprice") / 1000.0)).alias("comp_a"),
@@ -279,9 +279,8 @@ def composite_median(spark, sf):
         F.avg(F.when(F.col("l_tax") > 1, F.col("l_tax"))).alias("comp_c"))
     f = load(spark, sf, "supplier").select("s_suppkey").join(a, F.col("s_suppkey") == F.col("l_suppkey"), "left").drop("l_suppkey")
     f = cut_lineage(f)
-    f = weighted_composite(f, {"comp_a": 0.5, "comp_b": 0.3, "comp_c": 0.2}, "ci1", all_missing=0.0)
-    f = weighted_composite(f, {"comp_a": 0.6, "comp_b": 0.4}, "ci2", all_missing=None)
-    return weighted_composite(f, {"comp_a": 0.5, "comp_c": 0.5}, "ci2_null", all_missing=None)
+    return weighted_composites(f, {"ci1": {"comp_a": 0.5, "comp_b": 0.3, "comp_c": 0.2}, "ci2": {"comp_a": 0.6, "comp_b": 0.4},
+                                   "ci2_null": {"comp_a": 0.5, "comp_c": 0.5}}, all_missing={"ci1": 0.0, "ci2": None, "ci2_null": None})
 
 
 _FPT_SQL = """

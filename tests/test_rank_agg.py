@@ -141,19 +141,83 @@ def test_fill_counts_profile_explode(spark):
     assert got == {"a": (10.0, 5.0), "b": (10.0, 10.0)}
 
 
-def test_strategy_decision(spark, tmp_path):
-    from placerank.operators.rank import fits_one_task, plan_bytes
-    small = spark.createDataFrame([(1, 2.0)], "k int, v double")
-    est, joins = plan_bytes(small)
-    assert est is None and not joins  # local data has no statistics: counted instead
-    assert fits_one_task(small)
-    small.write.parquet(str(tmp_path / "s"))
-    est2, _ = plan_bytes(spark.read.parquet(str(tmp_path / "s")))
-    assert est2 is not None and est2 < 1024 * 1024  # file-based estimate: decided without a job
-    joined = small.join(small.withColumnRenamed("v", "w"), "k")
-    assert plan_bytes(joined)[1]  # joins are detected (their estimates are products without CBO)
-    spark.conf.set("placerank.smallGroupRows", "0")
+def hot(n=160_000):
+    """A group with most rows, in which one value has a third of all, and small groups."""
+    rnd = random.Random(6)
+    return [(i, "hot" if i % 20 else rnd.choice("xyz"), 7.0 if i % 3 == 0 else rnd.gauss(7, 1e-4) if i % 3 == 1 else rnd.expovariate(1e-3))
+            for i in range(n)]
+
+
+def test_ranks_and_quantiles_of_a_hot_group_with_heavy_ties(spark):
+    import pandas as pd
+    rows = hot()
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "g", "v"])).repartition(6)
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v"])
+    for by in (None, "g"):
+        want = (pdf.groupby("g").v if by else pdf.v).rank(method="min", ascending=False).astype("int64")
+        got = rank_min(df, "v", "r", by=by).select("id", "r").toPandas().set_index("id").r
+        assert (got.sort_index().to_numpy() == want.to_numpy()).all()
+        order = pdf.sort_values(["v", "id"], ascending=[False, True], kind="stable")
+        want = (order.groupby("g").cumcount() + 1 if by else pd.Series(range(1, len(pdf) + 1), index=order.index)).sort_index()
+        got = row_rank(df, "v", "r", tiebreak="id", by=by).select("id", "r").toPandas().set_index("id").r
+        assert (got.sort_index().to_numpy() == want.to_numpy()).all()
+    qs = {"a": 0.0, "b": 0.2503, "c": 0.5, "d": 0.85, "e": 1.0}
+    for r in quantile_exact(df, "v", qs, by="g").collect():
+        xs = pdf[pdf.g == r["g"]].v
+        assert all(abs(r[k] - xs.quantile(q)) <= 1e-9 * max(1, abs(xs.quantile(q))) for k, q in qs.items())
+    one = quantile_exact(df, "v", qs).first()
+    assert all(abs(one[k] - pdf.v.quantile(q)) <= 1e-9 * max(1, pdf.v.quantile(q)) for k, q in qs.items())
+
+
+def test_ranges_spread_the_rows_and_no_job_runs_while_plans_are_built(spark):
+    import pandas as pd
+    from placerank.operators.ranges import row_hash, sort_key, with_range
+    df = spark.createDataFrame(pd.DataFrame(hot(), columns=["id", "g", "v"])).repartition(6)
+    key = sort_key(df, [(F.col("v"), False), (row_hash(df), True)])
+    sizes = [r["count"] for r in with_range(df, key, 32).groupBy("_range").count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 2 * sum(sizes) / 32
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
     try:
-        assert not fits_one_task(small)
+        rank_min(df, "v", "r", by="g"), row_rank(df, "v", "r", tiebreak="id"), quantile_exact(df, "v", {"m": 0.5}, by="g")
+        assert not tracker.getJobIdsForGroup("building")
     finally:
-        spark.conf.unset("placerank.smallGroupRows")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_orders_of_every_type_both_ways(spark):
+    import datetime as dt
+    from decimal import Decimal
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, rnd.randint(-5, 5)]), rnd.choice([None, rnd.uniform(-1, 1)]), rnd.choice([None, "a", "ab", "b", "é", ""]),
+             rnd.choice([None, dt.date(2020, 1, rnd.randint(1, 9))]), rnd.choice([None, dt.datetime(2020, 1, 1, rnd.randint(0, 9))]),
+             rnd.choice([None, Decimal(rnd.randint(-99, 99)) / 10]), rnd.choice([None, True, False])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, l long, d double, s string, t date, u timestamp, e decimal(5,1), b boolean")
+    for j, c in enumerate(df.columns[1:], 1):
+        for ascending in (True, False):
+            got = [r["id"] for r in global_index(df, [(c, ascending), ("id", True)], partitions=5).orderBy("_gidx").collect()]
+            by_id = sorted(rows, key=lambda r: r[0])
+            value = (lambda r: r[j].encode()) if c == "s" else (lambda r: r[j])
+            want = sorted([r for r in by_id if r[j] is not None], key=value, reverse=not ascending)
+            if not ascending:  # reversed() keeps ties in order of the id
+                want = sorted([r for r in by_id if r[j] is not None], key=lambda r: r[0])
+                want = sorted(want, key=value, reverse=True)
+            assert got == [r[0] for r in want] + [r[0] for r in by_id if r[j] is None], (c, ascending)
+
+
+def test_empty_and_null_groups(spark):
+    none = spark.createDataFrame([], "id int, g string, v double")
+    assert rank_min(none, "v", "r", by="g").collect() == [] and row_rank(none, "v", "r").collect() == []
+    assert quantile_exact(none, "v", {"m": 0.5}).collect() == [(None,)] and quantile_exact(none, "v", {"m": 0.5}, by="g").collect() == []
+    some = spark.createDataFrame([(1, None, 2.0), (2, None, 3.0), (3, "a", None)], "id int, g string, v double")
+    assert {r["id"]: r["r"] for r in rank_min(some, "v", "r", by="g").collect()} == {1: 2, 2: 1, 3: None}
+    assert {r["id"]: r["r"] for r in row_rank(some, "v", "r", by="g").collect()} == {1: 2, 2: 1, 3: 1}
+    assert [tuple(r) for r in quantile_exact(some, "v", {"m": 0.5}, by="g").collect()] == [(None, 2.5)]
+
+
+def test_stats_row(spark):
+    from placerank.operators.agg import stats_row
+    df = spark.createDataFrame([(1.0, None), (4.0, None), (2.0, None)], "a double, b double")
+    r = stats_row(df, ["a", "b"]).first()
+    assert (r["a_median"], r["a_min"], r["a_max"]) == (2.0, 1.0, 4.0) and abs(r["a_mean"] - 7 / 3) < 1e-12
+    assert r["b_median"] is None and r["b_std"] is None
