@@ -10,7 +10,7 @@ was not seen. The weights are learned by expectation-maximisation: one part of t
 documents is deleted from the counts and serves as held-out text for the counts of the others.
 Scoring then uses the counts of the whole training set.
 
-Work is dealt by blocks. A block is some 16 MB of text of documents of one part; it is kept as
+Work is dealt by blocks. A block is some 8 MB of text of documents of one part; it is kept as
 numbers into its own vocabulary. Of every order a block sends each different n-gram once, as sorted
 64-bit hashes cut into ranges, so a frequent n-gram is one entry a block and no key holds more than
 that. A range is summed in one group, whose size the number of ranges bounds, and the sums go back
@@ -37,8 +37,8 @@ from .common import bounded_batches, saved
 from .shingles import _slices, _views, mix, word_hashes
 
 ORDER = 2
-BLOCK_BYTES = 16 << 20       # text of a block; a longer document is a block of its own
-RANGE_ENTRIES = 1 << 20      # hashes that meet in one group, about
+BLOCK_BYTES = 8 << 20        # text of a block; a longer document is a block of its own
+RANGE_ENTRIES = 1 << 19      # hashes that meet in one group, about
 TEST, DELETED, KEPT = 0, 1, 2
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 ROUNDS, STILL = 25, 1e-3     # expectation-maximisation: most rounds; change of a weight at which it ends
