@@ -47,12 +47,3 @@ def row_weighted_mean(weights: dict) -> Column:
         num = t if num is None else num + t
         den = d if den is None else den + d
     return F.when(den > 0, num / den)
-
-
-def normalise_weights(weights: dict, available: list[str] | None = None) -> dict:
-    """Weights restricted to available keys and rescaled to sum 1 (driver-side, tiny)."""
-    keep = {k: float(w) for k, w in weights.items() if available is None or k in available}
-    total = sum(keep.values())
-    if total <= 0:
-        raise ValueError("weights must sum to a positive number")
-    return {k: w / total for k, w in keep.items()}

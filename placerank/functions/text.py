@@ -130,8 +130,9 @@ def prefix_key(c: Column | str, sep: str = "_", default: str | None = None) -> C
     return F.when(F.instr(c, sep) > 0, head).otherwise(otherwise)
 
 
-QUOTED_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-QUOTED_LIST = rf"^\[\s*(?:{QUOTED_ITEM})(?:\s*,\s*(?:{QUOTED_ITEM}))*\s*,?\s*\]$"
+# possessive groups: matched in a loop, without a stack frame a character
+QUOTED_ITEM = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
+QUOTED_LIST = rf"^\[\s*+(?:{QUOTED_ITEM})(?:\s*+,\s*+(?:{QUOTED_ITEM}))*+\s*+,?\s*+\]$"
 
 
 def to_array(c: Column | str) -> Column:

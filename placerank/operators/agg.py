@@ -132,6 +132,28 @@ def profile(df: DataFrame) -> DataFrame:
             .select("n_rows", "p.*"))
 
 
+def describe_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG16: per numeric column count, mean, sample σ, minimum, quartiles and maximum: one aggregate,
+    and one selection of all quartiles over the unpivoted columns."""
+    simple = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    told = long.groupBy("column").agg(*[f("_v").alias(name) for name, f in simple.items()])
+    return told.join(quantiles(long, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"]), "column", "left")
+
+
+def code_lengths(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG16: how often each length occurs among the values of code columns, missing values left out."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.length(F.col(c).cast("string")).alias("length")) for c in cols])))
+    return long.where(F.col("length").isNotNull()).groupBy("column", "length").agg(F.count(F.lit(1)).alias("count"))
+
+
+def type_counts(df: DataFrame) -> DataFrame:
+    """AG16: number of columns of each type, with the number of rows of the table."""
+    names = [t for _, t in df.dtypes]
+    kinds = F.array(*[F.struct(F.lit(t).alias("dtype"), F.lit(names.count(t)).cast("long").alias("n_columns")) for t in dict.fromkeys(names)])
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.inline(kinds))
+
+
 def explode_sum(df: DataFrame, region: str, m: str, out_sum: str = "total", out_avg: str = "mean",
                 key_out: str = "region") -> DataFrame:
     """AG17: a place measure summed and averaged per region; the region field may be a
@@ -146,9 +168,10 @@ def select_top_quantile(df: DataFrame, key: str, m: str, q: float = 0.75, global
                         keep=None) -> DataFrame:
     """AG9: rows ≥ the group's q-quantile ∪ rows ≥ the global quantile ∪ rows of the
     always-keep groups, whole-row distinct."""
-    thr = quantile_exact(df, m, {"_thr": q}, by=key).withColumnRenamed(key, "_thr_key")
+    thr = quantile_exact(df, m, {"_thr": q}, by=key)
     glob = quantile_exact(df, m, {"_gthr": global_q})
-    marked = df.join(thr, F.col(key) == F.col("_thr_key"), "left").crossJoin(F.broadcast(glob))
+    from .joins import heavy_join
+    marked = heavy_join(df, thr, key, "left").crossJoin(F.broadcast(glob))
     chosen = F.coalesce(F.col(m) >= F.col("_thr"), F.lit(False)) | F.coalesce(F.col(m) >= F.col("_gthr"), F.lit(False))
     if keep:
         chosen = chosen | F.coalesce(F.col(key).isin(list(keep)), F.lit(False))

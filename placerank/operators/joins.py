@@ -41,6 +41,49 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
+def heavy_join(left: DataFrame, right: DataFrame, on, how: str = "inner", share: float = 0.02, salts: int = 32) -> DataFrame:
+    """Equi-join for a left side in which few keys may hold most rows.
+
+    One aggregate finds the keys with more than ``share`` of the left rows; there are fewer
+    than 1 / ``share`` of them, so they are broadcast. Only their rows are dealt over
+    ``salts`` tasks, and only their right rows are repeated. ``how``: inner, left,
+    left_semi or left_anti.
+    """
+    on = _cols(on)
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    every = left.agg(F.count(F.lit(1)).alias("_every"))
+    heavy = F.broadcast(sizes.crossJoin(F.broadcast(every)).where(F.col("_rows") > share * F.col("_every"))
+                        .select(*[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_heavy")))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_h_{c}") for c in on])
+    hash_ = F.xxhash64(*[F.col(c) for c in left.columns])
+    dealt = left.join(heavy, same, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(hash_, F.lit(salts))).otherwise(0)) \
+        .select(*left.columns, "_salt")
+    each = F.when(F.col("_heavy"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    repeated = right.join(heavy, same, "left").withColumn("_salt", F.explode(each)).select(*right.columns, "_salt")
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def contained_names(texts: DataFrame, key: str, c: str, names: DataFrame, name: str, size: int = 3) -> DataFrame:
+    """(key, name): which of the distinct ``names`` (a table of any size) each text holds.
+
+    A name is filed under the gram of ``size`` characters that fewest names share (a shorter
+    name under itself); a text is looked up by its distinct grams, and what meets is verified
+    by a search in the text. ``key`` must be unique. Blank names are in no text.
+    """
+    def grams(t, n):
+        # all places in one pass; taking substrings by place would read the text from its start each time
+        return F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    listed = names.select(F.col(name).cast("string").alias("_name")).where("length(_name) > 0").distinct()
+    filed = listed.select("_name", F.explode(F.when(F.length("_name") >= size, grams(F.col("_name"), size)).otherwise(F.array("_name"))).alias("_gram"))
+    common = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_shared"))
+    rarest = filed.join(common, "_gram").groupBy("_name").agg(F.min(F.struct("_shared", "_gram")).alias("_g")).select("_name", F.col("_g._gram").alias("_gram"))
+    text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in range(1, size + 1)])))).alias("_gram"))
+    met = own.join(rarest, "_gram").select("_key", "_name")
+    held = texts.select(F.col(key), text.alias("_text")).join(met, F.col(key) == F.col("_key"))
+    return held.where(F.instr(F.col("_text"), F.col("_name")) > 0).select(key, F.col("_name").alias(name))
+
+
 def join_all(dfs: list[DataFrame], key, how: str = "inner", fill=None) -> DataFrame:
     """JN2/JN4: chain of joins on a shared key; ``fill`` replaces missing values
     (numeric columns) after outer joins."""
@@ -172,7 +215,7 @@ def _ring_cell(lng: Column, n: Column) -> Column:
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
                 left_lat: str = "lat", left_lng: str = "lng", right_lat: str = "lat",
-                right_lng: str = "lng", max_abs_lat: float | None = None, dist_out: str = "dist_m",
+                right_lng: str = "lng", dist_out: str = "dist_m",
                 broadcast_left: bool | None = None) -> DataFrame:
     """All (left, right) pairs with haversine distance ≤ ``radius_m``, at any latitude and across
     the date line.
@@ -180,7 +223,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
     The grid has latitude bands of the radius' height, each cut into its own number of
     longitude cells (``_ring_cells``), so any pair within the radius lies in neighbouring
     cells. Left rows are copied to the three bands around theirs and, in each, to three
-    cells, then equi-joined on the cell of the right row. ``max_abs_lat`` has no effect.
+    cells, then equi-joined on the cell of the right row.
     Column names of the two sides must not clash (prefix them first).
     """
     reach = radius_m / METERS_PER_DEG * (1 + 1e-9)

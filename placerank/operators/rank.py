@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .ranges import row_hash, weight_before
 
 SALTS = 64
+BLOCK_ROWS = 10_000   # positions of a group that one window holds
 
 
 def _cols(x) -> list:
@@ -130,8 +131,22 @@ def top_k(df: DataFrame, c: str, k: int, ascending: bool = False, tiebreak=None)
     return df.orderBy(*order).limit(k)
 
 
-def context_window(df: DataFrame, group, pos: str, hit: str, k: int = 1) -> DataFrame:
-    """Rows that are a hit or within ``k`` positions of one, inside each group."""
-    w = Window.partitionBy(*_cols(group)).orderBy(pos).rowsBetween(-k, k)
-    return (df.withColumn("_near", F.max(F.col(hit).cast("int")).over(w))
-            .filter(F.col("_near") == 1).drop("_near"))
+def context_window(df: DataFrame, group, pos: str, hit: str, k: int = 1, dense: bool = False,
+                   block: int = BLOCK_ROWS) -> DataFrame:
+    """WN7: rows that are a hit or within ``k`` rows of one in the order of ``pos``, inside each group.
+
+    A group is cut into blocks of ``block`` consecutive positions, and the ``k`` rows at a
+    block's ends are copied to its neighbour, so a group of any size is many windows.
+    ``dense`` says that ``pos`` numbers the rows of a group without gaps or repeats;
+    otherwise they are numbered first.
+    """
+    group, size = _cols(group), max(block, k, 1)
+    rows = df.withColumn("_i", F.col(pos).cast("long")) if dense else \
+        weight_before(df, [(F.col(pos), True), (row_hash(df), True)], "_i", by=group)
+    home = F.floor(F.col("_i") / size)
+    inside = F.pmod(F.col("_i"), F.lit(size))
+    blocks = F.array_compact(F.array(home, F.when(inside < k, home - 1), F.when(inside >= size - k, home + 1)))
+    copied = rows.withColumn("_home", home).withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy(*group, "_block").orderBy("_i").rowsBetween(-k, k)
+    return (copied.withColumn("_near", F.max(F.col(hit).cast("int")).over(w))
+            .filter((F.col("_near") == 1) & (F.col("_block") == F.col("_home"))).drop("_near", "_i", "_home", "_block"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.stems import any_stem, stem_hits
 from ..functions.text import normalise_informal, regex_escape
+from .joins import heavy_join
 
 WS_CLASS = "[ \t\n\r\f]"
 # Negation markers searched around a positive stem (TX9).
@@ -148,10 +149,6 @@ def lexicon(positive: list[str], negative: list[str]) -> list[dict]:
     return out
 
 
-def lexicon_frame(spark, positive: list[str], negative: list[str]) -> DataFrame:
-    return spark.createDataFrame(lexicon(positive, negative), "word string, stem string, polarity string")
-
-
 def starts_from_pieces(pieces: Column, stem_len) -> Column:
     """Hit starts from the pieces of a split on the stem: one left-to-right
     ``aggregate`` carrying (position, starts) — the pieces are evaluated once."""
@@ -272,7 +269,8 @@ def cooccurring_token(df: DataFrame, entity: str, c: str, keywords: DataFrame, k
     kw = keywords.select(entity, F.col(kw_col).alias("_kw")).filter(F.col("_kw") != none_label)
     kw = kw.withColumn("_stem", F.when(F.col("_kw").endswith("다") & (F.length("_kw") >= 2),
                                        F.expr("substring(_kw, 1, length(_kw) - 1)")).otherwise(F.col("_kw")))
-    docs = pin(df.select(entity, c), _nt=t).select(entity, "_nt").join(kw, entity)
+    docs = pin(df.select(entity, c), _nt=t).select(entity, "_nt")
+    docs = heavy_join(docs, kw, entity)  # one entity may hold most documents
     nt, stem = F.col("_nt"), F.col("_stem")
     pieces = F.split(nt, F.concat(F.lit("\\Q"), stem, F.lit("\\E")), -1)
     docs = pin(docs, _starts=starts_from_pieces(pieces, F.length(stem)))
@@ -352,7 +350,7 @@ def class_tfidf(rows: DataFrame, label: str, term: str = "term", top_n: int = 10
     cls = tc.groupBy(label).agg(F.sum("tf").alias("_ct"))
     ft = tc.groupBy(term).agg(F.sum("tf").alias("_ft"))
     A = cls.agg(F.floor(F.avg("_ct")).alias("_A"))
-    j = tc.join(cls, label).join(ft, term).crossJoin(F.broadcast(A))
+    j = heavy_join(tc, cls, label).join(ft, term).crossJoin(F.broadcast(A))
     j = j.withColumn("weight", F.col("tf") / F.col("_ct") * F.log(1.0 + F.col("_A") / F.col("_ft")))
     from .rank import cap_per_key
     top = cap_per_key(j, label, [F.col("weight").desc(), F.col(term).asc()], top_n, out="term_rank")
@@ -400,7 +398,7 @@ def topics(df: DataFrame, vec: str, doc: str, text: str, k: int = 10, dims: int
 def require_min_docs(df: DataFrame, entity: str, n: int) -> DataFrame:
     """TX18: keep entities with at least ``n`` documents."""
     ok = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
-    return df.join(ok.select(entity), entity, "left_semi")
+    return heavy_join(df, ok.select(entity), entity, "left_semi")
 
 
 def topic_keywords(df: DataFrame, topic: str, representation: str, out: str = "keyword") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access, indicators, pillars, records, scores, texts  # noqa: F401  (registers queries)
+from . import access, details, indicators, pillars, records, scores, texts  # noqa: F401  (registers queries)
 from .registry import REGISTRY, oracle_text, spark_query
 
 _MODULES_LOADED = True

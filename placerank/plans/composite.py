@@ -209,6 +209,18 @@ def traffic_score(safety_idx: Column, accident: Column, congestion: Column) -> C
     return 0.6 * safety_idx + 0.3 * accident + 0.1 * congestion
 
 
+def station_congestion(df: DataFrame, station: str, places: DataFrame, place_station: str, district: str,
+                       mark: str = "시", out: str = "station_mean_congest", score: str = "congestion_score") -> DataFrame:
+    """CI13 input: a row's mean over its time-slot columns (those whose name holds ``mark``), the
+    station's districts from the distinct (district, station) pairs of ``places``, and the mean per
+    district, min-max scaled to 0-100. Rows without a district or without slots are left out."""
+    slots = [c for c in df.columns if mark in c]
+    means = df.select(station, row_mean([F.col(c) for c in slots]).alias(out))
+    pairs = places.select(F.col(district), F.col(place_station).alias(station)).distinct()
+    told = means.join(pairs, station).where(F.col(district).isNotNull()).groupBy(district).agg(F.avg(out).alias(out))
+    return scale(cut_lineage(told), out, score, "minmax", constant=0.0)
+
+
 def safety_index(pillars: dict[str, DataFrame], key: str, domain: DataFrame,
                  weights: dict[str, float] | None = None, out: str = "safety_score") -> DataFrame:
     """CI14: every pillar (key, ``{name}_score``) completed over the domain with its own

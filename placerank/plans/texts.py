@@ -159,7 +159,7 @@ def context_sentences(spark, sf):
     """WN7: hit rows plus one neighbour on each side, per document in sentence order."""
     s = T.sentences(load(spark, sf, "documents"), "text", keep="doc_id")
     s = s.withColumn("hit", F.instr("sentence", "ment") > 0)
-    return context_window(s, "doc_id", "sent_pos", "hit", 1).select("doc_id", "sent_pos")
+    return context_window(s, "doc_id", "sent_pos", "hit", 1, dense=True).select("doc_id", "sent_pos")
 
 
 # ------------------------------------------------------------------ lexicon sentiment (TX8–TX13)
@@ -232,7 +232,7 @@ def keyword_counts_q(spark, sf):
     return T.keyword_counts(load(spark, sf, "documents"), "source", "text", _POS, _NEG, negators=_NEGATORS)
 
 
-@query("keyword_top1", f"""
+_TOP_SQL = f"""
 WITH c AS ({_COUNTS_SQL}),
 n AS (SELECT bucket, count(DISTINCT source) AS nn FROM c GROUP BY bucket),
 f AS (SELECT bucket, word, count(DISTINCT source) AS df FROM c GROUP BY bucket, word),
@@ -244,7 +244,10 @@ e AS (SELECT DISTINCT source FROM documents)
 SELECT e.source, coalesce(max(CASE WHEN bucket = 'pos' THEN word END), '—') AS top_pos_kw,
        coalesce(max(CASE WHEN bucket = 'neg' THEN word END), '—') AS top_neg_kw
 FROM e LEFT JOIN b USING (source) GROUP BY e.source
-""")
+"""
+
+
+@query("keyword_top1", _TOP_SQL)
 def keyword_top1(spark, sf):
     """TX13: smoothed IDF over sources, top-1 keyword per bucket by tf·idf, then tf; '—' when none."""
     d = load(spark, sf, "documents")
@@ -252,7 +255,25 @@ def keyword_top1(spark, sf):
     return T.top_keyword_idf(counts, "source", entities=d.select("source"))
 
 
-@query("cooccurring_word", None)
+def _cooccurring_sql() -> str:
+    drop = " AND ".join(f"NOT ends_with(tok, {_q(x)})" for x in T.NOUN_DROP_SUFFIXES)
+    return f"""
+WITH k AS ({_TOP_SQL}),
+s AS (SELECT source, top_pos_kw AS kw, CASE WHEN ends_with(top_pos_kw, '다') AND length(top_pos_kw) >= 2
+        THEN left(top_pos_kw, length(top_pos_kw) - 1) ELSE top_pos_kw END AS stem FROM k WHERE top_pos_kw <> '—'),
+d AS (SELECT source, kw, stem, nt, string_split(nt, stem) AS p FROM (SELECT source, {sql_normalise("coalesce(text, '')")} AS nt FROM documents)
+      JOIN s USING (source)),
+h AS (SELECT source, kw, stem, nt, unnest(list_transform(range(1, len(p)), lambda i:
+        CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(stem) AS BIGINT))) AS a FROM d),
+w AS (SELECT source, kw, stem, unnest(regexp_extract_all(substr(nt, greatest(a - 40, 0) + 1,
+        a + length(stem) + 40 - greatest(a - 40, 0)), '[a-zà-ÿ]{{2,}}')) AS tok FROM h),
+c AS (SELECT source, tok, count(*) AS n FROM w WHERE {drop} AND tok NOT IN ('the', 'and', 'de', 'la') AND tok <> stem AND tok <> kw GROUP BY 1, 2),
+b AS (SELECT source, tok, row_number() OVER (PARTITION BY source ORDER BY n DESC, tok) AS rn FROM c)
+SELECT e.source, coalesce(b.tok, '—') AS co_token FROM (SELECT DISTINCT source FROM k) e LEFT JOIN b ON b.source = e.source AND b.rn = 1
+"""
+
+
+@query("cooccurring_word", _cooccurring_sql())
 def cooccurring_word(spark, sf):
     """TX14: most frequent token within ±40 characters of each source's top positive keyword."""
     d = load(spark, sf, "documents")
