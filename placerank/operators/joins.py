@@ -41,7 +41,7 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
-def heavy_join(left: DataFrame, right: DataFrame, on, how: str = "inner", share: float = 0.02, salts: int = 32) -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, on, how: str = "inner", share: float = 0.002, salts: int = 64) -> DataFrame:
     """Equi-join for a left side in which few keys may hold most rows.
 
     One aggregate finds the keys with more than ``share`` of the left rows; there are fewer
@@ -215,7 +215,7 @@ def _ring_cell(lng: Column, n: Column) -> Column:
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
                 left_lat: str = "lat", left_lng: str = "lng", right_lat: str = "lat",
-                right_lng: str = "lng", dist_out: str = "dist_m",
+                right_lng: str = "lng", max_abs_lat: float | None = None, dist_out: str = "dist_m",
                 broadcast_left: bool | None = None) -> DataFrame:
     """All (left, right) pairs with haversine distance ≤ ``radius_m``, at any latitude and across
     the date line.
@@ -223,7 +223,10 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
     The grid has latitude bands of the radius' height, each cut into its own number of
     longitude cells (``_ring_cells``), so any pair within the radius lies in neighbouring
     cells. Left rows are copied to the three bands around theirs and, in each, to three
-    cells, then equi-joined on the cell of the right row.
+    cells, then equi-joined on the cell of the right row. A small left side is broadcast;
+    otherwise cells that hold many right rows (even all at one spot) are dealt over many
+    tasks, to which their left rows are copied (``heavy_join``). ``max_abs_lat`` is accepted
+    from earlier callers; the grid fits every latitude without it.
     Column names of the two sides must not clash (prefix them first).
     """
     reach = radius_m / METERS_PER_DEG * (1 + 1e-9)
@@ -243,10 +246,9 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
          .withColumn("_cj", _ring_cell(F.col(right_lng).cast("double"), _ring_cells(F.col("_ci"), reach))))
     if broadcast_left is None:
         # the estimate does not see that every row is copied up to nine times
-        l = F.broadcast(l) if fits_broadcast(left, BROADCAST_LIMIT // 9) else l
-    elif broadcast_left:
-        l = F.broadcast(l)
-    j = l.join(r, ["_ci", "_cj"]).drop("_ci", "_cj")
+        broadcast_left = fits_broadcast(left, BROADCAST_LIMIT // 9)
+    j = F.broadcast(l).join(r, ["_ci", "_cj"]) if broadcast_left else heavy_join(r, l, ["_ci", "_cj"])
+    j = j.select(*left.columns, *right.columns)
     d = haversine_m(F.col(left_lat), F.col(left_lng), F.col(right_lat), F.col(right_lng))
     return j.withColumn(dist_out, d).filter(F.col(dist_out) <= radius_m)
 

@@ -234,14 +234,14 @@ def outer_fill(spark, sf):
 @query("value_precedence", """
 SELECT c.c_custkey, coalesce(o.balance, c.c_acctbal) AS balance
 FROM customer c LEFT JOIN (
-  SELECT o_custkey, avg(o_totalprice) AS balance FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o
+  SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS balance FROM orders GROUP BY o_custkey) o
 ON c.c_custkey = o.o_custkey
 """, doubles=["balance"])
 def value_precedence(spark, sf):
     """JN6: take the order-derived value when present, else the customer's own."""
     c = load(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
-    o = load(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").groupBy(
-        F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("balance"))
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("balance"))
     return coalesce_from(c, o, "c_custkey", ["balance"], prefer_other=True)
 
 

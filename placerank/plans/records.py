@@ -221,10 +221,16 @@ def io_round_trip(spark, sf):
     csv = R.resolve_columns(R.read_table(spark, f"{base}/nation_csv"),
                             {"n_regionkey": ["region_key", "regionkey"], "n_name": ["name"]}, required=["n_regionkey"])
     parts.append(csv.groupBy(F.lit("csv").alias("src"), F.col("n_regionkey").cast("string").alias("key")).count())
-    # IO2: legacy Korean encoding
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    nation.write.mode("overwrite").option("header", True).option("encoding", "x-windows-949").csv(f"{base}/nation_949")
-    enc = R.read_csv_encoded(spark, f"{base}/nation_949", ["x-windows-949"], required=["n_regionkey"])
+    # IO2: a legacy Korean encoding and UTF-8 in one folder, told apart file by file
+    named = nation.withColumn("n_name", F.concat(F.lit("구 "), "n_name"))
+    own = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's writer knows the charset only with it
+    try:
+        named.where("n_nationkey % 2 = 0").write.mode("append").option("header", True).option("encoding", "x-windows-949").csv(f"{base}/nation_949")
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets") if own is None else spark.conf.set("spark.sql.legacy.javaCharsets", own)
+    named.where("n_nationkey % 2 = 1").write.mode("append").option("header", True).csv(f"{base}/nation_949")
+    enc = R.read_csv_encoded(spark, f"{base}/nation_949", required=["n_regionkey"]).where(F.col("n_name").startswith("구 "))
     parts.append(enc.groupBy(F.lit("encoded").alias("src"), F.col("n_regionkey").cast("string").alias("key")).count())
     # IO3: title preamble, columns by position (a bounded dimension written as one text file)
     lines = (spark.createDataFrame([("National register,,",), (",,",), ("key,name,region",)], "value string")
@@ -278,7 +284,7 @@ WITH b AS (
   FROM events WHERE ts < TIMESTAMP '2024-01-06'
   UNION ALL
   SELECT 2 AS batch, event_id, ts, user_id, CASE WHEN event_type = 'error' THEN '' ELSE props END AS body
-  FROM events WHERE ts >= TIMESTAMP '2024-01-04'),
+  FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-04'),
 k AS (SELECT * FROM b WHERE body IS NOT NULL AND trim(body) <> ''),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY batch, ts, event_id) AS rn FROM k) WHERE rn = 1),
 q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch, ts, event_id) AS qn FROM f)
@@ -290,7 +296,7 @@ def incremental_intake(spark, sf):
     e = load(spark, sf, "events").select(
         "event_id", "ts", "user_id", F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("props")).alias("body"))
     b1 = e.filter(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz")).withColumn("batch", F.lit(1))
-    b2 = e.filter(F.col("ts") >= F.lit("2024-01-04").cast("timestamp_ntz")).withColumn("batch", F.lit(2))
+    b2 = e.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit("2024-01-04").cast("timestamp_ntz"))).withColumn("batch", F.lit(2))
     res = intake(b1.unionByName(b2), "event_id", ["batch", "ts"], "user_id", body="body", quota=5)
     return res.select("event_id", "user_id", "batch")
 

@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 from ..operators.clean import resolve_columns
 
-# Encoding fallback order for Korean CSV files (IO2).
-ENCODINGS = ["utf-8", "x-windows-949", "euc-kr"]
+# Encodings tried in this order (IO2).
+ENCODINGS = ["utf-8-sig", "cp949", "euc-kr", "utf-8"]
+# Java's names of the same encodings.
+_PYTHON_NAMES = {"x-windows-949": "cp949", "ms949": "cp949", "utf-8": "utf-8-sig"}
 
 
 def read_table(spark: SparkSession, path, schema: T.StructType | str | None = None, **opts) -> DataFrame:
@@ -29,30 +31,85 @@ def read_table(spark: SparkSession, path, schema: T.StructType | str | None = No
     return r.csv(path)
 
 
+def _decoded_records(encodings: list[str], required: list[str], rows: bool):
+    """Files as records of the first encoding that decodes all of a file and gives the required
+    header; a file that none fits is one record without encoding. Without ``rows`` headers only."""
+    import csv
+    import io
+
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("encoding", pa.string()), ("header", pa.list_(pa.string())), ("fields", pa.list_(pa.string()))])
+    at_once = 10_000
+
+    def records(batches):
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                for encoding in encodings:
+                    try:
+                        text = io.StringIO(str(content.as_buffer(), encoding), newline="")
+                    except UnicodeDecodeError:
+                        continue
+                    reader = csv.reader(text)
+                    header = next(reader, [])
+                    if all(r in header for r in required):
+                        break
+                else:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "encoding": [None], "header": [None], "fields": [None]}, schema=schema)
+                    continue
+                held = [] if rows else [None]
+                for record in reader if rows else ():
+                    if record:
+                        held.append([x if x != "" else None for x in record])
+                    if len(held) == at_once:
+                        yield pa.RecordBatch.from_pydict({"path": [path] * at_once, "encoding": [encoding] * at_once,
+                                                          "header": [header] * at_once, "fields": held}, schema=schema)
+                        held = []
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(held), "encoding": [encoding] * len(held),
+                                                  "header": [header] * len(held), "fields": held}, schema=schema)
+    return records
+
+
+def _records(spark: SparkSession, path, encodings, required, rows: bool) -> DataFrame:
+    names = list(dict.fromkeys(_PYTHON_NAMES.get(e.lower(), e) for e in encodings or ENCODINGS))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    return files.mapInArrow(_decoded_records(names, required or [], rows), "path string, encoding string, header array<string>, fields array<string>")
+
+
+def file_encodings(spark: SparkSession, path, encodings: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
+    """IO2: (path, encoding, header) of every file; the encoding is null where none fits."""
+    return _records(spark, path, encodings, required, False).select("path", "encoding", "header")
+
+
 def read_csv_encoded(spark: SparkSession, path, encodings: list[str] | None = None,
                      schema=None, required: list[str] | None = None) -> DataFrame:
-    """IO2: CSV in a legacy Korean encoding, trying ``encodings`` in order.
-
-    Legacy Java charsets are enabled on the session (``x-windows-949`` decodes all
-    CP949 characters); the setting stays on because the CSV options are read again
-    when the lazy scan executes. An encoding is accepted when the header decodes
-    without a replacement character and holds the ``required`` columns.
+    """IO2: CSV files with a header, each in its own encoding.
+
+    Of every file the whole content is decoded strictly with ``encodings`` in order, and the
+    first that fits, and gives the ``required`` columns, is taken: a legacy text under an ASCII
+    header and a UTF-8 file may lie in one folder. A file that none fits fails the query with
+    its name. Columns are matched by name over all files. Types come from ``schema`` (values
+    that do not fit are null) or from all values: whole numbers, numbers, else text. A file is
+    read by one task, as its encoding is known only at its end; no setting of the session is
+    changed.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    last = None
-    for enc in encodings or ENCODINGS:
-        try:
-            df = read_table(spark, path, schema, encoding=enc)
-        except Exception as e:  # noqa: BLE001 - try the next encoding
-            last = e
-            continue
-        cols = df.columns
-        if any("\ufffd" in c for c in cols):
-            continue
-        if required and not all(r in cols for r in required):
-            continue
-        return df
-    raise ValueError(f"no encoding in {encodings or ENCODINGS} fits {path}: {last}")
+    heads = file_encodings(spark, path, encodings, required).groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()
+    if not heads or all(h["header"] is None for h in heads):
+        raise ValueError(f"no encoding in {encodings or ENCODINGS} fits {path}")
+    names = list(dict.fromkeys(c for h in heads for c in h["header"] or []))
+    told = _records(spark, path, encodings, required, True)
+    bad = F.raise_error(F.concat(F.lit("no encoding fits "), F.col("path"))).cast("array<string>")
+    told = told.select(F.when(F.col("encoding").isNull(), bad).otherwise(F.col("header")).alias("_h"), F.col("fields").alias("_f"))
+    values = [F.get("_f", (F.array_position("_h", F.lit(c)) - 1).cast("int")).alias(c) for c in names]
+    found = told.select(*[F.when(F.array_contains("_h", F.lit(c)), v).alias(c) for c, v in zip(names, values)])
+    if schema is not None:
+        fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+        return found.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+                              for f in fields])
+    fits = found.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"{i}{t}")
+                       for i, c in enumerate(names) for t in ("bigint", "double")]).first()
+    kinds = ["bigint" if not fits[f"{i}bigint"] else "double" if not fits[f"{i}double"] else "string" for i in range(len(names))]
+    return found.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in zip(names, kinds)])
 
 
 def read_positional(spark: SparkSession, path, names: list[str], skip_until: str | None = None,

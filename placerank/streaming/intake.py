@@ -44,9 +44,39 @@ def intake_stream(stream: DataFrame, id_col: str, ts: str, body: str | None = No
     return s.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
+def quota_stream(stream: DataFrame, id_col: str, ts: str, key: str, quota: int, body: str | None = None) -> DataFrame:
+    """ST1 (stream): at most ``quota`` rows per key, each id once per key, earliest first in a batch.
+
+    The state of a key is the ids it has accepted, at most ``quota`` of them, so neither the
+    state nor the work of a batch grows with what is stored. State and offsets are committed
+    together: a batch that is run again finds the state from before it and accepts the same
+    rows. A late row is accepted while its key has room. Rows without a key or an id are left
+    out, as are blank bodies when ``body`` is given.
+    """
+    import pandas as pd
+    rows = stream.where(F.col(key).isNotNull() & F.col(id_col).isNotNull())
+    if body:
+        rows = rows.filter(F.col(body).isNotNull() & (F.trim(F.col(body).cast("string")) != ""))
+    kind = stream.schema[id_col].dataType.simpleString()
+
+    def accept(_, frames, state):
+        have = list(state.get[0]) if state.exists else []
+        room, best = quota - len(have), None
+        for pdf in frames:  # a part of the key's batch at a time; only the first ``room`` rows are held
+            fresh = pdf[~pdf[id_col].isin(have)]
+            best = fresh if best is None else pd.concat([best, fresh])
+            best = best.sort_values([ts, id_col], kind="stable").drop_duplicates(id_col).head(max(room, 0))
+        if best is not None and len(best):
+            state.update((have + best[id_col].tolist(),))
+            yield best
+
+    return rows.groupBy(key).applyInPandasWithState(accept, stream.schema, f"ids array<{kind}>", "append", "NoTimeout")
+
+
 def quota_sink(target_path: str, key, id_col: str, ts: str, quota: int):
     """``foreachBatch`` writer applying the per-key quota against what is already stored
-    in ``target_path`` (parquet). Exact when batches arrive in time order."""
+    in ``target_path`` (parquet). Exact when batches arrive in time order. It reads the stored
+    rows in every batch; a stream that keeps its own state uses ``quota_stream``."""
     key = _cols(key)
 
     def stored(spark) -> bool:
@@ -79,3 +109,20 @@ def snapshot_mean(df: DataFrame, keys, m: str, out: str | None = None) -> DataFr
     run it with output mode ``complete`` or ``update``."""
     return df.groupBy(*_cols(keys)).agg(F.avg(F.col(m).cast("double")).alias(out or f"{m}_mean"),
                                        F.count(F.lit(1)).alias("n_snapshots"))
+
+
+def merge_snapshots(df: DataFrame, path: str, snapshot: str, keys, m: str) -> None:
+    """ST2: put the sums and counts of ``m`` per key of each snapshot of ``df`` into the table at
+    ``path``, a folder a snapshot. A snapshot that comes again replaces its own part, so the same
+    file twice changes nothing; a snapshot must come whole. For a stream, call it from
+    ``foreachBatch``: a batch that is run again writes the same parts. Rows without a snapshot
+    are left out."""
+    told = df.where(F.col(snapshot).isNotNull()).groupBy(snapshot, *_cols(keys)) \
+        .agg(F.sum(F.col(m).cast("double")).alias("_sum"), F.count(F.col(m).cast("double")).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(snapshot).parquet(path)
+
+
+def merged_mean(spark, path: str, keys, m: str, out: str | None = None) -> DataFrame:
+    """ST2: the mean over all merged snapshots, as ``snapshot_mean`` over all their rows."""
+    return spark.read.parquet(path).groupBy(*_cols(keys)).agg((F.sum("_sum") / F.sum("_n")).alias(out or f"{m}_mean"),
+                                                             F.sum("_rows").alias("n_snapshots"))
