@@ -8,8 +8,9 @@ documents that share a band the similarity is estimated from both sketches and s
 maximum likelihood, candidates clearly below the threshold go, and the rest is confirmed on the
 full sets. Confirmed links join documents to components.
 
-Documents with the same set are one node throughout (their smallest id), so that thousands of
-copies cost one. The shingles' words and the threshold are arguments: :class:`Rule` takes the bands
+Documents with the same set are one class, and the class (a hash of its size and digest) is the node
+throughout, so that thousands of copies cost one. Ids come in at the end: an id with several texts
+ties their classes, and a component is named by the smallest id of its classes. The shingles' words and the threshold are arguments: :class:`Rule` takes the bands
 from the threshold, so that a pair at it is missed by all of them with probability ``MISSED`` at most
 (at 85 % 40 bands of 6 registers, 6e-9; at 80 % 48 of 5, 5e-9); the margin of the estimate is five
 standard deviations.
@@ -102,14 +103,17 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()
                     ("regs", pa.binary())])
 
 
+def _digest(own: np.ndarray) -> tuple[int, int]:
+    d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
+    return int(d0), int(d1)
+
+
 def _sketches(batches, shingle):
     for batch in batches:
         rows = []
         for _, grams in texts_shingles(batch.column("text"), shingle):
             own = np.unique(grams)
-            digest = xxhash.xxh3_128_digest(own.tobytes())
-            d0, d1 = np.frombuffer(digest, dtype=np.int64)
-            rows.append((len(own), int(d0), int(d1), registers(own).tobytes() if len(own) else None))
+            rows.append((len(own), *_digest(own), registers(own).tobytes() if len(own) else None))
         cols = list(zip(*rows)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(list(c), type=f.type) for c, f in zip(cols, list(SKETCH)[1:])]],
@@ -117,10 +121,12 @@ def _sketches(batches, shingle):
 
 
 def _sets(batches, shingle):
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("grams", pa.binary())])
     for batch in batches:
-        sets = [np.unique(g).tobytes() for _, g in texts_shingles(batch.column("text"), shingle)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema=schema)
+        sets = [np.unique(g) for _, g in texts_shingles(batch.column("text"), shingle)]
+        d0, d1 = zip(*[_digest(own) for own in sets]) if sets else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array([len(own) for own in sets], pa.int64()), pa.array(d0, pa.int64()),
+                                          pa.array(d1, pa.int64()), pa.array([own.tobytes() for own in sets], pa.binary())], schema=schema)
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -193,24 +199,25 @@ def near_duplicates(docs: DataFrame, shingle=SHINGLE, percent=PERCENT) -> DataFr
     rule = Rule(percent)
     bounded_batches(docs.sparkSession)
     rows = saved(sketches(docs, shingle), "sketches")
-    able = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = saved(able.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("node")), "classes")
+    node = F.xxhash64("n", "d0", "d1")
+    able = rows.where("n > 0 AND doc_id IS NOT NULL").withColumn("node", node)
+    classes = saved(able.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
     # ids with several texts tie the classes of these
-    named = able.select("doc_id", "n", "d0", "d1").join(classes, ["n", "d0", "d1"]).select("doc_id", "node")
-    named = saved(named.distinct(), "named")
+    named = saved(able.select("doc_id", "node").distinct(), "named")
     ties = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).where("b <> _m") \
         .join(named, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    nodes = saved(rows.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "d0", "d1"], "left_semi")
-                  .select(F.col("doc_id").alias("node"), "n", "regs").dropDuplicates(["node", "n"]), "nodes")
+    nodes = saved(able.join(classes.withColumnRenamed("first_id", "doc_id"), ["doc_id", "node"], "left_semi")
+                  .select("node", "n", "regs").dropDuplicates(["node"]), "nodes")
     width = 2 * rule.rows
     bands = nodes.select("node", F.explode(F.array(*[
         F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(rule.bands)])).alias("key"))
     shared = shared_buckets(bands)
-    wanted = saved(shared.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    wanted = saved(shared.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct(), "wanted")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .join(small_side(wanted, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = saved(picked.mapInArrow(partial(_sets, shingle=shingle), "doc_id long, grams binary"), "sets")
+    sets = saved(picked.mapInArrow(partial(_sets, shingle=shingle), "n long, d0 long, d1 long, grams binary")
+                 .select(node.alias("node"), "grams"), "sets")
 
     def test(pairs: DataFrame) -> DataFrame:
         with_n = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"),
@@ -218,20 +225,22 @@ def near_duplicates(docs: DataFrame, shingle=SHINGLE, percent=PERCENT) -> DataFr
             .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b") \
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         likely = saved(with_n.mapInArrow(partial(_likely, rule=rule), "a long, b long").distinct(), "likely")
-        return likely.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b") \
-            .join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a") \
+        return likely.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b") \
+            .join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a") \
             .mapInArrow(partial(_confirmed, rule=rule), "a long, b long").distinct()
 
     payload = nodes.select("node", "n", "regs").join(
-        sets.select(F.col("doc_id").alias("_id"), "grams"), F.col("node") == F.col("_id")).drop("_id")
+        sets.select(F.col("node").alias("_n"), "grams"), F.col("node") == F.col("_n")).drop("_n")
     label = resolve(shared, test, payload, partial(SketchField, rule=rule))
     if not ties.isEmpty():
         from .components import components
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ties))
-    label = label.select(F.col("node").alias("_n"), "component")
-    where = named.join(label, F.col("node") == F.col("_n"), "left") \
-        .select(F.col("doc_id").alias("_id"), F.coalesce("component", "node").alias("_c")) \
-        .groupBy("_id").agg(F.min("_c").alias("_c"))
+    # a component's smallest id, from the classes, of which each holds its own smallest
+    rooted = classes.join(label.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left") \
+        .select("node", "first_id", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("first_id").alias("_c"))
+    told = saved(rooted.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "_c"), "told")
+    where = named.join(told, F.col("node") == F.col("_n")).groupBy(F.col("doc_id").alias("_id")).agg(F.min("_c").alias("_c"))
     found = rows.select("doc_id", "n").join(where, F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce(F.col("_c"), F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -364,3 +364,12 @@ def test_pipeline(spark):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_an_id_with_two_texts_links_the_near_copies_of_both(spark):
+    from placerank.llm import setsketch
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, a), (3, b), (5, a + " one"), (6, b + " more"), (7, "something else entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in setsketch.near_duplicates(docs).collect()}
+    assert got == {(3, 3), (5, 3), (6, 3), (7, 7)}
