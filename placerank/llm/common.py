@@ -8,9 +8,11 @@ to a machine-local one, so that they outlive a lost executor.
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from placerank.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+_C = ctypes.CDLL(None)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,6 +48,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BYTES_SETTING, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Hand memory that a finished batch has freed back to the system: workers live from stage to
+    stage, and Arrow's pool and the C library otherwise keep what they once took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back
+
 PLACES = 64
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2 ** 64, (PLACES, 256), dtype=np.uint64).ravel()
 _FAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2 ** 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,3 +102,4 @@ def texts_shingles(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.nda
                 yield w, ngrams(w, len(w)) ^ np.uint64(len(w))
             else:
                 yield w, w
+    give_back()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
 from .shingles import _views
 
 MOST_REMEMBERED = 600_000
@@ -90,6 +91,7 @@ class Encoder:
                 b += 1
             yield from self._encode(texts.slice(a, b - a))
             a = b
+        give_back()
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         raw, offsets = _views(texts)
