@@ -30,6 +30,7 @@ from .common import saved, shared_path
 from .subword import encoder
 
 NO_ID = -(2 ** 63)
+WRITE_IDS = 1 << 18   # ids gathered for one write
 MANIFEST = pa.schema([("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
                       ("first_id", pa.int64())])
 MANIFEST_DDL = "path string, width int, n_docs long, n_ids long, first_id long"
@@ -56,16 +57,24 @@ def write_part(batches, folder: str, tokenizer: str, end_id: int, width: int, wh
     name, dtype = uuid.uuid4().hex, np.dtype(f"<u{width}")
     enc = encoder(tokenizer)
     enc.tokenizer.encode_special_tokens = whole_specials
+    end = np.array([end_id], np.uint32)
     out, offsets, ids, n = None, [0], [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         if out is None:
             out = system.open_output_stream(f"{at}/{name}.bin")
+        held, size = [], 0
         for tokens in enc.encode(batch.column("text")):
-            out.write(np.append(tokens, np.uint32(end_id)).astype(dtype).tobytes())
+            held += [tokens, end]
+            size += len(tokens) + 1
             n += len(tokens) + 1
             offsets.append(n)
+            if size >= WRITE_IDS:
+                out.write(np.concatenate(held).astype(dtype).tobytes())
+                held, size = [], 0
+        if held:
+            out.write(np.concatenate(held).astype(dtype).tobytes())
         ids += batch.column("doc_id").fill_null(NO_ID).to_pylist()
     if out is None:
         return
