@@ -8,9 +8,10 @@ documents that share a band the similarity is estimated from both sketches and s
 maximum likelihood, candidates clearly below the threshold go, and the rest is confirmed on the
 full sets. Confirmed links join documents to components.
 
-Documents with the same set are one class, and the class (a hash of its size and digest) is the node
-throughout, so that thousands of copies cost one. Ids come in at the end: an id with several texts
-ties their classes, and a component is named by the smallest id of its classes. The shingles' words and the threshold are arguments: :class:`Rule` takes the bands
+Documents with the same set are one class and one node throughout, so that thousands of copies cost
+one. A node's number is the class's smallest id, so that among equals the oldest document is the
+centre of its copies; where an id has several texts, all its classes but one are numbered by a hash
+instead. Such an id ties its classes at the end, and a component is named by its smallest id. The shingles' words and the threshold are arguments: :class:`Rule` takes the bands
 from the threshold, so that a pair at it is missed by all of them with probability ``MISSED`` at most
 (at 85 % 40 bands of 6 registers, 6e-9; at 80 % 48 of 5, 5e-9); the margin of the estimate is five
 standard deviations.
@@ -28,7 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import Field, resolve, shared_buckets
@@ -199,25 +200,30 @@ def near_duplicates(docs: DataFrame, shingle=SHINGLE, percent=PERCENT) -> DataFr
     rule = Rule(percent)
     bounded_batches(docs.sparkSession)
     rows = saved(sketches(docs, shingle), "sketches")
-    node = F.xxhash64("n", "d0", "d1")
-    able = rows.where("n > 0 AND doc_id IS NOT NULL").withColumn("node", node)
-    classes = saved(able.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
+    able = rows.where("n > 0 AND doc_id IS NOT NULL")
+    same_id = Window.partitionBy("first_id").orderBy("n", "d0", "d1")
+    other = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("n", "d0", "d1"), 2)
+    classes = able.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("first_id"))
+    classes = saved(classes.withColumn("node", F.when(F.row_number().over(same_id) == 1, F.col("first_id")).otherwise(other)), "classes")
     # ids with several texts tie the classes of these
-    named = saved(able.select("doc_id", "node").distinct(), "named")
+    named = able.select("doc_id", "n", "d0", "d1").join(classes, ["n", "d0", "d1"]).select("doc_id", "node")
+    named = saved(named.distinct(), "named")
     ties = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).where("b <> _m") \
         .join(named, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    nodes = saved(able.join(classes.withColumnRenamed("first_id", "doc_id"), ["doc_id", "node"], "left_semi")
+    nodes = saved(able.join(classes.withColumnRenamed("first_id", "doc_id"), ["doc_id", "n", "d0", "d1"])
                   .select("node", "n", "regs").dropDuplicates(["node"]), "nodes")
     width = 2 * rule.rows
     bands = nodes.select("node", F.explode(F.array(*[
         F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(rule.bands)])).alias("key"))
     shared = shared_buckets(bands)
-    wanted = saved(shared.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct(), "wanted")
+    wanted = saved(shared.select("node").distinct().join(classes, "node"), "wanted")
+    n_wanted = wanted.count()
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(small_side(wanted, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = saved(picked.mapInArrow(partial(_sets, shingle=shingle), "n long, d0 long, d1 long, grams binary")
-                 .select(node.alias("node"), "grams"), "sets")
+        .join(small_side(wanted.select(F.col("first_id").alias("doc_id")).distinct(), n_wanted, BROADCAST_IDS), "doc_id", "left_semi")
+    found = picked.mapInArrow(partial(_sets, shingle=shingle), "n long, d0 long, d1 long, grams binary")
+    sets = saved(found.join(small_side(wanted.select("n", "d0", "d1", "node"), n_wanted, BROADCAST_IDS), ["n", "d0", "d1"])
+                 .select("node", "grams"), "sets")
 
     def test(pairs: DataFrame) -> DataFrame:
         with_n = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"),
