@@ -3,8 +3,10 @@
 Documents become pieces of at most ``LENGTH`` tokens; pieces are dealt at random into shards of
 bounded size, and each shard is packed on several islands. An individual is a grouping of the
 shard's pieces into bins. Crossover takes whole well-filled bins of one parent into the other,
-drops the bins there that hold the same pieces, and best-fits the displaced pieces; the fittest
-have the fewest bins, then the fullest. Between epochs every island sends its elite to the next
+drops the bins there that hold the same pieces and some of the emptiest, and best-fits the
+displaced pieces. The first population holds best fit by decreasing length and random orders; the
+fittest have the fewest bins, then the fullest, so that free room gathers in few bins. An island
+stops early only where neither can get better. Between epochs every island sends its elite to the next
 island of its shard. Bins that stay poorly filled are opened and their pieces packed once more
 across shards, so a shard's end costs next to nothing.
 
@@ -29,6 +31,8 @@ from .subword import encoder
 LENGTH = 4096
 SHARD_PIECES = 16384
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 3, 4
+EFFORT = 150_000          # pieces that an island places in an epoch, where a shard is small enough for more generations
+MOST_GENERATIONS = 250
 GOOD_FILL = 0.99          # bins below it are packed once more across shards
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
@@ -92,14 +96,21 @@ def best_fit(lengths, room: list[int], capacity: int) -> list[int]:
 
 
 class Island:
+    """One island's population over a shard's pieces. ``crossings`` counts the crossovers it ran."""
+
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
         self.lengths, self.capacity = lengths, capacity
         self.rng = np.random.Generator(np.random.PCG64(seed))
+        self.crossings = 0
+        full, rest = divmod(int(lengths.sum()), capacity)
+        self.ideal = (full + (rest > 0), -float(full * capacity ** 2 + rest ** 2))
 
     def fresh(self, noise: float) -> np.ndarray:
-        """Best fit in order of decreasing length, blurred."""
-        key = self.lengths * (1 + noise * self.rng.random(len(self.lengths)))
-        order = np.argsort(-key, kind="stable")
+        """Best fit in order of decreasing length, blurred; in random order without a bound on the blur."""
+        if np.isinf(noise):
+            order = self.rng.permutation(len(self.lengths))
+        else:
+            order = np.argsort(-self.lengths * (1 + noise * self.rng.random(len(self.lengths))), kind="stable")
         bins = np.empty(len(order), dtype=np.int64)
         bins[order] = best_fit(self.lengths[order].tolist(), [], self.capacity)
         return bins
@@ -108,47 +119,71 @@ class Island:
         fill = np.bincount(bins, weights=self.lengths)
         return int((fill > 0).sum()), -float((fill ** 2).sum())
 
-    def cross(self, mother: np.ndarray, father: np.ndarray) -> np.ndarray:
-        """Whole well-filled bins of the father go into the mother."""
-        fill = np.bincount(father, weights=self.lengths)
-        good = (fill >= np.quantile(fill, 0.5)) & (self.rng.random(len(fill)) < 0.5)
-        taken = good[father]
-        hit = np.zeros(int(mother.max()) + 1, bool)
-        hit[mother[taken]] = True
-        displaced = np.flatnonzero(hit[mother] & ~taken)
-        keep = ~hit[mother] & ~taken
-        child = np.empty(len(mother), dtype=np.int64)
-        _, child[keep] = np.unique(mother[keep], return_inverse=True)
-        n = int(child[keep].max()) + 1 if keep.any() else 0
-        _, own = np.unique(father[taken], return_inverse=True)
-        child[taken] = own + n
-        n += int(own.max()) + 1 if len(own) else 0
-        placed = np.concatenate([np.flatnonzero(keep), np.flatnonzero(taken)])
-        room = (self.capacity - np.bincount(child[placed], weights=self.lengths[placed], minlength=n)).astype(int).tolist()
-        displaced = displaced[np.argsort(-self.lengths[displaced], kind="stable")]
-        child[displaced] = best_fit(self.lengths[displaced].tolist(), room, self.capacity)
+    def regroup(self, kept: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """The pieces marked ``kept`` stay in their ``groups``, the others are best-fitted: half
+        the time by decreasing length, else in an order blurred at random."""
+        child = np.empty(len(groups), dtype=np.int64)
+        _, own = np.unique(groups[kept], return_inverse=True)
+        child[kept] = own
+        n = int(own.max()) + 1 if len(own) else 0
+        room = (self.capacity - np.bincount(own, weights=self.lengths[kept], minlength=n)).astype(int).tolist()
+        loose = np.flatnonzero(~kept)
+        blur = 1 + (self.rng.random() < 0.5) * self.rng.random(len(loose))
+        loose = loose[np.argsort(-self.lengths[loose] * blur, kind="stable")]
+        child[loose] = best_fit(self.lengths[loose].tolist(), room, self.capacity)
         return child
 
-    def evolve(self, guests: list[np.ndarray]) -> np.ndarray:
-        group = [g for g in guests] + [self.fresh(0.0 if i == 0 else 0.1 * i) for i in range(POPULATION - len(guests))]
-        for _ in range(GENERATIONS):
-            group.sort(key=self.fitness)
-            if self.fitness(group[0])[0] * self.capacity - self.lengths.sum() < self.capacity:
-                break  # no packing has fewer bins
-            mates = self.rng.permutation(len(group))
-            group += [self.cross(group[0 if i % 2 else int(m)], group[int(m) if i % 2 else 0])
-                      for i, m in enumerate(mates) if m]
-            group = sorted(group, key=self.fitness)[:POPULATION]
-        return min(group, key=self.fitness)
-
-
-ELITE = "shard long, island int, n_bins long, square double, bins binary"
+    def cross(self, mother: np.ndarray, father: np.ndarray) -> np.ndarray:
+        """Whole well-filled bins of the father go into the mother, whose bins with the same pieces
+        are dropped; so are some of her least filled ones. What is displaced is best-fitted."""
+        self.crossings += 1
+        fill = np.bincount(father, weights=self.lengths)
+        taken = ((fill >= np.quantile(fill, 0.5)) & (self.rng.random(len(fill)) < 0.5))[father]
+        dropped = np.zeros(int(mother.max()) + 1, bool)
+        dropped[mother[taken]] = True
+        room = self.capacity - np.bincount(mother, weights=self.lengths)
+        dropped |= (room > 0) & (self.rng.random(len(room)) < room / max(room.max(), 1))
+        groups = np.where(taken, father + len(dropped), mother)
+        return self.regroup(taken | ~dropped[mother], groups)
+
+    def evolve(self, guests: list[np.ndarray], effort: int = EFFORT) -> np.ndarray:
+        """Fittest of the guests and fresh individuals after ``GENERATIONS`` generations, or as many
+        as place ``effort`` pieces; ends where neither bins nor free room can get better."""
+        noise = (0.0, 0.3, np.inf, np.inf)
+        group = [g for g in guests] + [self.fresh(noise[i % len(noise)]) for i in range(POPULATION - len(guests))]
+        ranked = sorted(((self.fitness(g), i, g) for i, g in enumerate(group)), key=lambda x: x[:2])
+        serial = len(ranked)
+        most = effort // (len(self.lengths) * (POPULATION - 1) + 1)
+        for _ in range(min(max(GENERATIONS, most), MOST_GENERATIONS)):
+            if ranked[0][0] == self.ideal:
+                break
+            for _ in range(POPULATION - 1):
+                a, b = self.rng.choice(len(ranked), 2, replace=False)
+                child = self.cross(ranked[a][2], ranked[b][2])
+                ranked.append((self.fitness(child), serial, child))
+                serial += 1
+            # equals are one individual, the younger one, so that the population does not stand still
+            ranked = sorted({x[0]: x for x in ranked}.values(), key=lambda x: x[:2])[:POPULATION]
+            while len(ranked) < 2:
+                g = self.fresh(np.inf)
+                ranked.append((self.fitness(g), serial, g))
+                serial += 1
+        return min(ranked, key=lambda x: x[:2])[2]
+
+
+ELITE = "shard long, island int, n_bins long, square double, seed_bins long, crossings long, bins binary"
+
+
+def dealt_pieces(rows: DataFrame, seed: int) -> DataFrame:
+    """Stored pieces (row, length, ...) dealt at random into shards of some ``SHARD_PIECES``."""
+    shards = max(1, -(-rows.count() // SHARD_PIECES))
+    return rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).alias("shard"))
 
 
-def pack(rows: DataFrame, length: int = LENGTH, seed: int = 5) -> DataFrame:
-    """Add shard, bin and fill to stored pieces (row, length, ...): every shard on its islands."""
-    shards = max(1, -(-rows.count() // SHARD_PIECES))
-    dealt = rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).alias("shard"))
+def evolved(dealt: DataFrame, length: int = LENGTH, seed: int = 5) -> DataFrame:
+    """The elite of each island of each shard after all epochs: n_bins and square of the fills,
+    beside seed_bins (bins of plain best fit by decreasing length) and crossings (crossovers the
+    island ran, both over all epochs)."""
     islands = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
 
     def evolve(key, own: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
@@ -156,16 +191,26 @@ def pack(rows: DataFrame, length: int = LENGTH, seed: int = 5) -> DataFrame:
         island = Island(own["length"].to_numpy(), length, hash((int(key[0]), int(key[1]), seed, len(elites))) & 0xFFFFFFFF)
         best = island.evolve([np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in elites["bins"]])
         n, square = island.fitness(best)
+        at_home = elites[elites["home"]]
+        seed_bins = int(at_home["seed_bins"].iloc[0]) if len(at_home) else island.fitness(island.fresh(0.0))[0]
         return pd.DataFrame([{"shard": int(key[0]), "island": int(key[1]), "n_bins": n, "square": -square,
+                              "seed_bins": seed_bins, "crossings": island.crossings + int(at_home["crossings"].sum()),
                               "bins": best.astype(np.int32).tobytes()}])
 
     elites = dealt.sparkSession.createDataFrame([], ELITE)
     for epoch in range(EPOCHS):
         # the elite of each island visits the next one, and stays at home
-        away = elites.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))
-        guests = elites.unionByName(away) if epoch else elites
+        away = elites.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int"))
+        guests = elites.withColumn("home", F.lit(True)).unionByName(away.withColumn("home", F.lit(False)))
         elites = saved(islands.groupBy("shard", "island").cogroup(guests.groupBy("shard", "island"))
                        .applyInPandas(evolve, ELITE), "elites")
+    return elites
+
+
+def pack(rows: DataFrame, length: int = LENGTH, seed: int = 5) -> DataFrame:
+    """Add shard, bin and fill to stored pieces (row, length, ...): every shard on its islands."""
+    dealt = dealt_pieces(rows, seed)
+    elites = evolved(dealt, length, seed)
     best = elites.groupBy("shard").agg(F.min_by("bins", F.struct("n_bins", -F.col("square"), "island")).alias("bins"))
 
     def lay(key, own: pd.DataFrame, elite: pd.DataFrame) -> pd.DataFrame:

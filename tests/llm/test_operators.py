@@ -341,11 +341,71 @@ def test_packing(docs, rows, empty):
     assert packing.packed_documents(empty).count() == 0
 
 
-def test_genetic_packing_beats_nothing_but_holds():
-    lengths = np.random.default_rng(8).integers(1, 4097, 400)
-    bins = packing.Island(lengths, 4096, 1).evolve([])
-    assert np.bincount(bins, weights=lengths).max() <= 4096
-    assert len(np.unique(bins)) <= packing.Island(lengths, 4096, 1).fresh(0.0).max() + 1
+def triplets(rng, n, capacity=4096):
+    """Three pieces each for n bins without free room: best fit by decreasing length misses these."""
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(1560, 2000))
+        b = int(rng.integers(1030, capacity - a - 1025))
+        out += [a, b, capacity - a - b]
+    return np.array(out)
+
+
+def test_genetic_packing_saves_bins_that_best_fit_needs():
+    rng = np.random.default_rng(8)
+    for lengths, least in ((triplets(rng, 20), 2), (triplets(rng, 40), 3), (rng.integers(1, 4097, 400), 0)):
+        island = packing.Island(lengths, 4096, 1)
+        bins = island.evolve([])
+        assert island.crossings > 0 and np.bincount(bins, weights=lengths).max() <= 4096 and len(bins) == len(lengths)
+        assert island.ideal[0] <= len(np.unique(bins)) <= island.fresh(0.0).max() + 1 - least
+
+
+def test_crossover_keeps_pieces_once_and_whole_bins():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 4097, 300)
+    island = packing.Island(lengths, 4096, 2)
+    mother, father = island.fresh(np.inf), island.fresh(np.inf)
+    child = island.cross(mother, father)
+    assert len(child) == 300 and np.bincount(child, weights=lengths).max() <= 4096
+    groups = lambda bins: {frozenset(np.flatnonzero(bins == b).tolist()) for b in np.unique(bins)}
+    assert groups(child) & (groups(father) - groups(mother)) and groups(child) & (groups(mother) - groups(father))
+
+
+def test_packing_matches_the_optimum_of_small_tables():
+    """Every grouping of up to eight pieces, by exhaustive search."""
+    rng = np.random.default_rng(6)
+
+    def optimum(sizes, bins=()):
+        if not sizes:
+            return len(bins)
+        tried = {tuple(sorted(bins[:i] + (b + sizes[0],) + bins[i + 1:])) for i, b in enumerate(bins) if b + sizes[0] <= 4096}
+        return min(optimum(sizes[1:], x) for x in tried | {tuple(sorted(bins + (sizes[0],)))})
+
+    for _ in range(12):
+        lengths = rng.integers(400, 2600, 8)
+        assert len(np.unique(packing.Island(lengths, 4096, 4).evolve([]))) == optimum(tuple(lengths.tolist()))
+
+
+def test_islands_report_crossings_and_bins_saved(spark):
+    lengths = triplets(np.random.default_rng(2), 20)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row long, length long")
+    out = packing.evolved(packing.dealt_pieces(rows, 5)).collect()
+    assert len(out) == packing.ISLANDS and all(r.crossings > packing.GENERATIONS for r in out)
+    assert all(20 <= r.n_bins < r.seed_bins for r in out)
+    again = packing.evolved(packing.dealt_pieces(rows, 5)).collect()
+    assert {(r.island, r.n_bins, r.bins) for r in out} == {(r.island, r.n_bins, r.bins) for r in again}
+
+
+def test_packing_pieces_against_the_library(docs, rows):
+    enc = subword.encoder("word_bpe_49k.json")
+    want = collections.Counter()
+    for r in rows:
+        ids = np.array(enc.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        for piece, start in enumerate(range(0, len(ids), 64)):
+            part = ids[start:start + 64]
+            want[r[0], piece, start, len(part), zlib.crc32(part.tobytes())] += 1
+    out = packing.packed_documents(docs, 64).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert collections.Counter(map(tuple, out)) == want
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
