@@ -5,8 +5,8 @@ and hashed; for each host (here the ``source``) the number of distinct documents
 is counted. Lines of more than ``limit`` documents of their host are removed, and a document is
 rejected when the removed lines held too large a share of its words.
 
-The limit is a share of the host's documents with a floor, so that it means the same at every
-size. A line common in all hosts counts in each of them.
+The limit is a number of documents, so that a line judged frequent stays so when its host grows. A
+line common in all hosts counts in each of them.
 
 Defined cases: a null text has no words or lines and fails the base rules; lines without words are
 not counted; rows are told apart by ``doc_id`` and text, rows that agree in both count as one
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
-LIMIT_SHARE, LIMIT_LEAST = 0.002, 20      # documents of a host that may share a line
+LIMIT = 20                                # documents of a host that may share a line
 DEPLETED = 0.5                            # share of words that removed lines may hold
 SYMBOLS = b"#*$%&|<>"
 
@@ -105,24 +105,25 @@ def document_facts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_facts, FACTS_DDL)
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, share=LIMIT_SHARE, least=LIMIT_LEAST) -> DataFrame:
-    """(source, line) of more documents than the host's limit. Rows of ``lines`` are distinct per
-    document, so the partial sums of a hot line meet as one row a task."""
-    counted = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > least)
-    limit = F.greatest(F.lit(float(least)), F.col("host_docs") * share)
-    return counted.join(hosts.select(F.col("source").alias("_s"), "host_docs"), F.col("source").eqNullSafe(F.col("_s"))) \
-        .where(F.col("docs") > limit).select("source", "line", "docs")
+def frequent_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(source, line) of more than ``limit`` documents of the host. Rows of ``lines`` are distinct
+    per document, so the partial sums of a hot line meet as one row a task."""
+    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > limit)
 
 
-def quality(docs: DataFrame, share=LIMIT_SHARE, least=LIMIT_LEAST, depleted=DEPLETED) -> DataFrame:
-    """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, removed_words (words in frequent lines), kept."""
-    facts = saved(document_facts(docs), "line-facts")
+def _lines(facts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows of ``facts`` and the stored frequent lines (_s, _l) of the hosts."""
     single = saved(facts.select("source", "doc_id", "row_key", "lines").dropDuplicates(["doc_id", "row_key"]), "lines")
     lines = single.select("source", F.explode("lines.line").alias("line"))
-    hosts = single.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
-    hot = saved(frequent_lines(lines, hosts, share, least), "frequent-lines") \
+    return single, saved(frequent_lines(lines, limit), "frequent-lines") \
         .select(F.col("source").alias("_s"), F.col("line").alias("_l"))
+
+
+def quality(docs: DataFrame, limit=LIMIT, depleted=DEPLETED) -> DataFrame:
+    """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, removed_words (words in frequent lines), kept."""
+    facts = saved(document_facts(docs), "line-facts")
+    single, hot = _lines(facts, limit)
     # only lines leave the document: a frequent line meets its few words, not the text
     one = single.select("doc_id", "source", "row_key", F.explode("lines").alias("x")) \
         .join(hot, F.col("source").eqNullSafe(F.col("_s")) & (F.col("x.line") == F.col("_l"))) \
@@ -134,3 +135,29 @@ def quality(docs: DataFrame, share=LIMIT_SHARE, least=LIMIT_LEAST, depleted=DEPL
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       failed.alias("base_failed"), removed.alias("removed_words"),
                       (~failed & (removed <= depleted * F.col("n_words"))).alias("kept"))
+
+
+def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for text, hashes in zip(texts.to_pylist(), gone.to_pylist()):
+        if hashes:
+            hashes = set(hashes)
+            text = "\n".join(x for x in text.split("\n") if not (w := x.encode().split()) or line_hash(w) not in hashes)
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def without_frequent(docs: DataFrame, limit=LIMIT) -> DataFrame:
+    """``docs`` with all its columns and rows, its texts without the frequent lines of their host.
+    Only the hashes of a document's own frequent lines travel to its text; a null text stays null,
+    lines without words stay."""
+    facts = saved(document_facts(docs), "line-facts")
+    single, hot = _lines(facts, limit)
+    gone = single.select("doc_id", "source", "row_key", F.explode("lines.line").alias("line")) \
+        .join(hot, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_l"))) \
+        .groupBy(F.col("doc_id").alias("_llm_id"), F.col("row_key").alias("_llm_key")) \
+        .agg(F.collect_list("line").alias("_llm_gone"))  # of one document, at most its own lines
+    keyed = docs.withColumn("_llm_row", F.xxhash64("doc_id", "text"))
+    return keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id"))
+                      & (F.col("_llm_row") == F.col("_llm_key")), "left") \
+        .withColumn("text", F.arrow_udf(_cut, "string")(F.col("text"), F.col("_llm_gone"))).select(*docs.columns)

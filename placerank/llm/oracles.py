@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .line_frequency import DEPLETED, LEAST_WORDS, LIMIT_LEAST, LIMIT_SHARE, MOST_REPEAT_PERCENT
+from .line_frequency import DEPLETED, LEAST_WORDS, LIMIT, MOST_REPEAT_PERCENT
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,10 +23,7 @@ ln AS (SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0
 full_ln AS (SELECT doc_id, source, line, words,
                    regexp_replace({LOWER.format('joined')}, '[0-9]+', '0', 'g') AS norm FROM ln WHERE words > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_ln GROUP BY doc_id),
-host AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-freq AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM full_ln GROUP BY ALL) f
-         JOIN host h ON f.source IS NOT DISTINCT FROM h.source
-         WHERE f.n > greatest({float(LIMIT_LEAST)}::DOUBLE, h.n * {LIMIT_SHARE}::DOUBLE)),
+freq AS (SELECT source, norm FROM full_ln GROUP BY ALL HAVING count(DISTINCT doc_id) > {LIMIT}),
 gone AS (SELECT doc_id, sum(words) AS n FROM full_ln l
          JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY doc_id),
 facts AS (
