@@ -11,7 +11,8 @@ model is a matrix of languages x ``GRAMS``, whose size does not depend on the nu
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; a text of letters
 that no language knows gets the language of the largest prior likelihood, ties by name; without
-labelled texts everything is ``und``; rows with a null ``lang`` are not learned from. Rows are
+labelled texts everything is ``und`` (as a filter, :func:`with_language` then keeps the texts with
+letters); rows with a null ``lang`` are not learned from. Rows are
 judged one by one, so ids may be null or repeated; other columns are kept as they are.
 """
 
@@ -102,6 +103,16 @@ class Model:
         order = sorted(range(len(chosen)), key=lambda i: (-share[i], self.langs[chosen[i]]))
         return [(self.langs[chosen[i]], float(share[i])) for i in order]
 
+    def gain(self, text: str | None) -> float:
+        """Mean log-likelihood ratio of a trigram: the chosen mixture against the background.
+        Negative infinity without letters; infinity when no language was learned."""
+        codes = trigrams(text)
+        if codes is None or not self.langs:
+            return -np.inf if codes is None else np.inf
+        mix = self.proportions(text)
+        p = self.p[np.ix_(codes, [self.langs.index(lang) for lang, _ in mix])] @ np.array([share for _, share in mix])
+        return float(np.log(p).mean() + np.log(GRAMS))
+
 
 def expect(p, n, chosen, share):
     """Expectation-maximisation over the chosen languages from ``share`` and a tenth for the new one."""
@@ -164,7 +175,18 @@ def identify(docs: DataFrame) -> DataFrame:
         .select("doc_id", "held_out", "_p.lang_pred", "_p.score", "_p.languages")
 
 
+def accepted(model: Model):
+    """Column function of a text: does the mixture of its chosen languages explain it better than
+    the background, in which every trigram code is as likely as any other? Without letters no;
+    where no language could be learned, letters are enough."""
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        return pa.array([model.gain(t.as_py()) > 0 for t in texts], type=pa.bool_())
+    return judge
+
+
 def with_language(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the rows in no language (no text or no letters)."""
-    predict = predictor(fit(docs.where(~held_out())))
-    return docs.withColumn("_llm_p", predict(F.col("text"))).where(F.col("_llm_p.lang_pred") != UNKNOWN).select(*docs.columns)
+    """``docs`` with all its columns, without the rows that no mixture of languages explains (null
+    texts and texts without letters among them). Learns from all labelled rows."""
+    judge = accepted(fit(docs))
+    return docs.withColumn("_llm_p", judge(F.col("text"))).where("_llm_p").select(*docs.columns)

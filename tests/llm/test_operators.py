@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from placerank.llm import (exact_mph, fair_queue, language_mix, line_frequency, packing, paragraphs, secrets,
                            separator_scan, setsketch, subword, token_files)
@@ -214,10 +215,78 @@ def test_line_frequency(docs, rows, empty, spark):
     assert line_frequency.quality(empty).count() == 0
     rnd = random.Random(1)
     many = [(i, "Same Line 7\n" * 6 + sentence(rnd, 8 if i < 5 else 60), "h") for i in range(30)]
-    found = line_frequency.quality(spark.createDataFrame(many, "doc_id long, text string, source string"), least=3)
+    found = line_frequency.quality(spark.createDataFrame(many, "doc_id long, text string, source string"), limit=3)
     assert all(r.removed_words == 18 for r in found.collect())
 
 
+def test_a_frequent_line_stays_frequent_when_its_host_grows(spark):
+    rnd = random.Random(2)
+    for hosts in (30, 300):
+        table = [(i, ("Shared line 7\n" if i < 25 else "") + sentence(rnd, 60), "h") for i in range(hosts)]
+        out = line_frequency.quality(spark.createDataFrame(table, "doc_id long, text string, source string"), limit=20)
+        assert sum(r.removed_words == 3 for r in out.collect()) == 25
+
+
+def test_texts_without_frequent_lines(docs, rows, empty, spark):
+    rnd = random.Random(3)
+    table = [(i, f"Visit  us 2{i}\n\n{sentence(rnd, 9)}\nvisit us 3", ["h", None][i % 2]) for i in range(12)]
+    table += [(20, None, "h"), (0, table[0][1], "h")]
+    out = line_frequency.without_frequent(spark.createDataFrame(table, "doc_id long, text string, source string"), limit=5)
+    want = [(i, t and "\n".join(t.split("\n")[1:3]), s) for i, t, s in table]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    out = line_frequency.without_frequent(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+    assert line_frequency.without_frequent(empty).count() == 0
+
+
+def mixture_model():
+    rng = np.random.default_rng(4)
+    counts = np.zeros((4, language_mix.GRAMS))
+    words = {}
+    for k, lang in enumerate(("aa", "bb", "cc", "dd")):
+        letters = list("abcdefghijklmnopqrstuvwxyz"[k * 6:k * 6 + 9])
+        words[lang] = ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(60)]
+        codes = language_mix.trigrams(" ".join(rng.choice(words[lang], 4000)))
+        counts[k] = np.bincount(codes, minlength=language_mix.GRAMS)
+    return language_mix.Model(["aa", "bb", "cc", "dd"], counts), words, rng
+
+
+def test_language_sets_against_exhaustive_search():
+    """All subsets of four languages, each fitted by many rounds from equal shares."""
+    import itertools
+    model, words, rng = mixture_model()
+    for k in range(24):
+        own = rng.choice(4, 1 + k % 3, replace=False)
+        text = " ".join(np.concatenate([rng.choice(words[model.langs[i]], 30 + 15 * j) for j, i in enumerate(own)]))
+        n = np.bincount(language_mix.trigrams(text), minlength=language_mix.GRAMS).astype(float)
+        at = np.flatnonzero(n)
+        best = None
+        for size in (1, 2, 3, 4):
+            for some in itertools.combinations(range(4), size):
+                p, mix = model.p[at][:, some], np.full(size, 1 / size)
+                for _ in range(200):
+                    part = p * mix
+                    mix = (n[at] / part.sum(axis=1)) @ part / n.sum()
+                score = n[at] @ np.log(p @ mix) - (size - 1) * language_mix.PENALTY * 0.5 * np.log(n.sum() + 1)
+                if best is None or score > best[0]:
+                    best = (score, {model.langs[i]: m for i, m in zip(some, mix)})
+        got = dict(model.proportions(text))
+        assert set(got) == set(best[1]) == {model.langs[i] for i in own}
+        assert all(abs(got[x] - best[1][x]) < 0.02 for x in got)
+
+
+def test_language_filter_lets_the_mixture_decide(spark):
+    rnd = random.Random(10)
+    learned = [(i, " ".join(rnd.choice(WORDS[:16] if i % 2 else WORDS[18:]) for _ in range(60)), "en" if i % 2 else "fr")
+               for i in range(400)]
+    noise = "".join(rnd.choice("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ") for _ in range(300))
+    extra = [(1000, noise, None), (1001, None, "en"), (1002, "12 34", None), (1003, " ".join(WORDS), None), (1004, "", "fr")]
+    table = spark.createDataFrame(learned + extra, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_mix.with_language(table).collect()} == {*range(400), 1003}
+    unlabelled = language_mix.with_language(table.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.doc_id for r in unlabelled.collect()} == {*range(400), 1000, 1003}  # nothing learned: letters are enough
+
+
 def test_language(docs, rows, empty, spark):
     rnd = random.Random(9)
     train = [(i, " ".join(rnd.choice(WORDS[:16] if i % 2 else WORDS[18:]) for _ in range(40)), "en" if i % 2 else "fr")
