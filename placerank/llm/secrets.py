@@ -5,14 +5,16 @@ The method adds spans: every other token of ``LEAST`` or more identifier charact
 two first-order character Markov models, one of random strings, one of ordinary identifiers, and
 becomes a span when the log-likelihood ratio is in favour of a random string. The models are
 trained from labelled samples: values that a base pattern found are random, tokens of the same
-length range outside base spans are ordinary. Counts cover all documents; the model is a table of
+length range outside base spans are ordinary. A fifth of the samples (by a hash of the token, so that
+repeats stay on one side) is held out; the threshold of the mean ratio a transition is the one that
+separates the held-out samples best. Counts cover all documents; the model is a table of
 ``len(ALPHABET)``² numbers at any size of input.
 
 Spans are in code points, end exclusive, leftmost non-overlapping for each pattern.
 
 Defined cases: a null text counts as empty and has no spans; rows are scanned one by one, so ids
-may be null or repeated; without base hits the random model is uniform; an empty table gives no
-rows. Other columns are not read.
+may be null or repeated; without base hits the random model is uniform; where a class has no
+held-out sample the threshold is ``PRIOR``; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ LEAST = 16
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 SMOOTHING = 0.5
-LEAST_SUM, LEAST_MEAN = 15.0, 0.75  # log-likelihood ratio of a token: in all, and each transition
+HELD_OUT = 5              # one sample in so many chooses the threshold
+STEP, WIDEST = 0.05, 10.0  # scores are counted in steps, up to the widest to both sides
+PRIOR = 1.0               # threshold of the mean log-likelihood ratio where none can be learned
 BLOCK = 128
 
 
@@ -140,17 +144,61 @@ def ratio(token: Column, model: list[float]) -> Column:
         x.alias("last")))["sum"]
 
 
+def held_out(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(HELD_OUT)) == 0
+
+
+def mean_ratio(token: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio a transition; a token of one character has none and scores 0."""
+    return ratio(token, model) / F.greatest(F.length(token) - 1, F.lit(1))
+
+
+def threshold(samples: DataFrame, model: list[float]) -> dict[str, float | None]:
+    """Threshold of the mean ratio from (label, token), with the recall of random samples and the
+    rate of false alarms among ordinary ones at it. It maximises their difference; of a range of
+    equal ones it is the middle. Scores are counted in steps: at most some 800 rows are collected."""
+    score = F.greatest(F.least(mean_ratio(F.col("token"), model), F.lit(WIDEST)), F.lit(-WIDEST))
+    counts = samples.groupBy("label", F.floor(score / STEP).cast("int").alias("step")) \
+        .agg(F.count(F.lit(1)).alias("n")).collect()
+    n = {label: {r["step"]: r["n"] for r in counts if r["label"] == label} for label in ("random", "ordinary")}
+    if not all(n.values()):
+        return {"threshold": PRIOR, "recall": None, "false_alarms": None}
+    last = int(WIDEST / STEP)
+    best: list[tuple[float, int, float, float]] = []
+    for t in range(-last, last + 1):
+        recall, alarms = (sum(v for k, v in n[label].items() if k >= t) / sum(n[label].values())
+                          for label in ("random", "ordinary"))
+        if not best or recall - alarms >= best[0][0]:
+            best = [x for x in best if x[0] == recall - alarms] + [(recall - alarms, t, recall, alarms)]
+    _, t, recall, alarms = best[len(best) // 2]
+    return {"threshold": t * STEP, "recall": recall, "false_alarms": alarms}
+
+
+def learn(samples: DataFrame) -> tuple[list[float], dict[str, float | None]]:
+    """Ratios by pair from the samples that are not held out, and what the held-out ones say."""
+    model = train(samples.where(~held_out(F.col("token"))))
+    return model, threshold(samples.where(held_out(F.col("token"))), model)
+
+
+def labelled(hits: DataFrame) -> DataFrame:
+    """(label, token) of every base value and of every token outside the base spans."""
+    values = hits.select(F.lit("random").alias("label"), F.explode(F.concat(
+        *[F.transform(k, lambda s: s["value"]) for k in KINDS[:3]])).alias("token"))
+    return values.unionByName(hits.select(F.lit("ordinary").alias("label"), F.explode("token.value").alias("token")))
+
+
+def hits_of(docs: DataFrame) -> DataFrame:
+    """The stored scan with the candidate tokens that touch no base span."""
+    base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS[:3]])
+    return saved(scan(docs), "secret-scan").withColumn("token", outside(F.col("token"), base))
+
+
 def secrets(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
     kinds = KINDS[:3]
-    hits = saved(scan(docs), "secret-scan")
-    base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in kinds])
-    hits = hits.withColumn("token", outside(F.col("token"), base))
-    values = hits.select(F.lit("random").alias("label"), F.explode(F.concat(
-        *[F.transform(k, lambda s: s["value"]) for k in kinds])).alias("token"))
-    other = hits.select(F.lit("ordinary").alias("label"), F.explode("token.value").alias("token"))
-    model = train(values.unionByName(other))
-    judged = hits.withColumn("markov", F.filter("token", lambda s: _random(ratio(s["value"], model), s)))
+    hits = hits_of(docs)
+    model, chosen = learn(labelled(hits))
+    judged = hits.withColumn("markov", F.filter("token", lambda s: mean_ratio(s["value"], model) >= chosen["threshold"]))
 
     def marked(kind):
         return F.transform(kind, lambda s: F.struct(
@@ -164,7 +212,3 @@ def secrets(docs: DataFrame) -> DataFrame:
     return judged.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(marks(kinds).cast("binary"), 256).alias("base_sha256"), marks(KINDS).alias("spans"))
-
-
-def _random(score: Column, span: Column) -> Column:
-    return (score >= LEAST_SUM) & (score >= LEAST_MEAN * (F.length(span["value"]) - 1))

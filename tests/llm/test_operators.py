@@ -349,6 +349,67 @@ def test_secrets_model_adds_spans(spark):
     assert all("markov" not in r.spans for r in out if r.doc_id < 60)
 
 
+def plain_secrets(texts):
+    """Base and added spans by ``re`` and plain dictionaries; thresholds over held-out samples."""
+    kinds = ((re.compile(secrets.ASSIGN), 2, 8), (re.compile("AKIA[A-Z0-9]+"), 0, 16), (re.compile("[0-9a-f]+"), 0, 32))
+    base, values, tokens = [], [], []
+    for t in texts:
+        own = [(m.start(), k, m.end()) for k, (p, g, least) in enumerate(kinds) for m in p.finditer(t or "")
+               if len(m[g]) >= least]
+        values += [m[g] for p, g, least in kinds for m in p.finditer(t or "") if len(m[g]) >= least]
+        base.append(sorted(own))
+        tokens.append([m for m in re.finditer(secrets.TOKEN, t or "")
+                       if not any(a < m.end() and m.start() < e for a, _, e in own)])
+    return base, values, tokens
+
+
+def test_secret_spans_against_plain_patterns(spark):
+    import hashlib
+    import math
+    rnd = random.Random(14)
+    hexa = "0123456789abcdef"
+    draw = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    texts = [None, "", "password=short token = 'abcdefgh' é AKIA" + draw("ABCDEF0189", 11)]
+    for i in range(160):
+        parts = [rnd.choice(WORDS[:18]) + rnd.choice(WORDS[2:18]) + rnd.choice(WORDS[2:18]) + "house" for _ in range(20)]
+        parts.insert(rnd.randrange(20), rnd.choice([f"api_key: {draw(hexa, 24)}", draw(hexa, 40), f"AKIA{draw('ABCXYZ123', 16)}",
+                                                    f"token='{draw(hexa, 20)}'", draw(hexa, 26), "secret"]))
+        texts.append((" " if i % 2 else "\n").join(parts))
+    base, values, tokens = plain_secrets(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    samples = [("random", v) for v in values] + [("ordinary", m[0]) for own in tokens for m in own]
+    out_of = {r.token for r in spark.createDataFrame(samples, "label string, token string")
+              .where(secrets.held_out(F.col("token"))).collect()}
+    size = len(secrets.ALPHABET) + 1
+    code = lambda t: [secrets.ALPHABET.find(c) + 1 for c in t]
+    counts = {x: collections.Counter() for x in ("random", "ordinary")}
+    for label, t in samples:
+        if t not in out_of:
+            counts[label].update(zip(code(t), code(t)[1:]))
+    prob = lambda label, a, b: math.log((counts[label][a, b] + .5) / (
+        sum(counts[label][a, x] for x in range(size)) + .5 * size))
+    score = lambda t: sum(round(prob("random", a, b) - prob("ordinary", a, b), 4)
+                          for a, b in zip(code(t), code(t)[1:])) / max(len(t) - 1, 1)
+    model, chosen = secrets.learn(secrets.labelled(secrets.hits_of(docs)))
+    held = {x: [score(t) for y, t in samples if y == x and t in out_of] for x in counts}
+    rate = lambda x, t: sum(math.floor(s / secrets.STEP) >= round(t / secrets.STEP) for s in held[x]) / len(held[x])
+    at = chosen["threshold"]
+    assert (chosen["recall"], chosen["false_alarms"]) == (rate("random", at), rate("ordinary", at))
+    every = [k * secrets.STEP for k in range(-200, 201)]
+    assert max(rate("random", t) - rate("ordinary", t) for t in every) == chosen["recall"] - chosen["false_alarms"]
+    assert chosen["recall"] >= 0.9 and chosen["false_alarms"] < 0.1
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    mark = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(spans))
+    added = 0
+    for i, own in enumerate(base):
+        more = [(m.start(), 3, m.end()) for m in tokens[i] if score(m[0]) >= at]
+        added += len(more)
+        assert got[i].base_sha256 == hashlib.sha256(mark(own).encode()).hexdigest()
+        assert got[i].spans == mark(own + more)
+        assert [got[i][f"n_{k}"] for k in secrets.KINDS[:3]] == [sum(k == n for _, k, _ in own) for n in range(3)]
+    assert added >= 15
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_subword_pieces_equal_the_library(name):
     enc, rnd = subword.encoder(name), random.Random(3)
