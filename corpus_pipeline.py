@@ -4,12 +4,16 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes
 the shared folder and rereads it as the next stage's ``docs``. All stages but the last return the
 columns of their input:
 
-1. language identification drops documents in no language (null text, or no letters);
+1. language identification drops documents that no mixture of the learned languages explains better
+   than chance does (null texts and texts without letters among them);
 2. exact deduplication keeps, of texts equal but for the case of A-Z, the row with the largest id;
 3. near deduplication keeps one document (the smallest id) of each component of texts whose 5-word
    shingles have a Jaccard similarity of 0.8 or more;
 4. mixing repeats or drops documents so that sources come near their target weights;
 5. packing returns a row for each piece of a document, placed in a sequence.
+
+An empty table passes all stages as an empty one; extra columns, whatever their names, are kept by
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,22 +30,33 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text a mixture of the languages of all labelled rows explains. A null or empty
+    text, or one without letters, goes; where ``lang`` is null throughout, texts with letters stay.
+    Repeated rows and ids are judged one by one."""
     return language_mix.with_language(docs)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, equal but for the case of A-Z: that with the largest id (a null id is the
+    smallest; of equal rows any one). Null and empty texts are one text."""
     return exact_mph.keep_winners(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the smallest id of each component of near copies. A text without words is linked
+    with nothing and stays; a null id has no component and stays."""
     return setsketch.keep_first(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated or dropped towards the sources' targets, by virtual finish time. A null source is
+    a source, the last; a document without words stays once. An empty table gives no rows."""
     return fair_queue.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of at most 4,096 tokens, with its sequence and its place there. A null
+    text has its end id only; repeated rows are documents of their own; other columns are dropped."""
     return packing.packed_documents(docs)
 
 
