@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 UNKNOWN = "und"
 GRAMS = 1 << 15
@@ -181,7 +181,9 @@ def accepted(model: Model):
     where no language could be learned, letters are enough."""
     @F.arrow_udf("boolean")
     def judge(texts: pa.Array) -> pa.Array:
-        return pa.array([model.gain(t.as_py()) > 0 for t in texts], type=pa.bool_())
+        out = pa.array([model.gain(t.as_py()) > 0 for t in texts], type=pa.bool_())
+        give_back()
+        return out
     return judge
 
 

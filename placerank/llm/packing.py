@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, saved
-from .subword import encoder
+from .subword import MOST_BYTES, MOST_REMEMBERED, encoder
 
 LENGTH = 4096
 SHARD_PIECES = 16384
@@ -41,9 +41,8 @@ PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.in
 PIECES_DDL = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(batches, tokenizer, end_id, length):
+def _pieces(batches, enc, end_id, length):
     row = TaskContext.get().partitionId() << 40
-    enc = encoder(tokenizer)
     for batch in batches:
         out = []
         for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
@@ -56,13 +55,15 @@ def _pieces(batches, tokenizer, end_id, length):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, PIECES)], schema=PIECES)
 
 
-def pieces(docs: DataFrame, tokenizer=TOKENIZER, end_id=END_ID, length=LENGTH) -> DataFrame:
-    """Stored pieces: row (a number of its own), doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer=TOKENIZER, end_id=END_ID, length=LENGTH, most_bytes=MOST_BYTES,
+           most_remembered=MOST_REMEMBERED) -> DataFrame:
+    """Stored pieces: row (a number of its own), doc_id, piece, start, length, ids_crc32.
+    ``most_bytes`` and ``most_remembered`` bound the encoder's memory and change no row."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches):
-        yield from _pieces(batches, tokenizer, end_id, length)
+        yield from _pieces(batches, encoder(tokenizer, most_bytes, most_remembered), end_id, length)
 
     return saved(rows.mapInArrow(cut, PIECES_DDL), "pieces")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import Field, resolve, shared_buckets
-from .common import bounded_batches, saved, small_side
+from .common import bounded_batches, give_back, saved, small_side
 from .shingles import texts_shingles
 
 SHINGLE = 3
@@ -145,7 +145,11 @@ def _likely(batches, rule):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
                 for c in ("regs_a", "regs_b"))
         n_a, n_b = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
-        yield _kept(batch, estimate(a, b, n_a, n_b) >= rule.least)
+        # an estimate holds a row of the grid for each pair: a few pairs at a time
+        found = [estimate(a[i:i + _BLOCK], b[i:i + _BLOCK], n_a[i:i + _BLOCK], n_b[i:i + _BLOCK])
+                 for i in range(0, len(a), _BLOCK)]
+        yield _kept(batch, np.concatenate(found) >= rule.least)
+    give_back()
 
 
 def _confirmed(batches, rule):
@@ -156,6 +160,7 @@ def _confirmed(batches, rule):
             common = intersection(a, b)
             keep.append(100 * common >= rule.percent * (len(a) + len(b) - common))
         yield _kept(batch, keep)
+    give_back()
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:

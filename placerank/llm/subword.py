@@ -3,7 +3,7 @@
 Both tokenizers cut a text into pieces by a fixed pattern and encode piece by piece, so a text's
 ids are its pieces' ids one after the other. The pieces of a batch are cut by vectorised rules
 over its bytes, each distinct one is encoded by the tokenizers library and remembered in the
-worker (up to ``MOST_REMEMBERED``), and the ids are gathered. The rules know the characters below
+worker (up to a number), and the ids are gathered. The rules know the characters below
 U+0180 and general punctuation; texts with others, or with a special token's opening ``<|``, are
 encoded whole by the library.
 """
@@ -22,6 +22,7 @@ from .shingles import _views
 
 MOST_REMEMBERED = 600_000
 MOST_BYTES = 4 << 20
+LEARN = 8192              # new pieces that are given to the library at once
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -42,7 +43,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
+        self.most_bytes, self.most_remembered = MOST_BYTES, MOST_REMEMBERED
         self._forget()
+        give_back()
 
     def _forget(self):
         self.known: dict[str, int] = {}
@@ -72,11 +75,11 @@ class Encoder:
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """Places of distinct pieces in the memory; new ones are encoded."""
-        if len(self.known) > MOST_REMEMBERED:
+        if len(self.known) > self.most_remembered:
             self._forget()
         new = [p for p in pieces if p not in self.known]
-        if new:
-            self._learn(new)
+        for a in range(0, len(new), LEARN):  # the library's results are many times larger than the ids
+            self._learn(new[a:a + LEARN])
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array):
@@ -86,7 +89,7 @@ class Encoder:
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         while a < n:
             b, total = a + 1, int(sizes[a])
-            while b < n and total + sizes[b] <= MOST_BYTES:
+            while b < n and total + sizes[b] <= self.most_bytes:
                 total += int(sizes[b])
                 b += 1
             yield from self._encode(texts.slice(a, b - a))
@@ -199,9 +202,12 @@ def _classes(raw: np.ndarray) -> np.ndarray:
 _ENCODERS: dict = {}
 
 
-def encoder(name: str) -> Encoder:
-    """The worker's encoder of a public tokenizer's file."""
+def encoder(name: str, most_bytes: int = MOST_BYTES, most_remembered: int = MOST_REMEMBERED) -> Encoder:
+    """The worker's encoder of a public tokenizer's file. Smaller slices of text and fewer remembered
+    pieces cost time and save memory; the ids are the same."""
     if name not in _ENCODERS:
         import public_tokenizers
         _ENCODERS[name] = Encoder(public_tokenizers.path(name), name.startswith("word_"))
-    return _ENCODERS[name]
+    found = _ENCODERS[name]
+    found.most_bytes, found.most_remembered = most_bytes, most_remembered
+    return found

@@ -557,6 +557,85 @@ def test_pipeline(spark):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
 
 
+def test_pipeline_stage_by_stage(spark, docs, rows, empty, tmp_path):
+    """Each stage recomputed by brute force on what its predecessor kept."""
+    import corpus_pipeline as C
+    rnd = random.Random(21)
+    more = []
+    for i in range(100, 140):
+        base = sentence(rnd, 200)
+        more += [(i, base, "en", f"s{i % 4}", 1, "x", "y", "z")]
+        if i % 8 == 0:
+            more += [(i + 100, base + " " + sentence(rnd, 20), "en", "s1", 1, "x", "y", "z"),
+                     (i + 200, base.upper(), None, None, 1, "x", "y", "z")]
+    table = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    have, now = [tuple(r) for r in table.collect()], table
+    grams = {r[1]: language_mix.trigrams(r[1]) for r in have}
+    lettered = [r for r in have if grams[r[1]] is not None]
+    assert len(lettered) == sum(any(c.isalpha() for c in r[1] or "") for r in have)
+    count = collections.Counter(int(g) for r in lettered if r[2] for g in grams[r[1]])  # one language is labelled
+    total = sum(count.values()) + language_mix.SMOOTHING * language_mix.GRAMS
+    gain = lambda r: np.mean([np.log((count[int(g)] + language_mix.SMOOTHING) / total * language_mix.GRAMS)
+                              for g in grams[r[1]]])
+    kept = [r for r in lettered if gain(r) > 0]
+    assert {r[0] for r in have if len(ws(r[1])) > 50} <= {r[0] for r in kept}
+    now = C.identify_language(spark, now, "")
+    assert now.columns == docs.columns and sorted(map(tuple, now.collect()), key=str) == sorted(kept, key=str)
+
+    best = {}
+    for r in kept:
+        if low(r[1]) not in best or (r[0] is not None and (best[low(r[1])][0] is None or r[0] > best[low(r[1])][0])):
+            best[low(r[1])] = r
+    now = C.drop_exact(spark, now, "")
+    key = lambda rs: sorted(((r[0], low(r[1])) for r in rs), key=str)
+    assert now.columns == docs.columns and key(map(tuple, now.collect())) == key(best.values())
+
+    left = [tuple(r) for r in now.collect()]
+    sets = {r[0]: [] for r in left}
+    for r in left:
+        sets[r[0]].append(shingles(r[1], 5))
+    least = {i: i for i in sets if i is not None}
+    for _ in least:
+        for a in least:
+            for b in least:
+                if any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    want = [r for r in left if r[0] is None or least[r[0]] == r[0]]
+    assert 0 < len(left) - len(want)
+    now = C.drop_near(spark, spark.createDataFrame(left, docs.schema), "")
+    assert now.columns == docs.columns and sorted(map(tuple, now.collect()), key=str) == sorted(want, key=str)
+
+    served = [tuple(r) for r in C.mix_sources(spark, now, "").collect()]
+    times = collections.Counter(served)
+    assert set(times) <= set(want) and max(times.values()) <= 2 and len(served) > 0
+    again = C.mix_sources(spark, spark.createDataFrame(want, docs.schema), "").collect()
+    assert collections.Counter(map(tuple, again)) == times
+    taken, size = collections.Counter(), collections.Counter()
+    for r in want:
+        size[r[3]] += len(ws(r[1]))
+        taken[r[3]] += times[r] * len(ws(r[1]))
+    target = {r["source"]: r["target"] for r in fair_queue.mix(now).collect()}
+    longest = max(len(ws(r[1])) for r in want)
+    assert all(abs(taken[x] - target[x]) <= longest for x in size if size[x])
+
+    enc = subword.encoder("word_bpe_49k.json")
+    pieces = collections.Counter()
+    for r in served:
+        ids = np.array(enc.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        for start in range(0, len(ids), 4096):
+            pieces[r[0], start // 4096, len(ids[start:start + 4096]), zlib.crc32(ids[start:start + 4096].tobytes())] += 1
+    packed = C.pack(spark, spark.createDataFrame(served, docs.schema), "").collect()
+    assert collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed) == pieces
+    whole = collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in C.run(spark, str(tmp_path)).collect())
+    assert whole == pieces
+
+    for _, stage in C.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    unlabelled = C.identify_language(spark, table.withColumn("lang", F.lit(None).cast("string")), "")
+    assert unlabelled.count() == len(lettered)
+
+
 def test_an_id_with_two_texts_links_the_near_copies_of_both(spark):
     from placerank.llm import setsketch
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
