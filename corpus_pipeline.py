@@ -27,6 +27,8 @@ from placerank.llm.common import read_table, saved
 ORACLE_SQL = None
 #: Words of a shingle and least similarity of the stage; the query of operator 5 has its own.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+#: Bounds of the encoder's memory: here it lives beside a heap that four stages have filled.
+PACK_BYTES, PACK_REMEMBERED = 1 << 20, 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of at most 4,096 tokens, with its sequence and its place there. A null
     text has its end id only; repeated rows are documents of their own; other columns are dropped."""
-    return packing.packed_documents(docs)
+    return packing.packed_documents(docs, most_bytes=PACK_BYTES, most_remembered=PACK_REMEMBERED)
 
 
 STAGES = [("language ID", identify_language), ("exact dedup", drop_exact), ("near dedup", drop_near),
