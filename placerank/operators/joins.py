@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
+from ..session import cut_lineage
 
 EARTH_RADIUS_M = 6371000.0
 METERS_PER_DEG = math.pi * EARTH_RADIUS_M / 180.0
@@ -63,12 +66,71 @@ def heavy_join(left: DataFrame, right: DataFrame, on, how: str = "inner", share:
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def contained_names(texts: DataFrame, key: str, c: str, names: DataFrame, name: str, size: int = 3) -> DataFrame:
+def _finder(words: list[str]):
+    """Function that names those of the distinct ``words`` that a text (UTF-8) holds. The first 8 bytes
+    at every place, as one number, are looked up in a table of the words' beginnings for each length."""
+    filed: dict[int, dict] = {}
+    for word in words:
+        own = word.encode()
+        filed.setdefault(min(len(own), 8), {}).setdefault(int.from_bytes(own[:8], "big"), []).append((own, word))
+    odd, tables = np.uint64(0x9E3779B97F4A7C15), {}
+    for n, known in filed.items():
+        codes, likely = np.array(sorted(known), dtype=np.uint64), np.zeros(1 << 18, bool)
+        likely[codes * odd >> np.uint64(46)] = True
+        tables[n] = codes, [known[x] for x in codes.tolist()], likely
+
+    def find(text: bytes) -> list[str]:
+        raw, out = np.frombuffer(text, np.uint8).astype(np.uint64), []
+        code = raw
+        for n in range(1, min(max(tables, default=0), len(raw)) + 1):
+            code = code[:-1] << np.uint64(8) | raw[n - 1:] if n > 1 else code
+            if n in tables:
+                codes, own, likely = tables[n]
+                met = code[likely[code * odd >> np.uint64(46)]]
+                at = np.minimum(np.searchsorted(codes, met), len(codes) - 1)
+                for i in np.unique(at[codes[at] == met]).tolist():
+                    out += [word for b, word in own[i] if len(b) <= 8 or b in text]
+        return out
+    return find
+
+
+def _holding(filed: list, key: str, name: str):
+    """For Arrow batches (key, text, repeated): the names that each text holds. ``filed``: (name, its
+    gram). Of a repeated key also the names of which it holds the gram only."""
+    def run(batches):
+        by_gram: dict[str, list] = {}
+        for own, gram in filed:
+            by_gram.setdefault(gram, []).append(own)
+        names_in, grams_in = _finder([own for own, _ in filed]), _finder(list(by_gram))
+
+        def rows(batch):
+            at, found, held = [], [], []
+            for row, (text, again) in enumerate(zip(batch.column("_text"), batch.column("_repeated").to_pylist())):
+                text = text.as_buffer().to_pybytes()
+                own = names_in(text)
+                rest = [x for gram in grams_in(text) for x in by_gram[gram]] if again else []
+                rest = [*set(rest).difference(own)]
+                at += [row] * (len(own) + len(rest))
+                found += own + rest
+                held += [True] * len(own) + [False] * len(rest)
+            at = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(key).take(at), pa.array(found, pa.string()), pa.array(held, pa.bool_()),
+                                               batch.column("_repeated").take(at)], names=[key, name, "_held", "_repeated"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                yield rows(batch.slice(start, 500))
+    return run
+
+
+def contained_names(texts: DataFrame, key: str, c: str, names: DataFrame, name: str, size: int = 3,
+                    small: int = BROADCAST_LIMIT // 8) -> DataFrame:
     """(key, name): which of the distinct ``names`` (a table of any size) each text holds.
 
     A name is filed under the gram of ``size`` characters that fewest names share (a shorter
     name under itself); a text is looked up by its distinct grams, and what meets is verified
-    by a search in the text. ``key`` must be unique. Blank names are in no text.
+    by a search in the text. Names of up to ``small`` bytes go to every task, which looks up and
+    searches a text where it reads it; only more names are met by a join of the grams of the texts.
+    ``key`` must be unique. Blank names are in no text.
     """
     def grams(t, n):
         # all places in one pass; taking substrings by place would read the text from its start each time
@@ -77,11 +139,25 @@ def contained_names(texts: DataFrame, key: str, c: str, names: DataFrame, name:
     filed = listed.select("_name", F.explode(F.when(F.length("_name") >= size, grams(F.col("_name"), size)).otherwise(F.array("_name"))).alias("_gram"))
     common = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_shared"))
     rarest = filed.join(common, "_gram").groupBy("_name").agg(F.min(F.struct("_shared", "_gram")).alias("_g")).select("_name", F.col("_g._gram").alias("_gram"))
+    rarest = cut_lineage(rarest)
     text = F.coalesce(F.col(c).cast("string"), F.lit(""))
-    own = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in range(1, size + 1)])))).alias("_gram"))
-    met = own.join(rarest, "_gram").select("_key", "_name")
-    held = texts.select(F.col(key), text.alias("_text")).join(met, F.col(key) == F.col("_key"))
-    return held.where(F.instr(F.col("_text"), F.col("_name")) > 0).select(key, F.col("_name").alias(name))
+    if not fits_broadcast(rarest, small):
+        own = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in range(1, size + 1)])))).alias("_gram"))
+        met = own.join(rarest, "_gram").select("_key", "_name")
+        held = texts.select(F.col(key), text.alias("_text")).join(met, F.col(key) == F.col("_key"))
+        return held.where(F.instr(F.col("_text"), F.col("_name")) > 0).select(key, F.col("_name").alias(name))
+    again = cut_lineage(texts.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", F.lit(True).alias("_again")))
+    read = texts.select(F.col(key), text.alias("_text")).where(F.col(key).isNotNull()) \
+        .join(maybe_broadcast(again), F.col(key) == F.col("_key"), "left") \
+        .select(key, "_text", F.coalesce("_again", F.lit(False)).alias("_repeated"))
+    schema = read.select(key, F.lit("").alias(name), F.lit(True).alias("_held"), "_repeated").schema
+    found = read.mapInArrow(_holding([tuple(r) for r in rarest.collect()], key, name), schema)
+    if again.isEmpty():
+        return found.select(key, name)
+    # as in the join: each text of a repeated key meets the grams of all its texts
+    times = found.where("_repeated").groupBy(key, name).agg((F.count(F.lit(1)) * F.count_if("_held")).alias("_n")).where("_n > 0")
+    times = times.select(key, name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i")).select(key, name)
+    return found.where("NOT _repeated").select(key, name).unionByName(times)
 
 
 def join_all(dfs: list[DataFrame], key, how: str = "inner", fill=None) -> DataFrame:

@@ -47,6 +47,19 @@ def test_many_names(spark):
     assert pairs(got) == sorted(set(want), key=repr)
 
 
+def test_few_names_are_found_where_the_texts_are_read(spark):
+    """No gram of a text is shuffled; the rows are those of the join, also for keys that repeat or are null."""
+    rng = random.Random(5)
+    texts = [(rng.choice([None, *range(60)]), "".join(rng.choice("abcd éè") for _ in range(rng.randint(0, 60)))) for _ in range(150)] + [(900, None)]
+    names = ["".join(rng.choice("abcd éè") for _ in range(rng.randint(1, 12))) for _ in range(300)] + [t[3:18] for _, t in texts[:40]]
+    args = spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([(n,) for n in names], "name string"), "name"
+    got, met = joins.contained_names(*args), joins.contained_names(*args, small=0)
+    assert pairs(got) == pairs(met) and len(pairs(met)) > 1000
+    single = joins.contained_names(args[0].where("id = 900").unionByName(spark.createDataFrame([(1, "abcd")], "id int, t string")), *args[1:])
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+
+
 def near(rows, k):
     out = []
     for g in {r[0] for r in rows}:
