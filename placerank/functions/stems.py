@@ -58,14 +58,15 @@ def any_stem(words: list[str]) -> str | None:
     return tree_regex(prefix_tree(words)) if words else None
 
 
-def _marked(t: Column, find: str, w: int, reach: int, whole: bool) -> Column:
+def _marked(t: Column, find: str, w: int, reach: int, whole: bool, first: str = "") -> Column:
     """Hits as ``before SEP stem SEP from the stem on``: found by look-ahead, or one after the other
-    when ``whole`` (the stem is taken away from the text that is left to search)."""
+    when ``whole`` (the stem is taken away from the text that is left to search). ``first``: the
+    characters that a stem may begin with, so that most places are left at once."""
     before = f"(?<=(^.{{0,{w - 1}}}|.{{{w}}}))" if w else "()"
     if whole:
         pattern, put = f"(?s)(?=({find})){before}(?=(.{{0,{reach}}}))(?:{find}){_WIDE}", "$1"
     else:
-        pattern, put = f"(?s)(?=({find})){before}(?=(.{{0,{reach}}})){_WIDE}", ""
+        pattern, put = f"(?s)(?=[{first}])(?=({find})){before}(?=(.{{0,{reach}}})){_WIDE}", ""
     marked = F.regexp_replace(t, pattern, f"{_OPEN}$2{_SEP}$1{_SEP}$3{_CLOSE}{put}")
     return F.regexp_extract_all(marked, F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
 
@@ -89,7 +90,8 @@ def stem_hits(t: Column, stems: list[str], w: int) -> Column:
     if plain:
         within = {s: [p for p in plain if s.startswith(p)] for s in plain}
         known = F.create_map(*[x for s, own in within.items() for x in (F.lit(s), F.array(*map(F.lit, own)))])
-        found = _marked(clean, tree_regex(prefix_tree(plain)), w, max(map(len, plain)) + w, False)
+        found = _marked(clean, tree_regex(prefix_tree(plain)), w, max(map(len, plain)) + w, False,
+                        "".join(sorted({s[0] if s[0].isalnum() else "\\" + s[0] for s in plain})))
 
         def spread(h: Column) -> Column:
             part = F.split(h, _SEP, -1)

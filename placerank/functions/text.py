@@ -186,9 +186,7 @@ def clean_hangul(c: Column | str, ads: list[str] | None = None, bans: list[str]
 
 def normalise_informal(c: Column | str) -> Column:
     """TX3: lower, laughter runs → space, !!→!, ??→?, symbols → space, squeeze."""
-    t = F.lower(F.trim(_c(c).cast("string")))
-    t = F.regexp_replace(t, "(ㅋ|ㅎ){2,}", " ")
-    t = F.regexp_replace(t, "!{2,}", "!")
-    t = F.regexp_replace(t, r"\?{2,}", "?")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}_ \t\n\r\f가-힣!?.,]", " ")
-    return squeeze(t)
+    # few passes over the text: what becomes white space goes at once, the runs of it that touch after
+    t = F.regexp_replace(F.lower(_c(c).cast("string")), r"[^a-z\p{L}\p{N}_가-힣!?.,]+|[ㅋㅎ]{2,}", " ")
+    t = F.regexp_replace(t, r"(?<=!)!+|(?<=\?)\?+", "")
+    return F.trim(F.regexp_replace(t, " {2,}", " "))

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.stems import any_stem, stem_hits
 from ..functions.text import normalise_informal, regex_escape
-from .joins import heavy_join
+from ..session import cut_lineage
+from .joins import BROADCAST_LIMIT, fits_broadcast, heavy_join
 
 WS_CLASS = "[ \t\n\r\f]"
 # Negation markers searched around a positive stem (TX9).
@@ -241,6 +242,7 @@ def top_keyword_idf(counts: DataFrame, entity: str, entities: DataFrame | None =
     """TX13: per bucket, smoothed idf ln((N+1)/(df+1)) + 1 over the entities that have
     any count in that bucket; per entity and bucket the word with the highest
     tf·idf, then tf, then word. Entities without counts get ``none_label``."""
+    counts = cut_lineage(counts)  # read three times, a row for each entity and word; made from the texts
     n = counts.groupBy("bucket").agg(F.countDistinct(entity).alias("_N"))
     dfc = counts.groupBy("bucket", "word").agg(F.countDistinct(entity).alias("_df"))
     idf = dfc.join(n, "bucket").withColumn("idf", F.log((F.col("_N") + 1) / (F.col("_df") + 1)) + 1.0)
@@ -259,18 +261,20 @@ def top_keyword_idf(counts: DataFrame, entity: str, entities: DataFrame | None =
 def cooccurring_token(df: DataFrame, entity: str, c: str, keywords: DataFrame, kw_col: str,
                       w: int = 40, token_pattern: str = "[가-힣]{2,}", stop: list[str] | None = None,
                       drop_suffixes: list[str] | None = None, none_label: str = "—",
-                      out: str = "co_token") -> DataFrame:
+                      out: str = "co_token", small: int = BROADCAST_LIMIT // 8) -> DataFrame:
     """TX14: around every hit of the entity's keyword stem (±``w`` characters, clipped)
     collect tokens (suffix- and stop-filtered), drop the stem and the keyword, and
     return the most frequent token (ties by token) or ``none_label``."""
     stop = stop or []
     suffixes = NOUN_DROP_SUFFIXES if drop_suffixes is None else drop_suffixes
     t = normalise_informal(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    keywords = cut_lineage(keywords)  # read twice, a row for each entity; made from the texts
     kw = keywords.select(entity, F.col(kw_col).alias("_kw")).filter(F.col("_kw") != none_label)
     kw = kw.withColumn("_stem", F.when(F.col("_kw").endswith("다") & (F.length("_kw") >= 2),
                                        F.expr("substring(_kw, 1, length(_kw) - 1)")).otherwise(F.col("_kw")))
     docs = pin(df.select(entity, c), _nt=t).select(entity, "_nt")
-    docs = heavy_join(docs, kw, entity)  # one entity may hold most documents
+    # one entity may hold most documents; only when the entities are too many do texts go to their keyword
+    docs = docs.join(F.broadcast(kw), entity) if fits_broadcast(keywords, small) else heavy_join(docs, kw, entity)
     nt, stem = F.col("_nt"), F.col("_stem")
     pieces = F.split(nt, F.concat(F.lit("\\Q"), stem, F.lit("\\E")), -1)
     docs = pin(docs, _starts=starts_from_pieces(pieces, F.length(stem)))

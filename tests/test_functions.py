@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,18 @@ def test_cleaners(spark):
     assert web == ["hi soo good day"]
     inf = one(spark, normalise_informal("x"), [("  WOW!!! 진짜ㅋㅋㅋ 좋아?? #태그 ",)])
     assert inf == ["wow! 진짜 좋아? 태그"]
+
+
+def test_informal_in_few_passes(spark):
+    """The passes of the definition, one after the other, give the same text; long runs are safe."""
+    def plain(x):
+        x = re.sub("(ㅋ|ㅎ){2,}", " ", x.lower().strip(" "))
+        x = re.sub(r"\?{2,}", "?", re.sub("!{2,}", "!", x))
+        x = re.sub(r"[^\w \t\n\r\f!?.,]", " ", x)
+        return re.sub("[ \t\n\r\f]+", " ", x).strip(" ")
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB1ㅋㅎㅋ좋é!!??#~ \t\n\x0b 😀_.,") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += ["", "ㅋ#ㅋ", "!#!", "#" * 20000 + "a" + " " * 20000, "ㅋ" * 20000 + "b" + "!" * 20000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r[0]: r[1] for r in rows.select("i", normalise_informal("x")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
