@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.text import norm_key
 from ..session import cut_lineage
@@ -22,6 +23,9 @@ EARTH_RADIUS_M = 6371000.0
 METERS_PER_DEG = math.pi * EARTH_RADIUS_M / 180.0
 # Small-side size bound (bytes) under which an explicit broadcast is allowed.
 BROADCAST_LIMIT = 64 * 1024 * 1024
+PAIR_ROWS = 4096       # rows of each side of a cell that one task call holds against each other, on average
+PAIR_CELLS = 1 << 18   # distances that it holds at once
+GROUPS = 16            # right-side groups that it sums at once
 
 
 def _cols(x) -> list:
@@ -289,6 +293,27 @@ def _ring_cell(lng: Column, n: Column) -> Column:
     return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * n), n - 1).cast("long")
 
 
+def _to_cells(left: DataFrame, right: DataFrame, radius_m: float, left_lat: str, left_lng: str, right_lat: str,
+              right_lng: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the grid cell (_ci, _cj) in which they meet; left rows once for each cell around theirs."""
+    reach = radius_m / METERS_PER_DEG * (1 + 1e-9)
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+
+    def band(lat):
+        return F.floor(F.col(lat).cast("double") / reach).cast("long")
+
+    l = (left.withColumn("_ci", F.explode(F.transform(around, lambda d: band(left_lat) + d)))
+         .withColumn("_n", _ring_cells(F.col("_ci"), reach))
+         .withColumn("_cj", _ring_cell(F.col(left_lng).cast("double"), F.col("_n")))
+         .withColumn("_cj", F.explode(F.array_distinct(
+             F.transform(around, lambda d: F.pmod(F.col("_cj") + d, F.col("_n"))))))
+         .drop("_n"))
+    r = (right.filter(F.col(right_lat).isNotNull() & F.col(right_lng).isNotNull())
+         .withColumn("_ci", band(right_lat))
+         .withColumn("_cj", _ring_cell(F.col(right_lng).cast("double"), _ring_cells(F.col("_ci"), reach))))
+    return l, r
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
                 left_lat: str = "lat", left_lng: str = "lng", right_lat: str = "lat",
                 right_lng: str = "lng", max_abs_lat: float | None = None, dist_out: str = "dist_m",
@@ -305,21 +330,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
     from earlier callers; the grid fits every latitude without it.
     Column names of the two sides must not clash (prefix them first).
     """
-    reach = radius_m / METERS_PER_DEG * (1 + 1e-9)
-    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-
-    def band(lat):
-        return F.floor(F.col(lat).cast("double") / reach).cast("long")
-
-    l = (left.withColumn("_ci", F.explode(F.transform(around, lambda d: band(left_lat) + d)))
-         .withColumn("_n", _ring_cells(F.col("_ci"), reach))
-         .withColumn("_cj", _ring_cell(F.col(left_lng).cast("double"), F.col("_n")))
-         .withColumn("_cj", F.explode(F.array_distinct(
-             F.transform(around, lambda d: F.pmod(F.col("_cj") + d, F.col("_n"))))))
-         .drop("_n"))
-    r = (right.filter(F.col(right_lat).isNotNull() & F.col(right_lng).isNotNull())
-         .withColumn("_ci", band(right_lat))
-         .withColumn("_cj", _ring_cell(F.col(right_lng).cast("double"), _ring_cells(F.col("_ci"), reach))))
+    l, r = _to_cells(left, right, radius_m, left_lat, left_lng, right_lat, right_lng)
     if broadcast_left is None:
         # the estimate does not see that every row is copied up to nine times
         broadcast_left = fits_broadcast(left, BROADCAST_LIMIT // 9)
@@ -329,26 +340,120 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *,
     return j.withColumn(dist_out, d).filter(F.col(dist_out) <= radius_m)
 
 
+def _distances(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
+    """``haversine_m`` of all pairs, from radians."""
+    a = np.sin((lat2 - lat1[:, None]) / 2) ** 2 + np.cos(lat1)[:, None] * np.cos(lat2) * np.sin((lng2 - lng1[:, None]) / 2) ** 2
+    return 2.0 * EARTH_RADIUS_M * np.arcsin(np.sqrt(a))
+
+
+def _summing(key: list[str], by: list[str], radii: list[float]):
+    """Function of places (key, _lat, _lng) and of points (by, _lat, _lng, _n, _w) that share a cell, one row for each
+    spot and group, to the sums of each place and group with a point in the largest radius. A distance is
+    computed once for all groups of a spot."""
+    widest = int(np.argmax(radii))
+    margin = max(radii) / EARTH_RADIUS_M * (1 + 1e-9)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(np.argsort(left.column("_lat").to_numpy(), kind="stable"))
+        lat, lng = (np.radians(left.column(c).to_numpy()) for c in ("_lat", "_lng"))
+        spots, spot = np.unique(np.stack([right.column(c).to_numpy() for c in ("_lat", "_lng")], axis=1), axis=0, return_inverse=True)
+        spot_lat, spot_lng, spot = *np.radians(spots.T), spot.ravel()
+        group = np.zeros(len(spot), dtype=np.int64)
+        for c in by:
+            own = right.column(c).combine_chunks().dictionary_encode("encode")
+            group = np.unique(group * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+        first = np.unique(group, return_index=True)[1]
+        order = np.argsort(group, kind="stable")
+        n, w = (right.column(c).fill_null(0).to_numpy().astype(np.float64) for c in ("_n", "_w"))
+        slabs = []
+        for g in range(0, len(first), GROUPS):
+            size = min(GROUPS, len(first) - g)
+            rows = order[slice(*np.searchsorted(group[order], [g, g + size]))]
+            held, at = np.unique(spot[rows], return_inverse=True)
+            at, odd = at * size + group[rows] - g, ~np.isfinite(w[rows])
+            table = [np.bincount(at, weights=x, minlength=len(held) * size).reshape(len(held), size)
+                     for x in (n[rows], np.where(odd, 0.0, w[rows]))]
+            slabs.append((g, size, held, np.concatenate(table, axis=1),
+                          [(spot[i], group[i] - g, w[i]) for i in rows[odd].tolist()]))
+        out: list[list] = [[] for _ in range(2 + 3 * len(radii))]
+        step = max(1, PAIR_CELLS // max(1, len(spots)))
+        for a in range(0, len(lat), step):
+            b = min(a + step, len(lat))
+            lo, hi = np.searchsorted(spot_lat, [lat[a] - margin, lat[b - 1] + margin])
+            if lo >= hi:
+                continue
+            every = _distances(lat[a:b], lng[a:b], spot_lat[lo:hi], spot_lng[lo:hi])
+            for g, size, held, table, odd in slabs:
+                i, j = np.searchsorted(held, [lo, hi])
+                d = every if j - i == hi - lo else every[:, held[i:j] - lo]
+                sums = []
+                for r in radii:
+                    inside = d <= r
+                    both, far = inside.astype(np.float64) @ table[i:j], np.where(inside, d, 0.0) @ table[i:j, size:]
+                    for s, k, x in odd:  # NaN and infinite weights count only where they are in reach
+                        if lo <= s < hi:
+                            met = every[:, s - lo] <= r
+                            both[met, size + k] += x
+                            far[met, k] += x * every[met, s - lo]
+                    sums += [both[:, :size], both[:, size:], far]
+                p, k = np.nonzero(sums[3 * widest])
+                for o, x in zip(out, [p + a, first[g + k], *[x[p, k] for x in sums]]):
+                    o.append(x)
+        p, k, *sums = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.table({**{c: left.column(c).take(pa.array(p.astype(np.int64))) for c in key},
+                         **{c: right.column(c).take(pa.array(k.astype(np.int64))) for c in by},
+                         **{f"{('_n', '_w', '_wd')[i % 3]}_{i // 3}": x.astype(np.float64 if i % 3 else np.int64)
+                            for i, x in enumerate(sums)}})
+    return run
+
+
+def radius_sums(places: DataFrame, points: DataFrame, key, radii: list[float], weight: str, *, by_right=None,
+                place_lat="lat", place_lng="lng", point_lat="p_lat", point_lng="p_lng") -> DataFrame:
+    """Per place and right-side group with a point in the largest radius: points (_n_0, ...), Σ weight (_w_0, ...) and
+    Σ weight · distance (_wd_0, ...) within each radius.
+
+    The sums of all pairs of ``radius_join``, on its grid, but no pair becomes a row: points at one spot are
+    summed first, and a task takes up to ``PAIR_ROWS`` places and as many spots of a cell (more are
+    dealt over several tasks) and sums over blocks of exact distances. So the distances grow with the places times
+    the distinct spots around them, and what is shuffled with the places and the cells that they reach.
+    """
+    key, by = _cols(key), _cols(by_right)
+    cell = ["_ci", "_cj"]
+    own = places.select(*key, F.col(place_lat).cast("double").alias("_lat"), F.col(place_lng).cast("double").alias("_lng"))
+    spots = points.where(F.col(point_lat).isNotNull() & F.col(point_lng).isNotNull()) \
+        .groupBy(F.col(point_lat).cast("double").alias("_lat"), F.col(point_lng).cast("double").alias("_lng"), *by) \
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(weight).cast("double")).alias("_w"))
+    l, r = _to_cells(own, spots, max(radii), "_lat", "_lng", "_lat", "_lng")
+
+    def sized(df, out):
+        return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias(out))
+
+    # cells that hold both sides; blocks of each
+    sizes = maybe_broadcast(cut_lineage(sized(l, "_lb").join(sized(r, "_rb"), cell)))
+
+    def dealt(df, block, other, cols):
+        return df.join(sizes, cell).withColumn(block, F.pmod(F.xxhash64(*cols), F.col(block)).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    met = [*cell, "_lb", "_rb"]
+    schema = StructType([*places.select(*key).schema, *points.select(*by).schema, *[
+        StructField(f"{c}_{i}", t) for i in range(len(radii)) for c, t in (("_n", LongType()), ("_w", DoubleType()), ("_wd", DoubleType()))]])
+    sums = dealt(l, "_lb", "_rb", [*key, "_lat", "_lng"]).groupBy(*met).cogroup(
+        dealt(r, "_rb", "_lb", ["_lat", "_lng"]).groupBy(*met)).applyInArrow(_summing(key, by, [float(x) for x in radii]), schema)
+    return sums.groupBy(*key, *by).agg(*[F.sum(f.name).alias(f.name) for f in schema if f.name not in key + by])
+
+
 def weighted_distance(places: DataFrame, points: DataFrame, key, radii: list[float], weight: str,
                       *, by_right=None, place_lat="lat", place_lng="lng", point_lat="p_lat",
                       point_lng="p_lng") -> DataFrame:
     """AG7 after JN5: per place (and right-side group such as a date) and radius:
     points in radius, Σ weight, weight-averaged distance (missing when Σw is 0; the
-    point count is then reported as 0). One join at the largest radius serves all
+    point count is then reported as 0). One pass at the largest radius (``radius_sums``) serves all
     radii; places without a hit appear with zeros.
     """
     key, by_right = _cols(key), _cols(by_right)
-    rmax = max(radii)
-    pairs = radius_join(places, points, rmax, left_lat=place_lat, left_lng=place_lng,
-                        right_lat=point_lat, right_lng=point_lng)
-    aggs = []
-    for i, r in enumerate(radii):
-        inr = F.col("dist_m") <= r
-        w = F.col(weight).cast("double")
-        aggs += [F.sum(F.when(inr, F.lit(1)).otherwise(F.lit(0))).alias(f"_n_{i}"),
-                 F.sum(F.when(inr, w)).alias(f"_w_{i}"),
-                 F.sum(F.when(inr, w * F.col("dist_m"))).alias(f"_wd_{i}")]
-    wide = pairs.groupBy(*key, *by_right).agg(*aggs)
+    wide = radius_sums(places, points, key, radii, weight, by_right=by_right, place_lat=place_lat, place_lng=place_lng,
+                       point_lat=point_lat, point_lng=point_lng)
     long = wide.select(*key, *by_right, F.explode(F.array(*[
         F.struct(F.lit(r).cast("double").alias("radius_m"), F.col(f"_n_{i}").alias("_n"),
                  F.col(f"_w_{i}").alias("_w"), F.col(f"_wd_{i}").alias("_wd")) for i, r in enumerate(radii)])).alias("s"))

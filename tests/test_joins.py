@@ -1,9 +1,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from placerank.operators import joins
 from placerank.operators.joins import (EARTH_RADIUS_M, append_missing, bridge_mean, coalesce_from,
                                        complete_domain, cross_terms, join_all, radius_join, resolve_alias,
                                        weighted_distance)
@@ -62,6 +64,61 @@ def test_weighted_distance_semantics(spark):
     assert z["n_points"] == 0 and z["weighted_dist_m"] is None  # no weight: reported as zero points
 
 
+def test_radius_sums_equal_all_pairs(spark, monkeypatch):
+    """Cells cut into many blocks, more groups than are summed at once, null, NaN and infinite weights, null groups."""
+    monkeypatch.setattr(joins, "PAIR_ROWS", 7)
+    rnd = random.Random(3)
+    places = [(i % 50, rnd.uniform(-0.03, 0.03), (rnd.uniform(179.97, 180.03) + 180) % 360 - 180) for i in range(60)] + [(77, None, 1.0)]
+    spots = [(rnd.uniform(-0.03, 0.03), (rnd.uniform(179.97, 180.03) + 180) % 360 - 180) for _ in range(90)]
+    odd = {5: None, 6: float("nan"), 7: float("inf")}
+    points = [(rnd.choice([None, *range(20)]), *spots[i % 90], odd.get(i, rnd.random())) for i in range(600)] + [(1, None, 2.0, 1.0)]
+    radii = [700.0, 2000.0, 1500.0]
+    got = joins.radius_sums(spark.createDataFrame(places, "k int, lat double, lng double"),
+                            spark.createDataFrame(points, "g int, p_lat double, p_lng double, w double"), "k", radii, "w", by_right="g").collect()
+    want: dict = {}
+    for k, la, lo in places:
+        for g, pa_, po, w in points:
+            d = hav(la, lo, pa_, po) if la is not None and pa_ is not None else math.inf
+            if d <= 2000.0:
+                sums = want.setdefault((k, g), [0, 0.0, 0.0] * 3)
+                for i, r in enumerate(radii):
+                    if d <= r:
+                        sums[3 * i] += 1
+                        sums[3 * i + 1] += w or 0.0
+                        sums[3 * i + 2] += (w or 0.0) * d
+    assert len(got) == len(want) > 100
+    for r in got:
+        assert list(r[2:]) == pytest.approx(want[r["k"], r["g"]], rel=1e-9, nan_ok=True)
+
+
+def test_radius_sums_take_each_distance_once(monkeypatch):
+    """50 places and 5,000 points of 5 groups at 40 spots: 2,000 distances, not 250,000."""
+    taken, own = [], joins._distances
+    monkeypatch.setattr(joins, "_distances", lambda *x: taken.append(len(x[0]) * len(x[2])) or own(*x))
+    left = pa.table({"k": list(range(50)), "_lat": [37.5] * 50, "_lng": [127.0] * 50})
+    right = pa.table({"g": [i % 5 for i in range(200)], "_lat": [37.5 + i // 5 * 1e-5 for i in range(200)], "_lng": [127.0] * 200,
+                      "_n": [25] * 200, "_w": [1.0] * 200})
+    out = joins._summing(["k"], ["g"], [1000.0])(left, right)
+    assert out.num_rows == 250 and set(out.column("_n_0").to_pylist()) == {1000} and sum(taken) == 2000
+
+
+def test_weighted_distance_makes_no_row_of_a_pair(spark):
+    """300 places and 3,000 points at one spot are 900,000 pairs; no operator of the plan gives out as many rows."""
+    places = spark.range(300).selectExpr("id AS k", "37.5D AS lat", "127.0D AS lng")
+    points = spark.range(3000).selectExpr("37.5D AS p_lat", "127.0D AS p_lng", "1.0D AS w")
+    out = weighted_distance(places, points, "k", [500.0], "w")
+    assert {r["n_points"] for r in out.collect()} == {3000}
+
+    def most(plan):
+        name, sub = plan.getClass().getSimpleName(), plan.children()
+        own = plan.metrics().get("numOutputRows")
+        below = [sub.apply(i) for i in range(sub.size())]
+        below += [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+        return max([own.get().value() if own.isDefined() else 0, *map(most, below)])
+
+    assert most(out._jdf.queryExecution().executedPlan()) < 50_000
+
+
 def test_domain_bridge_append(spark):
     dim = spark.createDataFrame([(k,) for k in range(5)], "k int")
     s = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 10.0), (9, 4.0)], "k int, score double")
