@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .buckets import Field, resolve_keys, shared_buckets
-from .common import bounded_batches, saved, small_side
+from .common import bounded_batches, saved, settled, small_side
 from .shingles import _SPACE, _views, mix, texts_shingles
 
 SHINGLE, SPREAD, WORDS = 5, 30, 22
@@ -272,6 +272,10 @@ class GramField(Field):
 def clusters(docs: DataFrame) -> DataFrame:
     """Stored (doc, place, words, line, digest, cluster) of the paragraphs that meet another."""
     bounded_batches(docs.sparkSession)
+    return settled(lambda: _clusters(docs), "clusters")
+
+
+def _clusters(docs: DataFrame) -> DataFrame:
     hits = meeting_paragraphs(docs)
     members = hits.where("key IS NOT NULL").select("key", F.col("digest").alias("node")).distinct()
     shared = shared_buckets(members)
@@ -290,8 +294,8 @@ def clusters(docs: DataFrame) -> DataFrame:
 
     label = resolve_keys(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
     places = hits.groupBy("digest", "doc", "place", "words").agg(F.max("line").alias("line"))
-    return saved(places.join(label, F.col("digest") == F.col("_n"), "left").select(
-        "doc", "place", "words", "line", "digest", F.coalesce("component", "digest").alias("cluster")), "clusters")
+    return places.join(label, F.col("digest") == F.col("_n"), "left").select(
+        "doc", "place", "words", "line", "digest", F.coalesce("component", "digest").alias("cluster"))
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -316,8 +320,12 @@ def _spans(found: pa.Array) -> pa.Array:
 
 def _places(grams: np.ndarray, units: list) -> list[tuple]:
     """(cluster, place, words, line) of the paragraphs that this text really holds; an id may have several texts."""
-    return [(u["cluster"], u["place"], u["words"], u["line"]) for u in units if u["place"] + u["words"] - SHINGLE < len(grams)
-            and int(digest(grams[None, u["place"]:u["place"] + u["words"] - SHINGLE + 1])[0]) == u["digest"]]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams), dtype=np.uint64)])
+    at = np.array([u["place"] for u in units])
+    end = at + np.array([u["words"] for u in units]) - SHINGLE + 1
+    own = mix(sums[np.minimum(end, len(grams))] - sums[np.minimum(at, len(grams))]).astype(np.int64)  # as ``digest``
+    held = (end <= len(grams)) & (own == np.array([u["digest"] for u in units]))
+    return [(u["cluster"], u["place"], u["words"], u["line"]) for u, h in zip(units, held.tolist()) if h]
 
 
 class Agreement:
@@ -345,9 +353,14 @@ def extended(a: tuple, b: tuple) -> tuple[set, set]:
     for cluster, *place in b[2]:
         own.setdefault(cluster, []).append(place)
     agreement, here, there = Agreement(a[0], b[0]), set(), set()
-    for cluster, p, n, line_a in a[2]:
+    last: dict[int, tuple] = {}  # of each shift, the stretch without a break that was added last
+    for cluster, p, n, line_a in sorted(a[2], key=lambda unit: unit[1]):
         met = line_a
         for q, m, line_b in own.get(cluster, ()):
+            low, end = last.get(p - q, (0, 0))
+            if n == m and low <= p and p + n <= end:  # all its words agree and lie in what was added
+                met = True
+                continue
             x, y = a[1][p:p + n - SHINGLE + 1], b[1][q:q + m - SHINGLE + 1]
             if n == m and np.array_equal(x, y):
                 i = k = np.array([0, n - SHINGLE])
@@ -359,7 +372,10 @@ def extended(a: tuple, b: tuple) -> tuple[set, set]:
             head, tail = int(np.argmin(i)), int(np.argmax(i))
             before = agreement.run(p + int(i[head]), q + int(k[head]))[0]
             beyond = agreement.run(p + int(i[tail]), q + int(k[tail]))[1]
-            here.add((p + int(i[head]) - before, p + int(i[tail]) + beyond))
+            low, end = p + int(i[head]) - before, p + int(i[tail]) + beyond
+            here.add((low, end))
+            if n == m and i is k:
+                last[p - q] = low, end
             if k[head] - before < k[tail] + beyond:
                 there.add((q + int(k[head]) - before, q + int(k[tail]) + beyond))
         if not met:
@@ -427,10 +443,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """One row for each document with a passage that another document repeats: doc_id,
     n_paragraphs, repeated and removed (word spans), repeated_words, removed_words, keep_ids (the
     documents that keep what is removed here)."""
-    rows = clusters(docs)
-    repeat = rows.groupBy("cluster").agg(F.min("doc").alias("keep"), F.max("doc").alias("_last")) \
-        .where("keep <> _last").select(F.col("cluster").alias("_c"), "keep")
-    found = saved(rows.join(repeat, F.col("cluster") == F.col("_c")).drop("_c"), "found")
+    def held() -> DataFrame:
+        rows = clusters(docs)
+        repeat = rows.groupBy("cluster").agg(F.min("doc").alias("keep"), F.max("doc").alias("_last")) \
+            .where("keep <> _last").select(F.col("cluster").alias("_c"), "keep")
+        return rows.join(repeat, F.col("cluster") == F.col("_c")).drop("_c")
+
+    found = settled(held, "found")
     whole = extended_spans(docs, found).select("doc", F.struct("start", "end").alias("span"), "keep",
                                                F.lit(False).alias("own"), F.lit(True).alias("used"))
     span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("words")).alias("end"))

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from placerank.llm import (exact_mph, fair_queue, language_mix, line_frequency, packing, paragraphs, secrets,
                            separator_scan, setsketch, subword, token_files)
 from placerank.llm import queries as Q
+from placerank.llm.shingles import mix, ngrams
+from placerank.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _n string, _c string, component string"
@@ -149,6 +152,28 @@ def test_paragraphs(docs, empty):
     assert paragraphs.repeats(empty).count() == 0
 
 
+def test_copied_stretch_is_extended_once(monkeypatch):
+    """A passage of 300 words held as 40 windows, each tied to its own copy, agrees along one stretch, which is walked once."""
+    words = mix(np.arange(1000, dtype=np.uint64) + np.uint64(5))
+    calls, own = [], paragraphs.Agreement.run
+    monkeypatch.setattr(paragraphs.Agreement, "run", lambda *x: calls.append(x[1:]) or own(*x))
+    a, b = np.concatenate([words[:50], words[600:900], words[50:90]]), np.concatenate([words[100:130], words[600:900]])
+
+    def side(text, start):
+        return text, ngrams(text, paragraphs.SHINGLE), [(i, start + 5 * i, paragraphs.WORDS, False) for i in range(40)][::-1]
+
+    assert paragraphs.extended(side(a, 50), side(b, 30)) == ({(50, 350)}, {(30, 330)})
+    assert len(calls) == 2
+
+
+def test_paragraph_tables_are_deleted(spark, docs):
+    """Of the tables that the clusters need, none is left when they are stored."""
+    before = set(Path(ensure_checkpoint_dir(spark).removeprefix("file:"), "placerank-llm").glob("*"))
+    out = paragraphs.clusters(docs)
+    left = set(Path(ensure_checkpoint_dir(spark).removeprefix("file:"), "placerank-llm").glob("*")) - before
+    assert [p.name.split("-")[0] for p in left] == ["clusters"] and out.count()
+
+
 def test_paragraphs_meet_as_whole_lines(spark):
     """All pairs of lines by brute force: 5 to 60 words, copied or with one to three words changed."""
     rnd = random.Random(11)
