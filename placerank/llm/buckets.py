@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, settled
 from .components import components
 
 BLOCK = 1024
+SMALL = 16       # nodes of a bucket compared without arrays
 BIN_ROWS = 4096  # rows of small buckets dealt to one task call, on average
 
 
@@ -45,6 +46,16 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return saved(rows.select("key", "node").join(centre, F.col("key") == F.col("_k")).drop("_k"), "buckets")
 
 
+def centred(rows: DataFrame) -> DataFrame:
+    """Like :func:`shared_buckets`, of rows (key, node, held) of which every key is known to hold several
+    nodes, ``held``; among nodes that meet as many the centre is chosen by hash."""
+    meets = rows.groupBy("node").agg(F.sum("held").alias("meets")).withColumnRenamed("node", "_n")
+    rank = F.shiftleft(F.least(F.col("meets"), F.lit(2 ** 42)), 20) + F.pmod(F.xxhash64("node"), F.lit(2 ** 20))
+    ranked = rows.join(meets.hint("merge"), F.col("node") == F.col("_n")).select("key", "node", rank.alias("rank"))
+    centre = ranked.groupBy("key").agg(F.max_by("node", "rank").alias("centre")).withColumnRenamed("key", "_k")
+    return saved(rows.select("key", "node").join(centre.hint("merge"), F.col("key") == F.col("_k")).drop("_k"), "buckets")
+
+
 class Field:
     """Nodes of one or two blocks. A subclass says which of the nodes ``js`` may be linked with
     node ``i``, likeliest first, and whether a pair is linked."""
@@ -60,14 +71,16 @@ class Field:
 
 
 def settle(rows: pd.DataFrame, field: Callable[[pd.DataFrame], Field]) -> list[tuple[int, int]]:
-    """Links that join components of the rows (node, component, block, ...), one for each node, in
-    the order of the nodes."""
+    """Links that join components of the rows (node, component, block, ...; a frame or its columns by
+    name), one for each node, in the order of the nodes."""
     own, links = field(rows), []
-    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
-    label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    if len(rows["node"]) <= SMALL:
+        return _settle_small(own, *(np.asarray(rows[c]).tolist() for c in ("node", "component", "block")))
+    node, block = np.asarray(rows["node"]), np.asarray(rows["block"])
+    label = np.unique(np.asarray(rows["component"]), return_inverse=True)[1]
     two = len(np.unique(block)) > 1
-    for i in range(len(rows) - 1):
-        js = np.arange(i + 1, len(rows))
+    for i in range(len(node) - 1):
+        js = np.arange(i + 1, len(node))
         js = js[(label[js] != label[i]) & ((block[js] != block[i]) | (not two))]
         for j in own.likely(i, js) if len(js) else ():
             if label[j] != label[i] and own.linked(i, int(j)):
@@ -76,6 +89,18 @@ def settle(rows: pd.DataFrame, field: Callable[[pd.DataFrame], Field]) -> list[t
     return links
 
 
+def _settle_small(own: Field, node: list, label: list, block: list) -> list[tuple[int, int]]:
+    """:func:`settle` without arrays: of a few nodes, all pairs that ``own`` finds likely."""
+    links, two = [], len(set(block)) > 1
+    for i in range(len(node) - 1):
+        js = [j for j in range(i + 1, len(node)) if label[j] != label[i] and not (two and block[j] == block[i])]
+        for j in own.likely(i, np.array(js)).tolist() if js else ():
+            if label[j] != label[i] and own.linked(i, j):
+                links.append((node[i], node[j]))
+                label = [label[i] if x == label[j] else x for x in label]
+    return links
+
+
 def _placed(shared: DataFrame, label: DataFrame) -> DataFrame:
     return saved(shared.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
                  .select("key", "node", "centre", F.coalesce("component", "node").alias("component")), "placed")
@@ -122,12 +147,16 @@ def resolve_keys(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payl
     pairs = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = saved(test(pairs), "links")
     label = components(links)
-    placed = _placed(shared, label)
-    # all pairs of a bucket of two nodes have been tested
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"),
-                                          F.count(F.lit(1)).alias("held")) \
-        .where("_lo <> _hi AND held > 2").select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    rows = saved(placed.select("key", "node", "component").join(open_keys.hint("merge"), "key"), "open")
+
+    def still_open() -> DataFrame:
+        placed = _placed(shared, label)
+        # all pairs of a bucket of two nodes have been tested
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"),
+                                              F.count(F.lit(1)).alias("held")) \
+            .where("_lo <> _hi AND held > 2").select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+        return placed.select("key", "node", "component").join(open_keys.hint("merge"), "key")
+
+    rows = settled(still_open, "open")
     n = rows.count()
     if not n:
         return label
@@ -141,9 +170,10 @@ def resolve_keys(shared: DataFrame, test: Callable[[DataFrame], DataFrame], payl
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "node"]).sort_values(["key", "node"], ignore_index=True)
         key, found = rows["key"].to_numpy(), []
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
         for a, b in zip(starts, [*starts[1:], len(rows)]):
-            found += settle(rows.iloc[a:b], field)
+            found += settle({c: x[a:b] for c, x in columns.items()}, field)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     more = saved(dealt.groupBy("bin", "lo", "hi").applyInPandas(meet, "a long, b long"), "links")

@@ -18,7 +18,9 @@ both sides as far as the words agree, so that a span reaches to the ends of what
 goes whole; of a window that is not equal, what lies outside its first and last common shingle stays.
 
 Equal paragraphs are one node, and a task reports each of its distinct ones once, so a passage
-held by a third of all documents reaches a bucket as one row for each batch read.
+held by a third of all documents reaches a key once for each batch read. Keys are dealt in blocks, so
+that a row of the shuffle holds what a batch has for a block, not one key. Similarity compares the
+lower 48 bits of each shingle's hash.
 
 Defined cases: null and empty texts and lines of fewer than ``SHINGLE`` words have no paragraphs,
 texts of fewer than ``WORDS`` words no windows; a row without id takes no part; rows that repeat an id are one document; repeats within one document
@@ -29,6 +31,7 @@ not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .buckets import Field, resolve_keys, shared_buckets
+from .buckets import Field, centred, resolve_keys
 from .common import bounded_batches, saved, settled, small_side
 from .shingles import _SPACE, _views, mix, texts_shingles
 
@@ -46,6 +49,10 @@ BANDS, ROWS = 4, 2             # of windows
 LINE_BANDS, LINE_ROWS = 12, 3
 BROADCAST_ROWS = 500_000   # documents broadcast at most to pick texts for verification
 GRAMS = WORDS - SHINGLE + 1
+BLOCKS = 8                 # of keys, for each shuffle partition
+GRAM_BYTES = 6             # of a shingle's hash that similarity compares
+GRAM_MASK = np.uint64((1 << 8 * GRAM_BYTES) - 1)
+FEW = 8                    # sets of a bucket that are all compared
 KEEP_ROWS = 256            # documents that one task holds in a row against one first document
 
 _RNG = np.random.Generator(np.random.PCG64(97))
@@ -120,32 +127,31 @@ def lines(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[n >= SHINGLE], n[n >= SHINGLE]
 
 
-ROWS_OUT = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
-                      ("words", pa.int32()), ("line", pa.bool_())])
-ROWS_DDL = "key long, digest long, doc long, place int, words int, line boolean"
+BANDED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("docs", pa.binary()),
+                    ("places", pa.binary()), ("words", pa.binary()), ("lines", pa.binary())])
+BANDED_DDL = "block int, keys binary, nodes binary, docs binary, places binary, words binary, lines binary"
+MET = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("held", pa.int64()), ("doc", pa.int64()),
+                 ("place", pa.int32()), ("words", pa.int32()), ("line", pa.bool_())])
+MET_DDL = "key long, digest long, held long, doc long, place int, words int, line boolean"
 
 
-def _rows(keys, own, doc, place, words, line, n_keys=None):
-    """Distinct paragraphs (digest ``own``) under their keys, of which ``n_keys`` hold; without key,
-    all places of those that are there more than once. ``keys``: from the distinct ones' numbers."""
-    _, first, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-    key, line = keys(first), np.full(len(own), line)
+def _distinct(keys, own, line, n_keys=None):
+    """(keys, digests) of the distinct paragraphs ``own``, of whose keys ``n_keys`` hold. ``keys``: from
+    the distinct ones' numbers. A key's last bit says whether it is a line's."""
+    own, first = np.unique(own, return_index=True)
+    key = (keys(first) & ~np.int64(1)) | np.int64(line)
     held = np.ones(key.shape, bool) if n_keys is None else np.arange(key.shape[1])[None, :] < n_keys[first, None]
-    yield pa.RecordBatch.from_arrays([pa.array(key[held]), *[pa.array(np.repeat(x[first], held.sum(axis=1)))
-                                                            for x in (own, doc, place, words, line)]], schema=ROWS_OUT)
-    again = n[which] > 1
-    if again.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(int(again.sum()), pa.int64()),
-                                          *[pa.array(x[again]) for x in (own, doc, place, words, line)]], schema=ROWS_OUT)
+    return key[held], np.repeat(own, held.sum(axis=1))
 
 
-def _window_rows(found: list):
+def _windows_banded(found: list):
     doc, place, window = (np.concatenate(x) for x in zip(*found))
-    yield from _rows(lambda first: band_keys(window[first]), digest(window), doc, place,
-                     np.full(len(doc), WORDS, dtype=np.int32), False)
+    own = digest(window)
+    return _distinct(lambda first: band_keys(window[first]), own, False), \
+        (own, doc, place, np.full(len(doc), WORDS, dtype=np.int32), np.zeros(len(doc), np.uint8))
 
 
-def _line_rows(found: list):
+def _lines_banded(found: list):
     doc, place, words, grams = (np.concatenate(x) for x in zip(*found))
     n = words - SHINGLE + 1
     ends = np.cumsum(n, dtype=np.int64)
@@ -158,12 +164,12 @@ def _line_rows(found: list):
         return line_keys(grams[picked], start)
 
     # sets of up to 3 elements are similar only to equal ones, which share every band
-    yield from _rows(keys, own, doc, place, words, True, np.where(n < 4, 1, LINE_BANDS))
+    return _distinct(keys, own, True, np.where(n < 4, 1, LINE_BANDS)), (own, doc, place, words, np.ones(len(doc), np.uint8))
 
 
-def _banded(batches):
-    """Distinct paragraphs of a batch under their band keys; without key, all places of those that
-    the batch holds more than once."""
+def _banded(batches, blocks: int):
+    """Of each batch of texts, a row for each block of keys, with the keys and digests of its distinct
+    paragraphs, and a row without keys with all its places."""
     for batch in batches:
         windows, whole = [], []
         raw, offsets = _views(batch.column("text"))
@@ -176,69 +182,124 @@ def _banded(batches):
             if len(at):
                 whole.append((np.full(len(at), doc, dtype=np.int64), at.astype(np.int32), n.astype(np.int32),
                               np.concatenate([grams[a:a + k - SHINGLE + 1] for a, k in zip(at.tolist(), n.tolist())])))
-        if windows:
-            yield from _window_rows(windows)
-        if whole:
-            yield from _line_rows(whole)
+        parts = [f(x) for f, x in ((_windows_banded, windows), (_lines_banded, whole)) if x]
+        if not parts:
+            continue
+        keys, nodes = (np.concatenate(x) for x in zip(*(p[0] for p in parts)))
+        block = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        keys, nodes, block = keys[order], nodes[order], block[order]
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
+        out = [(int(block[a]), keys[a:b].tobytes(), nodes[a:b].tobytes(), None, None, None, None)
+               for a, b in zip(cuts, [*cuts[1:], len(block)])]
+        own, *places = (np.concatenate(x).tobytes() for x in zip(*(p[1] for p in parts)))
+        out.append((int(mix(keys[:1].view(np.uint64))[0] % np.uint64(blocks)), None, own, *places))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), BANDED)], schema=BANDED)
+
+
+def _met(keys: list, nodes: list) -> pa.RecordBatch:
+    """Distinct (key, digest) of the keys of a block that at least two digests hold, and how many do."""
+    key, node = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (keys, nodes))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, node = key[new], node[new]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    held = np.diff(np.concatenate([starts, [len(key)]]))
+    held = np.repeat(held, held)
+    out = held > 1
+    return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, node, held)]
+                                      + [pa.nulls(int(out.sum()), f.type) for f in list(MET)[3:]], schema=MET)
 
 
 def _meeting(batches):
-    """Of rows in the order of their keys, those that share theirs with a neighbour, and those
-    without key. One row is carried from batch to batch."""
-    held, held_out = None, True
+    """Of rows in the order of their blocks, the members of keys that two digests hold, and all places."""
+    now, keys, nodes = None, [], []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, new]).combine_chunks() if held is not None else new
-        key = table.column("key")
-        free = key.is_null().to_numpy(zero_copy_only=False)
-        k = key.fill_null(0).to_numpy()
-        same = (k[1:] == k[:-1]) & ~free[1:] & ~free[:-1]
-        out = free.copy()
-        out[1:] |= same
-        out[:-1] |= same
-        if held is not None and held_out:
-            out[0] = False      # given out already
-        last_out = bool(out[-1]) or (len(out) == 1 and held is not None and held_out)
-        yield from table.filter(pa.array(out)).to_batches()
-        held, held_out = table.slice(table.num_rows - 1), last_out
+        for block, *found in zip(*(c.to_pylist() for c in batch.columns)):
+            if found[0] is None:
+                own, doc, place, words, line = (np.frombuffer(x, dtype=d) for x, d in
+                                                zip(found[1:], (np.int64, np.int64, np.int32, np.int32, np.uint8)))
+                none = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(own), none, *map(pa.array, (doc, place, words)),
+                                                  pa.array(line.astype(bool))], schema=MET)
+                continue
+            if block != now:
+                if keys:
+                    yield _met(keys, nodes)
+                now, keys, nodes = block, [], []
+            keys.append(found[0])
+            nodes.append(found[1])
+    if keys:
+        yield _met(keys, nodes)
 
 
 def meeting_paragraphs(docs: DataFrame) -> DataFrame:
-    """Stored (key, digest, doc, place, words, line): paragraphs that share a band key with another place."""
+    """Stored (key, digest, held, doc, place, words, line): a row with key for each digest under a key that
+    several (``held``) have, a row without key for each place of a paragraph. Keys meet in blocks; a row of
+    the shuffle is what a batch of texts has for a block."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                    F.col("text").cast("string").alias("text"))
-    banded = rows.mapInArrow(_banded, ROWS_DDL)
-    route = F.coalesce("key", F.xxhash64("doc", "place", "words"))
-    spread = banded.repartition(route).sortWithinPartitions("key")
-    return saved(spread.mapInArrow(_meeting, ROWS_DDL), "paragraphs")
+    blocks = BLOCKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = rows.mapInArrow(lambda batches: _banded(batches, blocks), BANDED_DDL)
+    return saved(banded.repartition("block").sortWithinPartitions("block").mapInArrow(_meeting, MET_DDL), "paragraphs")
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The lower ``GRAM_BYTES`` bytes of each shingle's hash."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+
+
+def unpacked(packed) -> np.ndarray:
+    own = np.zeros((len(packed) // GRAM_BYTES, 8), np.uint8)
+    own[:, :GRAM_BYTES] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, GRAM_BYTES)
+    return own.view("<u8").ravel()
 
 
 def _sets(batches):
+    """Of documents with the paragraphs asked of them, the distinct shingles of each, ascending."""
     schema = pa.schema([("digest", pa.int64()), ("grams", pa.binary())])
     for batch in batches:
-        found = {}
-        for wanted, (words, grams) in zip(batch.column("wanted").to_pylist(),
-                                          texts_shingles(batch.column("text"), SHINGLE)):
-            asked = {w["digest"] for w in wanted}
-            for w in wanted:
-                if w["place"] + w["words"] <= len(words):
-                    own = grams[w["place"]:w["place"] + w["words"] - SHINGLE + 1]
-                    d = int(digest(own[None])[0])
-                    if d in asked:
-                        found[d] = np.unique(own).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
-                                         schema=schema)
+        asked = batch.column("wanted")
+        held = np.diff(asked.offsets.to_numpy())
+        digests, place, words = (asked.flatten().field(c).to_numpy() for c in ("digest", "place", "words"))
+        sizes, grams = zip(*((len(w), g) for w, g in texts_shingles(batch.column("text"), SHINGLE)))
+        n_grams = np.array([len(g) for g in grams])
+        of = np.repeat(np.arange(len(held)), held)
+        there = place + words <= np.array(sizes)[of]  # an id may have several texts
+        digests, place, n, of = digests[there], place[there], words[there].astype(np.int64) - SHINGLE + 1, of[there]
+        if not len(of):
+            continue
+        ends = np.cumsum(n)
+        at = (np.cumsum(n_grams) - n_grams)[of] + place
+        value = np.concatenate(grams)[np.repeat(at - (ends - n), n) + np.arange(ends[-1])]
+        same = mix(np.add.reduceat(mix(value), ends - n)).astype(np.int64) == digests
+        which, value = np.repeat(np.arange(len(n)), n), value & GRAM_MASK
+        order = np.lexsort((value, which))
+        which, value = which[order], value[order]
+        new = np.concatenate([[True], (which[1:] != which[:-1]) | (value[1:] != value[:-1])]) & same[which]
+        which, value = which[new], value[new]
+        count = np.bincount(which, minlength=len(n))
+        offsets = np.concatenate([[0], np.cumsum(count[same])]) * GRAM_BYTES
+        packed = pa.Array.from_buffers(pa.binary(), int(same.sum()), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()),
+                                                                      pa.py_buffer(_packed(value))])
+        yield pa.RecordBatch.from_arrays([pa.array(digests[same]), packed], schema=schema)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
 def _similar(batches):
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column("grams_a"), batch.column("grams_b")):
-            a, b = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (a, b))
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+        for a, b in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()):
+            keep.append(similar(unpacked(a), unpacked(b)))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
             pa.array(keep, pa.bool_()))
 
@@ -249,53 +310,90 @@ class GramField(Field):
 
     def __init__(self, rows):
         super().__init__(rows)
-        self.sets = [np.frombuffer(g, dtype=np.uint64) for g in rows["grams"]]
+        packed = list(rows["grams"])
+        grams, ends = unpacked(b"".join(packed)).tolist(), np.cumsum([len(g) // GRAM_BYTES for g in packed]).tolist()
+        self.sets = [grams[a:b] for a, b in zip([0, *ends], ends)]
+        self.whole = [frozenset(s) for s in self.sets]
         self.opening: dict[int, list[int]] = {}
-        for i in range(len(self.sets)):
-            for g in self.first(i):
-                self.opening.setdefault(g, []).append(i)
+        if len(self.sets) > FEW:
+            for i in range(len(self.sets)):
+                for g in self.first(i):
+                    self.opening.setdefault(g, []).append(i)
 
     def first(self, i):
         own = self.sets[i]
-        return own[:len(own) - -(-PERCENT * len(own) // 100) + 1].tolist()
+        return own[:len(own) - -(-PERCENT * len(own) // 100) + 1]
 
     def likely(self, i, js):
+        if not self.opening:
+            return js
         met = {j for g in self.first(i) for j in self.opening[g] if j > i}
         return np.array(sorted(met.intersection(js.tolist())), dtype=np.int64) if met else js[:0]
 
     def linked(self, i, j):
-        a, b = self.sets[i], self.sets[j]
-        common = len(np.intersect1d(a, b, assume_unique=True))
+        a, b = self.whole[i], self.whole[j]
+        common = len(a & b)
         return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """Stored (doc, place, words, line, digest, cluster) of the paragraphs that meet another."""
+    """Stored (doc, place, words, line, digest, cluster, keep) of the paragraphs whose cluster lies in
+    several documents; keep: the first of these."""
     bounded_batches(docs.sparkSession)
     return settled(lambda: _clusters(docs), "clusters")
 
 
 def _clusters(docs: DataFrame) -> DataFrame:
     hits = meeting_paragraphs(docs)
-    members = hits.where("key IS NOT NULL").select("key", F.col("digest").alias("node")).distinct()
-    shared = shared_buckets(members)
-    nodes = shared.select(F.col("node").alias("digest")).distinct()
-    first = hits.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc", "place", "words")).alias("at"))
-    wanted = saved(first.groupBy(F.col("at.doc").alias("doc_id")).agg(
-        F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("at.words").alias("words"), "digest")).alias("wanted")), "wanted")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(small_side(wanted, wanted.count(), BROADCAST_ROWS), "doc_id")
-    sets = saved(picked.mapInArrow(_sets, "digest long, grams binary").dropDuplicates(["digest"]), "sets")
-
-    def test(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sets.select(F.col("digest").alias("a"), F.col("grams").alias("grams_a")), "a") \
-            .join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("grams_b")), "b") \
-            .mapInArrow(_similar, "a long, b long").distinct()
-
-    label = resolve_keys(shared, test, sets.withColumnRenamed("digest", "node"), GramField).withColumnRenamed("node", "_n")
-    places = hits.groupBy("digest", "doc", "place", "words").agg(F.max("line").alias("line"))
-    return places.join(label, F.col("digest") == F.col("_n"), "left").select(
-        "doc", "place", "words", "line", "digest", F.coalesce("component", "digest").alias("cluster"))
+    shared = centred(hits.where("key IS NOT NULL").select("key", F.col("digest").alias("node"), "held"))
+    places = hits.where("key IS NULL").drop("key", "held")
+    # of each node, one place: any has its shingles
+    nodes = shared.groupBy(F.col("node").alias("_n")).agg(F.max(F.col("key") % 2 != 0).alias("line_met"),
+                                                          F.max(F.col("key") % 2 == 0).alias("window_met"))
+    first = places.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("doc", "place", "words")])
+    wanted = first.join(nodes.select("_n").hint("merge"), F.col("digest") == F.col("_n")).groupBy(F.col("doc").alias("_d")) \
+        .agg(F.collect_list(F.struct("place", "words", "digest")).alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = wanted.join(texts.hint("merge"), F.col("doc_id") == F.col("_d")).select("text", "wanted")
+
+    def labelled() -> DataFrame:
+        sets = saved(picked.mapInArrow(_sets, "digest long, grams binary"), "sets")
+        if sets.count() > nodes.count():  # ids that repeat
+            sets = saved(sets.dropDuplicates(["digest"]), "sets")
+
+        def test(pairs: DataFrame) -> DataFrame:
+            return pairs.join(sets.select(F.col("digest").alias("a"), F.col("grams").alias("grams_a")).hint("merge"), "a") \
+                .join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("grams_b")).hint("merge"), "b") \
+                .mapInArrow(_similar, "a long, b long").distinct()
+
+        return resolve_keys(shared, test, sets.withColumnRenamed("digest", "node"), GramField)
+
+    label = settled(labelled, "label").withColumnRenamed("node", "_c")
+    # lines and windows take part if their like occurs again or meets another
+    held = places.groupBy("digest").agg(*[f(F.when(F.col("line") == kind, F.col("doc"))).alias(f"{name}_{is_a}")
+                                          for is_a, kind in (("line", True), ("window", False))
+                                          for f, name in ((F.min, "lo"), (F.max, "hi"), (F.count, "n"))])
+
+    def takes(kind):
+        return (F.col(f"n_{kind}") > 1) | F.coalesce(f"{kind}_met", F.lit(False))
+
+    def over(of, name):
+        return of(*[F.when(takes(kind), F.col(f"{name}_{kind}")) for kind in ("line", "window")])
+
+    held = held.join(nodes.hint("merge"), F.col("digest") == F.col("_n"), "left") \
+        .join(label.hint("merge"), F.col("digest") == F.col("_c"), "left") \
+        .withColumns({"lines": takes("line"), "windows": takes("window"), "lo": over(F.least, "lo"),
+                      "hi": over(F.greatest, "hi")}).where("lo IS NOT NULL AND (component IS NOT NULL OR lo <> hi)") \
+        .select("digest", F.coalesce("component", "digest").alias("cluster"), "lines", "windows", "lo", "hi")
+    held = saved(held, "held")
+    repeat = held.groupBy("cluster").agg(F.min("lo").alias("keep"), F.max("hi").alias("_last")).where("keep <> _last") \
+        .select(F.col("cluster").alias("_c"), "keep")
+    kept = held.join(repeat.hint("merge"), F.col("cluster") == F.col("_c")) \
+        .select(F.col("digest").alias("_g"), "cluster", "keep", "lines", "windows")
+    return places.join(kept.hint("merge"), F.col("digest") == F.col("_g")).where(F.when(F.col("line"), F.col("lines"))
+                                                                                .otherwise(F.col("windows"))) \
+        .groupBy("digest", "doc", "place", "words", "cluster", "keep").agg(F.max("line").alias("line")) \
+        .select("doc", "place", "words", "line", "digest", "cluster", "keep")
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -318,32 +416,43 @@ def _spans(found: pa.Array) -> pa.Array:
     return pa.array([spans_of((s["start"], s["end"]) for s in f) for f in found.to_pylist()], pa.list_(SPAN))
 
 
-def _places(grams: np.ndarray, units: list) -> list[tuple]:
-    """(cluster, place, words, line) of the paragraphs that this text really holds; an id may have several texts."""
+def _places(grams: np.ndarray, units: tuple) -> list[tuple]:
+    """(cluster, place, words, line) of the paragraphs (``units``: arrays of cluster, place, words, line, digest)
+    that this text really holds; an id may have several texts."""
+    cluster, at, words, line, digests = units
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams), dtype=np.uint64)])
-    at = np.array([u["place"] for u in units])
-    end = at + np.array([u["words"] for u in units]) - SHINGLE + 1
+    end = at + words - SHINGLE + 1
     own = mix(sums[np.minimum(end, len(grams))] - sums[np.minimum(at, len(grams))]).astype(np.int64)  # as ``digest``
-    held = (end <= len(grams)) & (own == np.array([u["digest"] for u in units]))
-    return [(u["cluster"], u["place"], u["words"], u["line"]) for u, h in zip(units, held.tolist()) if h]
+    held = (end <= len(grams)) & (own == digests)
+    return list(zip(*(x[held].tolist() for x in (cluster, at, words, line))))
 
 
 class Agreement:
     """Where the words of two texts agree, place by place, under a shift of one against the other."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.a, self.b, self.breaks = a, b, {}
+        self.a, self.b, self.breaks, self.last = a, b, {}, {}
 
     def run(self, i: int, j: int) -> tuple[int, int]:
         """How many words before and from (i, j) on agree without a break."""
         shift = i - j
+        if shift in self.last:
+            low, end = self.last[shift]
+            if low <= i < end:
+                return i - low, end - i
         first, last = max(0, shift), min(len(self.a), len(self.b) + shift)
         if shift not in self.breaks:
             self.breaks[shift] = first + np.flatnonzero(self.a[first:last] != self.b[first - shift:last - shift])
         cut = self.breaks[shift]
-        at = int(np.searchsorted(cut, i))
-        low = int(cut[at - 1]) + 1 if at else first
-        return i - low, (int(cut[at]) if at < len(cut) else last) - i
+        at = bisect_left(cut, i)
+        low, end = int(cut[at - 1]) + 1 if at else first, int(cut[at]) if at < len(cut) else last
+        self.last[shift] = low, end
+        return i - low, end - i
+
+
+def _firsts(grams: list) -> dict:
+    """Where each shingle is first."""
+    return dict(zip(reversed(grams), range(len(grams) - 1, -1, -1)))
 
 
 def extended(a: tuple, b: tuple) -> tuple[set, set]:
@@ -353,31 +462,40 @@ def extended(a: tuple, b: tuple) -> tuple[set, set]:
     for cluster, *place in b[2]:
         own.setdefault(cluster, []).append(place)
     agreement, here, there = Agreement(a[0], b[0]), set(), set()
+    grams_a, grams_b = a[1].tolist(), b[1].tolist()
+    first: dict[tuple, dict] = {}  # of a place in b: where each shingle is first
     last: dict[int, tuple] = {}  # of each shift, the stretch without a break that was added last
     for cluster, p, n, line_a in sorted(a[2], key=lambda unit: unit[1]):
-        met = line_a
+        met, x, first_x = line_a, None, None
         for q, m, line_b in own.get(cluster, ()):
             low, end = last.get(p - q, (0, 0))
             if n == m and low <= p and p + n <= end:  # all its words agree and lie in what was added
                 met = True
                 continue
-            x, y = a[1][p:p + n - SHINGLE + 1], b[1][q:q + m - SHINGLE + 1]
-            if n == m and np.array_equal(x, y):
-                i = k = np.array([0, n - SHINGLE])
+            if x is None:
+                x = grams_a[p:p + n - SHINGLE + 1]
+            equal = n == m and x == grams_b[q:q + m - SHINGLE + 1]
+            if equal:
+                head, tail = (0, 0), (n - SHINGLE, n - SHINGLE)
             else:
-                _, i, k = np.intersect1d(x, y, return_indices=True)
-                if not len(i):  # tied by others of the cluster only
+                if first_x is None:
+                    first_x = _firsts(x)
+                if (q, m) not in first:
+                    first[q, m] = _firsts(grams_b[q:q + m - SHINGLE + 1])
+                first_y = first[q, m]
+                common = [(i, first_y[g]) for g, i in first_x.items() if g in first_y]
+                if not common:  # tied by others of the cluster only
                     continue
+                head, tail = min(common), max(common)
             met = True
-            head, tail = int(np.argmin(i)), int(np.argmax(i))
-            before = agreement.run(p + int(i[head]), q + int(k[head]))[0]
-            beyond = agreement.run(p + int(i[tail]), q + int(k[tail]))[1]
-            low, end = p + int(i[head]) - before, p + int(i[tail]) + beyond
+            before = agreement.run(p + head[0], q + head[1])[0]
+            beyond = agreement.run(p + tail[0], q + tail[1])[1]
+            low, end = p + head[0] - before, p + tail[0] + beyond
             here.add((low, end))
-            if n == m and i is k:
+            if equal:
                 last[p - q] = low, end
-            if k[head] - before < k[tail] + beyond:
-                there.add((q + int(k[head]) - before, q + int(k[tail]) + beyond))
+            if head[1] - before < tail[1] + beyond:
+                there.add((q + head[1] - before, q + tail[1] + beyond))
         if not met:
             here.add((p, p + n))
     return here, there
@@ -397,14 +515,16 @@ def _extended(batches):
                                           schema=SPANS_OUT)
 
     for batch in batches:
-        found = []
-        for keep, deal, doc, units, (words, grams) in zip(*(batch.column(c).to_pylist() for c in
-                                                            ("keep", "deal", "doc", "units")),
-                                                          texts_shingles(batch.column("text"), SHINGLE)):
+        found, units = [], batch.column("units")
+        at, units = units.offsets.to_numpy(), units.values
+        units = [units.field(c).to_numpy(zero_copy_only=False) for c in ("cluster", "place", "words", "line", "digest")]
+        for keep, deal, doc, low, high, (words, grams) in zip(*(batch.column(c).to_pylist() for c in ("keep", "deal", "doc")),
+                                                              at[:-1].tolist(), at[1:].tolist(),
+                                                              texts_shingles(batch.column("text"), SHINGLE)):
             if (keep, deal) != state:
                 found += [(state[0], state[0], s["start"], s["end"]) for s in spans_of(kept)] if kept else []
                 state, texts, kept = (keep, deal), [], set()
-            side = (words, grams, _places(grams, units))
+            side = (words, grams, _places(grams, tuple(c[low:high] for c in units)))
             if doc == keep:
                 texts.append(side)
                 continue
@@ -443,21 +563,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     """One row for each document with a passage that another document repeats: doc_id,
     n_paragraphs, repeated and removed (word spans), repeated_words, removed_words, keep_ids (the
     documents that keep what is removed here)."""
-    def held() -> DataFrame:
-        rows = clusters(docs)
-        repeat = rows.groupBy("cluster").agg(F.min("doc").alias("keep"), F.max("doc").alias("_last")) \
-            .where("keep <> _last").select(F.col("cluster").alias("_c"), "keep")
-        return rows.join(repeat, F.col("cluster") == F.col("_c")).drop("_c")
-
-    found = settled(held, "found")
+    found = clusters(docs)
     whole = extended_spans(docs, found).select("doc", F.struct("start", "end").alias("span"), "keep",
                                                F.lit(False).alias("own"), F.lit(True).alias("used"))
     span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("words")).alias("end"))
     found = found.select("doc", span.alias("span"), "keep", F.lit(True).alias("own"), F.col("line").alias("used")) \
-        .unionByName(whole).distinct()
+        .unionByName(whole)
     gone = F.col("keep") != F.col("doc")
     per = found.groupBy("doc").agg(
-        F.count_distinct(F.when(F.col("own"), F.col("span"))).alias("n_paragraphs"),
+        F.size(F.collect_set(F.when(F.col("own"), F.col("span")))).cast("long").alias("n_paragraphs"),
         F.collect_set(F.when(F.col("used"), F.col("span"))).alias("_all"),
         F.collect_set(F.when(F.col("used") & gone, F.col("span"))).alias("_gone"),
         F.array_sort(F.collect_set(F.when(gone, F.col("keep")))).alias("keep_ids"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placerank.llm import (exact_mph, fair_queue, language_mix, line_frequency, packing, paragraphs, secrets,
+from placerank.llm import (buckets, exact_mph, fair_queue, language_mix, line_frequency, packing, paragraphs, secrets,
                            separator_scan, setsketch, subword, token_files)
 from placerank.llm import queries as Q
 from placerank.llm.shingles import mix, ngrams
@@ -174,6 +174,64 @@ def test_paragraph_tables_are_deleted(spark, docs):
     assert [p.name.split("-")[0] for p in left] == ["clusters"] and out.count()
 
 
+def test_paragraph_tables_are_not_broadcast(spark, docs, monkeypatch):
+    """The paragraphs asked of each document grow with the input: no join marks a side for broadcast."""
+    plans, own = [], paragraphs.saved
+    monkeypatch.setattr(paragraphs, "saved", lambda df, kind: plans.append(df._jdf.queryExecution().analyzed().toString())
+                        or own(df, kind))
+    assert paragraphs.clusters(docs).count() and len(plans) > 2
+    assert not [p for p in plans if "strategy=broadcast" in p]
+
+
+def test_bands_are_dealt_in_blocks():
+    """A batch of texts gives a row for each block of keys and one with its places, however many keys it has."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(50)] * 2
+    batch = pa.record_batch({"doc_id": pa.array(range(100), pa.int64()), "text": pa.array(texts)})
+    rows = [r for b in paragraphs._banded([batch], 4) for r in b.to_pylist()]
+    assert len(rows) == 5 and {r["block"] for r in rows if r["keys"]} == {0, 1, 2, 3}
+    rows.sort(key=lambda r: r["block"])
+    met = pa.Table.from_batches(paragraphs._meeting([pa.RecordBatch.from_pylist(rows, schema=paragraphs.BANDED)]))
+    places = [r for r in met.to_pylist() if r["key"] is None]
+    under = collections.defaultdict(set)
+    for r in rows:
+        if r["keys"]:
+            for k, d in zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["nodes"], np.int64).tolist()):
+                under[k].add(d)
+    assert sorted((r["key"], r["digest"], r["held"]) for r in met.to_pylist() if r["key"] is not None) == sorted(
+        (k, d, len(ds)) for k, ds in under.items() for d in ds if len(ds) > 1)
+    assert sum(r["line"] for r in places) == 100 and all(r["words"] == 22 for r in places if not r["line"])
+
+
+@pytest.mark.parametrize("n", [2, 5, 9, 16, 30])
+def test_buckets_settle_alike_with_and_without_arrays(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 48, 20, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:18 - k], rng.integers(0, 1 << 48, k, dtype=np.uint64)]))
+            for k in rng.integers(0, 5, n).tolist()]
+    rows = {"node": np.arange(n), "component": np.arange(n) // 2, "block": rng.integers(0, 2, n),
+            "grams": np.array([paragraphs._packed(x) for x in sets], dtype=object)}
+    assert [paragraphs.unpacked(x).tolist() for x in rows["grams"]] == [x.tolist() for x in sets]
+
+    def groups():
+        label = (np.arange(n) // 2).tolist()
+        for a, b in buckets.settle(rows, paragraphs.GramField):
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    got = []
+    for most in (0, 100):
+        monkeypatch.setattr(buckets, "SMALL", most)
+        got.append(groups())
+    want = (np.arange(n) // 2).tolist()
+    two = len(set(rows["block"].tolist())) > 1
+    for i in range(n):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if 100 * len(a & b) >= 80 * len(a | b) and not (two and rows["block"][i] == rows["block"][j]):
+                want = [want[i] if x == want[j] else x for x in want]
+    assert got[0] == got[1] == [want.index(x) for x in want]
+
+
 def test_paragraphs_meet_as_whole_lines(spark):
     """All pairs of lines by brute force: 5 to 60 words, copied or with one to three words changed."""
     rnd = random.Random(11)
