@@ -338,7 +338,7 @@ class GramField(Field):
 
 def clusters(docs: DataFrame) -> DataFrame:
     """Stored (doc, place, words, line, digest, cluster, keep) of the paragraphs whose cluster lies in
-    several documents; keep: the first of these."""
+    several documents; keep: the first of these. A row for each time that a paragraph was read."""
     bounded_batches(docs.sparkSession)
     return settled(lambda: _clusters(docs), "clusters")
 
@@ -390,9 +390,9 @@ def _clusters(docs: DataFrame) -> DataFrame:
         .select(F.col("cluster").alias("_c"), "keep")
     kept = held.join(repeat.hint("merge"), F.col("cluster") == F.col("_c")) \
         .select(F.col("digest").alias("_g"), "cluster", "keep", "lines", "windows")
-    return places.join(kept.hint("merge"), F.col("digest") == F.col("_g")).where(F.when(F.col("line"), F.col("lines"))
-                                                                                .otherwise(F.col("windows"))) \
-        .groupBy("digest", "doc", "place", "words", "cluster", "keep").agg(F.max("line").alias("line")) \
+    # nothing that needs a digest's rows together may follow: the places of a frequent one are many
+    return places.join(kept.hint("merge"), F.col("digest") == F.col("_g")) \
+        .where(F.when(F.col("line"), F.col("lines")).otherwise(F.col("windows"))) \
         .select("doc", "place", "words", "line", "digest", "cluster", "keep")
 
 
@@ -544,8 +544,8 @@ def extended_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (doc, keep, start, end): repeated passages in ``found`` (doc, place, words, line, digest,
     cluster, keep) to their ends, in each document and (keep = doc) in the first one. A first document of many is
     dealt to several tasks, ``KEEP_ROWS`` of its documents each on average."""
-    units = saved(found.groupBy("doc", "keep").agg(F.collect_list(F.struct("cluster", "place", "words", "line",
-                                                                                       "digest"))
+    units = saved(found.groupBy("doc", "keep").agg(F.collect_set(F.struct("cluster", "place", "words", "line",
+                                                                                      "digest"))
                                                    .alias("units")), "units")
     deals = units.where("doc <> keep").groupBy("keep").agg(F.ceil(F.count(F.lit(1)) / KEEP_ROWS).cast("int").alias("deals")) \
         .withColumnRenamed("keep", "_k")
